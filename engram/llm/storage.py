@@ -1,0 +1,45 @@
+"""Reading the driver's tables and writing intermediate ones to shared storage."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = os.path.join(tempfile.gettempdir(), "engram-checkpoints")
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
+
+
+def materialise(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to a fresh table in the shared folder and read it back.
+
+    Cuts the lineage at data that outlives any executor.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def drop(written: DataFrame) -> None:
+    """Remove the files of a table that ``materialise`` returned, once nothing reads it."""
+    spark = written.sparkSession
+    jvm = spark.sparkContext._jvm
+    for parent in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
