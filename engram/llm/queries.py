@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm import fingerprint
+from engram.llm import bpe, fingerprint, html_extract, secrets
+from engram.llm.native import sha256_hex
 from engram.llm.storage import table
 
 
@@ -14,8 +16,36 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def _vocabulary() -> str:
+    """The public tokenizer's file; a parameter of the operator, never kept in this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary())
+    return made.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        sha256_hex(F.array_join("token_ids", ",")).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.page_digest(table(spark, sf_dir, "pages"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_bpe": op2_bpe,
+    "op3_html": op3_html,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
