@@ -31,6 +31,20 @@ NO_RANK = 1 << 60
 
 #: The public byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and digits that the installed regular expressions know and the
+#: public tokenizers library, on an older Unicode, takes for neither.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 "
+    "16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
+    "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
+    "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+_NEWER_SET = "".join("-".join(f"\\U{int(end, 16):08X}" for end in span.split("-")) for span in NEWER.split())
+_NEWER = regex.compile(f"[{_NEWER_SET}]")
+_FIRST_NEWER = "\u0558"
+#: The pattern for texts that hold such a character.
+CAREFUL = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{_NEWER_SET}]]").replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{_NEWER_SET}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{_NEWER_SET}]]+")
 
 
 def byte_symbols() -> list[str]:
@@ -65,6 +79,7 @@ class ByteBpe:
             codes = [byte_of.get(ord(c)) for c in token]
             self.bytes_of[i] = token.encode() if None in codes else bytes(codes)
         self.pattern = regex.compile(PATTERN)
+        self.careful = regex.compile(CAREFUL, regex.V1)
         self.words = _Words(self)
 
     def merge(self, word: bytes) -> list[int]:
@@ -115,16 +130,22 @@ class ByteBpe:
                 push(before[i])
         return [p for p, alive in zip(parts, live) if alive]
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """The words that are merged one by one."""
+        if not text.isascii() and max(text) >= _FIRST_NEWER and _NEWER.search(text):
+            return self.careful.findall(text)
+        return self.pattern.findall(text)
+
     def _packed(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         if self.added_split is None or not any(t in text for t in self.added):
-            return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.words.__getitem__, self.pre_tokens(text)))
         out = []
         for piece in self.added_split.split(text):
             if piece in self.added:
                 out.append(self.added[piece].to_bytes(4, "little"))
             elif piece:
-                out += map(self.words.__getitem__, self.pattern.findall(piece))
+                out += map(self.words.__getitem__, self.pre_tokens(piece))
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
