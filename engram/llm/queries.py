@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, fingerprint, html_extract, secrets, substring_dedup
+from engram.llm import bpe, decontaminate, fingerprint, html_extract, near_dedup, secrets, substring_dedup
 from engram.llm.native import sha256_hex
 from engram.llm.storage import table
 
@@ -37,6 +37,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.page_digest(table(spark, sf_dir, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
@@ -46,14 +50,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
     "op3_html": op3_html,
+    "op4_decontaminate": op4_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secrets": op8_secrets,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }
