@@ -10,10 +10,14 @@ once its time exceeds every component's. Two documents agree in a component with
 probability sum(min) / sum(max) over their shingle counts.
 
 Bands of ``ROWS`` components put documents into buckets. Inside a bucket no list of all
-pairs is made. Two star rounds hold every member against the bucket's leader, and what is
-found similar becomes one class. Then, per bucket, the members outside its largest class
-are held against all members of other classes, so that no pair that shares a bucket and
-could still join two classes goes unchecked. Every check compares the whole shingle counts.
+pairs is made. Every member is held against the bucket's centre, the member that shares
+most buckets with others, and what is similar to it becomes one class. A pair of two other
+members can still join two classes only if it is similar itself, and the comparison with
+the centre bounds that: with ``m`` shingles in common with the centre each, the two have at
+most ``min(m, m') + a`` in common, where ``a`` counts shingles that both have beyond the
+centre's. Bitmaps of those shingles that at least two members have bound ``a`` from above.
+Pairs across classes that these bounds leave possible are checked, so none that shares a
+bucket is missed. Every check compares the whole shingle counts.
 
 Equal texts (up to white space) are one node throughout: copies cost a row in the final
 join and nothing before. All tables between the steps are written to shared storage.
@@ -40,7 +44,7 @@ SIMILARITY = 0.8
 BANDS = 28
 ROWS = 4
 CHUNK_WORDS = 400_000
-STAR_ROUNDS = 2
+BITMAP_WORDS = 8
 
 
 def shingle_counts(names: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +164,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush()
 
 
-def _checked(similarity: float):
+def _beyond(x: tuple[np.ndarray, np.ndarray], centre: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """Common shingles of two count lists, and a hash for each shingle that ``x`` has in excess."""
+    _, i, j = np.intersect1d(x[0], centre[0], assume_unique=True, return_indices=True)
+    least = np.minimum(x[1][i], centre[1][j])
+    excess = x[1].copy()
+    excess[i] -= least
+    shingle = np.repeat(x[0], excess)
+    copy = np.arange(len(shingle)) - np.repeat(np.cumsum(excess) - excess, excess) + np.repeat(x[1] - excess, excess)
+    return int(least.sum()), mix(shingle + _C * copy.astype(np.uint64))
+
+
+def _checked(similarity: float, excess: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, widen = _WordHashes(), zstandard.ZstdDecompressor()
 
@@ -168,38 +183,75 @@ def _checked(similarity: float):
             words = widen.decompress(packed).split()
             return shingle_counts(np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words)))
 
+        last, held = None, None
         with np.errstate(over="ignore"):
-            for batch in batches:
-                last, held, similar = None, None, []
-                for a, packed_a, packed_b in zip(batch.column("a").to_pylist(), batch.column("content_a"), batch.column("content_b")):
-                    if a != last:
-                        last, held = a, counts(packed_a.as_py())
-                    similar.append(overlap(held, counts(packed_b.as_py())) >= similarity - 1e-12)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(lo, 2000)
+                    n, m, similar, more = [], [], [], []
+                    for a, packed_a, packed_b in zip(batch.column("a").to_pylist(), batch.column("content_a"), batch.column("content_b")):
+                        if a != last:
+                            last, held = a, counts(packed_a.as_py())
+                        other = counts(packed_b.as_py())
+                        common, beyond = _beyond(other, held)
+                        n.append(int(other[1].sum()))
+                        m.append(common)
+                        similar.append(common >= similarity * (n[-1] + int(held[1].sum()) - common) - 1e-9)
+                        more.append(beyond.view(np.int64) if excess else ())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("a"), batch.column("b"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(similar, pa.bool_()), pa.array(more, pa.list_(pa.int64()))],
+                        names=["a", "b", "n", "m", "similar", "beyond"],
+                    )
 
     return run
 
 
-def _check_pairs(pairs: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
-    """``a, b, similar`` for each pair of nodes, by their whole shingle counts."""
+def _check_pairs(pairs: DataFrame, content: DataFrame, similarity: float, excess: bool) -> DataFrame:
+    """``a, b, n, m, similar, beyond``: size of ``b``, what it shares with ``a``, the verdict, and its excess."""
     a = content.select(F.col("tid").alias("a"), F.col("content").alias("content_a"))
     b = content.select(F.col("tid").alias("b"), F.col("content").alias("content_b"))
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "content_a", "content_b")
-    return materialise(joined.mapInArrow(_checked(similarity), "a bigint, b bigint, similar boolean"), "near-checked")
-
-
-def _pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs of members of one bucket in different classes and of fitting sizes."""
-    x, y = left.alias("x"), right.alias("y")
+    kind = "a bigint, b bigint, n int, m int, similar boolean, beyond array<bigint>"
+    return materialise(joined.mapInArrow(_checked(similarity, excess), kind), "near-checked")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's centre ``a`` and another member ``b``."""
+    mass = members.groupBy("tid").agg(F.sum("c").alias("mass"))
+    centre = members.select("key", "tid").join(mass, "tid").groupBy("key").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "tid")).alias("l")).select("key", F.col("l.tid").alias("a"))
+    return members.select("key", F.col("tid").alias("b")).join(centre, "key").where("a <> b").select("a", "b").distinct()
+
+
+def _possible(stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members around one centre, in different classes, that the bounds leave possible."""
+    around = stars.join(labels, stars["b"] == labels["node"], "left").select("a", "b", "n", "m", "beyond", F.coalesce("label", "b").alias("label"))
+    sizes = around.groupBy("a", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    groups = sizes.groupBy("a").agg(F.max(F.struct("c", "label")).alias("most"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("classes"))
+    groups = groups.where("classes > 1").select("a", F.col("most.label").alias("most"), "least_n")
+    around = around.join(groups, "a")
+    half = similarity / (1 + similarity)
+    smallest = F.greatest(F.ceil(F.col("n") * similarity - 1e-9), F.col("least_n"))
+    # Members that could not reach a partner even if all their excess were shared go first.
+    around = around.where(F.col("m") + F.size("beyond") >= half * (F.col("n") + smallest) - 1e-6)
+    each = around.select("a", "b", F.explode("beyond").alias("s"))
+    twice = each.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "s")
+    bit = F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")
+    word = F.expr(f"pmod(shiftright(s, 6), {BITMAP_WORDS})")
+    maps = each.join(twice, ["a", "s"]).groupBy("a", "b").agg(
+        F.count(F.lit(1)).cast("int").alias("k"), *[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(BITMAP_WORDS)]
+    )
+    words = [F.coalesce(f"w{i}", F.lit(0).cast("bigint")).alias(f"w{i}") for i in range(BITMAP_WORDS)]
+    told = around.drop("beyond").join(maps, ["a", "b"], "left").select("a", "b", "n", "m", "label", "most", "least_n", F.coalesce("k", F.lit(0)).alias("k"), *words)
+    told = told.where(F.col("m") + F.col("k") >= half * (F.col("n") + smallest) - 1e-6)
+    filled = sum((F.bit_count(f"w{i}") for i in range(1, BITMAP_WORDS)), F.bit_count("w0"))
+    told = materialise(told.withColumn("over", F.col("k") - filled), "near-around")
+    x, y = told.where("label <> most").alias("x"), told.alias("y")
+    both = sum((F.bit_count(F.col(f"x.w{i}").bitwiseAND(F.col(f"y.w{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col("x.w0").bitwiseAND(F.col("y.w0"))))
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(similarity) - 1e-9
-    found = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.label") != F.col("y.label")) & fits)
-    return found.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("tid"))
-    return members.join(labels, members["tid"] == labels["node"], "left").select("key", "tid", "n", F.coalesce("label", "tid").alias("label"))
+    reach = F.least("x.m", "y.m") + both + F.least("x.over", "y.over") >= half * (F.col("x.n") + F.col("y.n")) - 1e-6
+    once = (F.col("x.b") < F.col("y.b")) | (F.col("y.label") == F.col("y.most"))
+    pairs = x.join(y, F.col("x.a") == F.col("y.a")).where((F.col("x.label") != F.col("y.label")) & fits & reach & once)
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -213,36 +265,23 @@ def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("raw"), F.col(text).alias("text"))
     told = materialise(rows.mapInArrow(_describe, "doc_id bigint, raw bigint, tid bigint, n int, bands array<bigint>, content binary"), "near-described")
-    nodes = told.where(F.size("bands") > 0).groupBy("tid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    every = nodes.select("tid", "n", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "tid", "n")
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialise(every.join(shared, "key", "left_semi"), "near-members")
+    nodes = told.where(F.size("bands") > 0).groupBy("tid").agg(F.first("bands").alias("bands"))
+    every = nodes.select("tid", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "tid")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = materialise(every.join(shared, "key"), "near-members")
     content = materialise(
         told.where(F.col("content").isNotNull()).select("tid", "content").join(members.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"]),
         "near-content",
     )
-
-    checked: DataFrame | None = None
-    labels: DataFrame | None = None
-    for salt in range(STAR_ROUNDS + 1):
-        known = _labelled(members, labels)
-        if salt < STAR_ROUNDS:
-            lead = known.groupBy("key").agg(F.min(F.struct(F.xxhash64("tid", F.lit(salt)).alias("h"), "tid", "n", "label")).alias("l"))
-            pairs = _pairs(known, lead.select("key", "l.tid", "l.n", "l.label"), similarity)
-        else:
-            sizes = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-            most = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", F.col("m.label").alias("most"))
-            rest = known.join(most, "key").where("label <> most").select("key", "tid", "n", "label")
-            pairs = _pairs(rest, known, similarity)
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = _check_pairs(pairs, content, similarity)
-        checked = new if checked is None else checked.unionByName(new)
-        links = checked.where("similar").select("a", "b")
-        labels = connected_components(links, "near")
-
+    stars = _check_pairs(_stars(members), content, similarity, True)
     drop(members)
+    links = stars.where("similar").select("a", "b")
+    labels = connected_components(links, "near")
+    rest = _check_pairs(_possible(stars, labels, similarity), content, similarity, False).where("similar").select("a", "b")
+    if not rest.isEmpty():
+        labels = connected_components(links.union(rest), "near")
     drop(content)
+    drop(stars)
     placed = told.select("doc_id", "raw", "tid").join(labels, told["tid"] == labels["node"], "left").select("doc_id", "raw", F.coalesce("label", "tid").alias("label"))
     classes = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, "label").select("doc_id", "raw", "class_id", "class_size")
