@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, decontaminate, fingerprint, html_extract, near_dedup, secrets, substring_dedup, toxicity
+from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, secrets, substring_dedup, toxicity
 from engram.llm.native import sha256_hex
 from engram.llm.storage import table
 
@@ -45,6 +45,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,

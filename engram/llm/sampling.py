@@ -12,6 +12,7 @@ def fold(doc_id: Column) -> Column:
 
 
 HELD_OUT = 2
+SALTS = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -22,10 +23,15 @@ def by_class(rows: DataFrame, target: str, most: int, learn_all: bool = False) -
     """Up to ``most`` ids (``doc_id``, ``target``) of each class, in the order of a hash of the id.
 
     Rows with a null target or id and, unless ``learn_all``, rows of the held-out fold are
-    left out. Spark cuts each partition to ``most`` rows a class before the exchange.
+    left out. Ranks are taken in ``SALTS`` shares of each class first, so that a class that
+    holds most rows is spread over as many tasks and at most ``SALTS * most`` rows a class
+    meet in the last step.
     """
     some = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), target).where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     if not learn_all:
         some = some.where(~held_out(F.col("doc_id")))
-    w = Window.partitionBy(target).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return some.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most).drop("turn")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    share = F.pmod(F.hash("doc_id"), F.lit(SALTS))
+    for keys in ([F.col(target), share], [F.col(target)]):
+        some = some.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("turn") <= most).drop("turn")
+    return some
