@@ -1,2 +1,64 @@
-"""Stages over ``documents``; filled in below as the operators are written."""
-STAGES: list = []
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. ``run`` writes every
+stage but the last as Parquet to shared storage and reads it back as the next one's
+``docs``, so a lost executor costs a stage at most. All stages but the last return the
+columns of ``docs``; the last adds ``n_tokens`` and ``token_ids``. Nulls, empty and very long
+texts, repeated rows, empty tables and extra columns are handled as the operators state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engram.llm import bpe, decontaminate, near_dedup, quality, secrets
+from engram.llm.storage import materialise, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id stays."""
+    return near_dedup.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in any order of its parts, go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark in ``text``; ``n_chars`` follows. No document goes."""
+    return secrets.redacted_documents(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as token ids that decode to it."""
+    made = bpe.encode(docs, bpe.public_vocabulary())
+    return made.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: Classifier and tiling have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the kept documents with their token ids."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs, f"pipeline-{name}")
+    return docs

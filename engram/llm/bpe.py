@@ -174,6 +174,13 @@ class _Words(dict):
             self.clear()
 
 
+def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of an installed public tokenizer's file; a parameter of the operators, not kept here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 _LOADED: dict[str, ByteBpe] = {}
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, secrets, substring_dedup, toxicity
+import corpus_pipeline
+from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, quality, secrets, substring_dedup, toxicity
 from engram.llm.native import sha256_hex
 from engram.llm.storage import table
 
@@ -16,15 +17,8 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> str:
-    """The public tokenizer's file; a parameter of the operator, never kept in this repository."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary())
+    made = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.public_vocabulary())
     return made.select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
@@ -62,6 +56,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
@@ -72,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -191,6 +191,24 @@ def redact(text: Column, spans: Column, mark: str = REDACTED) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(spans, build))
 
 
+def redacted_documents(documents: DataFrame) -> DataFrame:
+    """The documents with every secret in ``text`` replaced and ``n_chars`` counted anew.
+
+    Columns keep their names, types and order; a null text stays null, and ``n_chars`` of an
+    unchanged text is left as it was.
+    """
+    rows = documents.select(F.col("text"), F.struct(*documents.columns).alias("row"))
+    found = scan_secrets(rows)
+    changed = F.size("secret_spans") > 0
+    text = F.when(changed, redact(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
+    found = found.select("row", text.alias("new_text"), changed.alias("changed"))
+    new = {"text": F.col("new_text")}
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("changed"), F.length("new_text").cast(kind)).otherwise(F.col("row")["n_chars"])
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
+
+
 def secret_digest(documents: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, counts of the base kinds, base_sha256 and spans."""
     found = scan_secrets(documents.select("doc_id", "text"))
