@@ -23,9 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from engram.llm.memory import tidied
+
 LONG_WORD = 200
 #: Distinct words a worker remembers before it starts afresh; longer words are not kept.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 120_000
 LONGEST_KEPT = 64
 NO_RANK = 1 << 60
 
@@ -217,7 +219,7 @@ def round_trip(documents: DataFrame, vocabulary: str, text: str = "text") -> Dat
                 decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, decoded], names=[*kept, "token_ids", "decoded"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidied(run), schema)
 
 
 def encode(documents: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:

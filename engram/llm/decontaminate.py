@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.llm.memory import tidied
 from engram.llm.substring_dedup import window_hashes
 
 SEED = 4
@@ -30,7 +31,7 @@ COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
 FIRST_SEARCH = 20
 CHUNK_WORDS = 200_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 UNKNOWN = -1
 
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -229,7 +230,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
                     yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(leaks, arrow)], names=[*names, "leaks"])
 
         schema = T.StructType([*[f for f in found.schema.fields if f.name != "leaks"], T.StructField("leaks", kind)])
-        found = found.select(*names, "leaks").mapInArrow(run, schema)
+        found = found.select(*names, "leaks").mapInArrow(tidied(run), schema)
     return found
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.llm.components import connected_components
+from engram.llm.memory import tidied
 from engram.llm.storage import drop, materialise
 from engram.llm.substring_dedup import _A, _B, _C, _WordHashes, mix, window_hashes, words_of
 
@@ -43,7 +44,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 4
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 250_000
 BITMAP_WORDS = 8
 
 
@@ -212,7 +213,7 @@ def _check_pairs(pairs: DataFrame, content: DataFrame, similarity: float, excess
     b = content.select(F.col("tid").alias("b"), F.col("content").alias("content_b"))
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "content_a", "content_b")
     kind = "a bigint, b bigint, n int, m int, similar boolean, beyond array<bigint>"
-    return materialise(joined.mapInArrow(_checked(similarity, excess), kind), "near-checked")
+    return materialise(joined.mapInArrow(tidied(_checked(similarity, excess)), kind), "near-checked")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -264,7 +265,7 @@ def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     often as they came. ``raw`` is a 64-bit hash of the text, which tells rows of one id apart.
     """
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("raw"), F.col(text).alias("text"))
-    told = materialise(rows.mapInArrow(_describe, "doc_id bigint, raw bigint, tid bigint, n int, bands array<bigint>, content binary"), "near-described")
+    told = materialise(rows.mapInArrow(tidied(_describe), "doc_id bigint, raw bigint, tid bigint, n int, bands array<bigint>, content binary"), "near-described")
     nodes = told.where(F.size("bands") > 0).groupBy("tid").agg(F.first("bands").alias("bands"))
     every = nodes.select("tid", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "tid")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.llm.memory import tidied
+
 WINDOW = 35
 ROUNDS = 3
 #: Words gathered before a chunk is processed; one longer document is a chunk of its own.
-CHUNK_WORDS = 1_000_000
-WORDS_KEPT = 400_000
+CHUNK_WORDS = 500_000
+WORDS_KEPT = 150_000
 MASK_BITS = 62
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -299,7 +301,7 @@ def _rest(names: list[str]):
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
     """``rid, marks``: the repeated windows of each row ``rid, text`` as start and bit mask."""
-    rows = documents.select("rid", "text").mapInArrow(_windows, "sym bigint, rid bigint, start int, known bigint, hashes array<bigint>")
+    rows = documents.select("rid", "text").mapInArrow(tidied(_windows), "sym bigint, rid bigint, start int, known bigint, hashes array<bigint>")
     seen = F.sum(F.when(F.col("known") != 0, 2).otherwise(1)).over(Window.partitionBy("sym"))
     shared = rows.withColumn("seen", seen).where("seen > 1").select("sym", "rid", "start", "known", F.posexplode_outer("hashes").alias("i", "hash"))
     bit = F.expr("shiftleft(1L, i)")
@@ -321,10 +323,10 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"))
     marks = repeated_windows(rows)
     kind = next(f.dataType for f in rows.schema.fields if f.name == "doc_id")
-    packed = rows.mapInArrow(_pack, T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.BinaryType()), T.StructField("rid", T.LongType())]))
+    packed = rows.mapInArrow(tidied(_pack), T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.BinaryType()), T.StructField("rid", T.LongType())]))
     joined = packed.join(marks, "rid", "left").select("doc_id", "text", "marks")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_rest(["doc_id"]), out)
+    return joined.mapInArrow(tidied(_rest(["doc_id"])), out)
 
 
 #: The same result in DuckDB's SQL, window by window.

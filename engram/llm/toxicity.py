@@ -43,7 +43,7 @@ DECAY = 0.02
 #: Buckets met in fewer fitted texts stay at zero: they could only be learnt by heart.
 LEAST_TEXTS = 3
 #: Distinct words a worker remembers before it starts afresh.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 100_000
 
 _OTHER = re.compile(r"[\W\d_]+")
 _OFFSETS = [(k, j) for k in WIDTHS for j in range(k)]
