@@ -12,7 +12,7 @@ def fold(doc_id: Column) -> Column:
 
 
 HELD_OUT = 2
-SALTS = 64
+MARGIN = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -23,15 +23,17 @@ def by_class(rows: DataFrame, target: str, most: int, learn_all: bool = False) -
     """Up to ``most`` ids (``doc_id``, ``target``) of each class, in the order of a hash of the id.
 
     Rows with a null target or id and, unless ``learn_all``, rows of the held-out fold are
-    left out. Ranks are taken in ``SALTS`` shares of each class first, so that a class that
-    holds most rows is spread over as many tasks and at most ``SALTS * most`` rows a class
-    meet in the last step.
+    left out. Classes are counted first (there are a few), and each partition then drops all
+    rows but those with the smallest hashes, about ``MARGIN * most`` a class in all, so that
+    a class that holds most of a very large table still meets as a few thousand rows.
     """
     some = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), target).where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     if not learn_all:
         some = some.where(~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    share = F.pmod(F.hash("doc_id"), F.lit(SALTS))
-    for keys in ([F.col(target), share], [F.col(target)]):
-        some = some.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("turn") <= most).drop("turn")
-    return some
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    sizes = some.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()
+    near = F.lit(False)
+    for r in sizes:
+        near |= (F.col(target) == F.lit(r[target])) & (turn < min(1 << 40, (1 << 40) * MARGIN * most // r["n"] + 1))
+    w = Window.partitionBy(target).orderBy(turn, "doc_id")
+    return some.where(near).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most).drop("turn")
