@@ -69,6 +69,10 @@ EXAMPLES = (
     (4, 1.00, 60, 0.00, 5, 1.00, 0, 1, 0, 0),
     (6, 0.90, 4, 1.00, 4, 1.00, 0, 1, 0, 0),
     (12, 0.95, 80, 0.00, 10, 0.95, 0, 1, 0, 0),
+    (3, 1.00, 2, 1.00, 2, 0.00, 0, 1, 0, 0),
+    (5, 1.00, 70, 0.00, 0, 0.00, 0, 1, 0, 0),
+    (2, 1.00, 40, 0.00, 3, 0.00, 0, 1, 0, 0),
+    (8, 0.95, 30, 0.00, 60, 0.00, 0, 1, 0, 0),
     # containers that are never part of one, inside an article or not
     (40, 0.00, 30, 0.00, 20, 0.00, 0, 1, 1, 0),
     (8, 0.00, 70, 0.00, 60, 0.00, 0, 1, 1, 0),
@@ -92,6 +96,12 @@ EXAMPLES = (
     (6, 0.00, 2, 1.00, 60, 0.00, 1, 0, 0, 1),
     (5, 0.00, 4, 0.00, 35, 0.00, 1, 0, 0, 1),
     (3, 0.00, 70, 0.00, 45, 0.00, 1, 0, 0, 1),
+    (40, 0.00, 60, 0.00, 5, 0.00, 0, 0, 0, 1),
+    (25, 0.00, 45, 0.00, 6, 0.30, 0, 0, 0, 1),
+    (70, 0.00, 30, 0.00, 3, 1.00, 0, 0, 0, 1),
+    (20, 0.05, 7, 0.00, 0, 0.00, 0, 0, 0, 1),
+    (15, 0.00, 28, 0.00, 4, 0.80, 0, 0, 0, 1),
+    (13, 0.00, 45, 0.00, 7, 0.00, 0, 0, 0, 1),
     (2, 1.00, 2, 1.00, 2, 1.00, 0, 0, 0, 0),
     (1, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0),
     (25, 0.90, 2, 1.00, 3, 1.00, 0, 0, 0, 0),
