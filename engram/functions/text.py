@@ -91,7 +91,7 @@ def cut_bytes(text: Column, most: int = MAX_ERROR_BYTES) -> Column:
     """The longest prefix of whole characters within ``most`` UTF-8 bytes."""
     head = F.substring(text.cast("binary"), 1, most)
     # A cut character leaves at most three bytes behind; they decode to replacement marks.
-    whole = F.regexp_replace(F.decode(head, "UTF-8"), "�{1,3}$", "")
+    whole = F.regexp_replace(F.make_valid_utf8(head.cast("string")), "�{1,3}$", "")
     return F.when(F.octet_length(text) <= most, text).otherwise(whole)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BLOCK = 2048
 JOIN_BLOCK = 4096
@@ -54,6 +55,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     dimension than the query's score 0.
     """
     session = vectors.sparkSession
+    arrow = to_arrow_type(queries.schema["query_id"].dataType)
     found = None
     rows: list = []
 
@@ -84,7 +86,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             n = [len(x[0]) for x in kept]
             if sum(n):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in range(len(n)) for _ in range(n[i])]), pa.array(np.concatenate([x[0] for x in kept]).tolist()), pa.array(np.concatenate([x[1] for x in kept]))],
+                    [pa.array([names[i] for i in range(len(n)) for _ in range(n[i])], arrow), pa.array(np.concatenate([x[0] for x in kept]).tolist()), pa.array(np.concatenate([x[1] for x in kept]))],
                     names=["query_id", "id", "score"],
                 )
 

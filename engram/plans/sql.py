@@ -20,11 +20,11 @@ MEMORIES = f"""memories AS (SELECT {KEY.format('doc_id')} AS id, doc_id AS n, te
   FROM documents)"""
 VECTORS = f"""vectors AS (SELECT {KEY.format('vec_id')} AS id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS e,
   CASE vec_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' ELSE 'fr' END AS boundary, label FROM embeddings)"""
-ENTITIES = f"""scope AS (SELECT n_nationkey, lower(r_name) AS boundary FROM nation JOIN region ON n_regionkey = r_regionkey),
+ENTITIES = f"""scope AS (SELECT n_nationkey, replace(lower(r_name), ' ', '_') AS boundary FROM nation JOIN region ON n_regionkey = r_regionkey),
 entities AS (SELECT 'c' || {KEY.format('c_custkey')} AS id, c_name AS name, 'person' AS entity_type, boundary FROM customer JOIN scope ON c_nationkey = n_nationkey
   UNION ALL SELECT 's' || {KEY.format('s_suppkey')}, s_name, 'organization', boundary FROM supplier JOIN scope ON s_nationkey = n_nationkey
   UNION ALL SELECT 'n' || {KEY.format('n_nationkey')}, n_name, 'location', boundary FROM nation JOIN scope USING (n_nationkey)
-  UNION ALL SELECT 'r' || {KEY.format('r_regionkey')}, r_name, 'location', lower(r_name) FROM region)"""
+  UNION ALL SELECT 'r' || {KEY.format('r_regionkey')}, r_name, 'location', replace(lower(r_name), ' ', '_') FROM region)"""
 EDGES = f"""edge0 AS (SELECT 'c' || {KEY.format('c_custkey')} AS f, 'n' || {KEY.format('n_nationkey')} AS t, 'in_nation' AS relation_type, boundary,
     CASE WHEN c_custkey % 9 = 0 THEN {EPOCH + 50 * DAY} END AS ends, {KEY.format('c_custkey')} AS source FROM customer JOIN scope ON c_nationkey = n_nationkey
   UNION ALL SELECT 's' || {KEY.format('s_suppkey')}, 'n' || {KEY.format('n_nationkey')}, 'in_nation', boundary, NULL, {KEY.format('s_suppkey')} FROM supplier JOIN scope ON s_nationkey = n_nationkey

@@ -58,7 +58,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, suppliers, nations and regions as graph nodes scoped by region."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    scope = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.lower("r_name").alias("boundary"))
+    scope = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.translate(F.lower("r_name"), " ", "_").alias("boundary"))
     person = table(spark, sf_dir, "customer").join(scope, F.col("c_nationkey") == F.col("n_nationkey"))
     maker = table(spark, sf_dir, "supplier").join(scope, F.col("s_nationkey") == F.col("n_nationkey"))
     own = nation.join(scope, "n_nationkey")
@@ -66,7 +66,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         person.select(F.concat(F.lit("c"), key("c_custkey")).alias("id"), F.col("c_name").alias("name"), F.lit("person").alias("entity_type"), "boundary"),
         maker.select(F.concat(F.lit("s"), key("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("organization").alias("entity_type"), "boundary"),
         own.select(F.concat(F.lit("n"), key("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit("location").alias("entity_type"), "boundary"),
-        region.select(F.concat(F.lit("r"), key("r_regionkey")).alias("id"), F.col("r_name").alias("name"), F.lit("location").alias("entity_type"), F.lower("r_name").alias("boundary")),
+        region.select(F.concat(F.lit("r"), key("r_regionkey")).alias("id"), F.col("r_name").alias("name"), F.lit("location").alias("entity_type"), F.translate(F.lower("r_name"), " ", "_").alias("boundary")),
     ]
     whole = made[0]
     for part in made[1:]:
@@ -77,7 +77,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges customer/supplier → nation → region; some customers' edges are closed."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    scope = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.lower("r_name").alias("boundary"))
+    scope = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.translate(F.lower("r_name"), " ", "_").alias("boundary"))
     n, c, s = F.concat(F.lit("n"), key("n_nationkey")), F.concat(F.lit("c"), key("c_custkey")), F.concat(F.lit("s"), key("s_suppkey"))
     person = table(spark, sf_dir, "customer").join(scope, F.col("c_nationkey") == F.col("n_nationkey"))
     maker = table(spark, sf_dir, "supplier").join(scope, F.col("s_nationkey") == F.col("n_nationkey"))
