@@ -315,8 +315,8 @@ t AS (SELECT r, sum(c) AS n FROM c GROUP BY r),
 p AS (SELECT x.r AS a, y.r AS b, sum(least(x.c, y.c)) AS m FROM c x JOIN c y ON x.g = y.g AND x.r < y.r GROUP BY x.r, y.r),
 e AS (SELECT a, b FROM p JOIN t x ON x.r = a JOIN t y ON y.r = b WHERE m >= {SIMILARITY} * (x.n + y.n - m) - 1e-9
       UNION SELECT (SELECT min(r) FROM d WHERE len(w) = 0), r FROM d WHERE len(w) = 0),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(r, l) AS (SELECT r, r FROM d UNION SELECT reach.r, both.b FROM reach JOIN both ON both.a = reach.l),
+twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(r, l) AS (SELECT r, r FROM d UNION SELECT reach.r, twoway.b FROM reach JOIN twoway ON twoway.a = reach.l),
 class AS (SELECT reach.r, min(x.doc_id) AS class_id, count(DISTINCT l) AS class_size FROM reach JOIN d x ON x.r = reach.l GROUP BY reach.r)
 SELECT doc_id, class_id, CAST(class_size AS BIGINT) AS class_size FROM d JOIN class USING (r)
 """

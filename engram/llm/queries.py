@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, quality, secrets, substring_dedup, toxicity
+from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, quality, secrets, secrets_sql, substring_dedup, toxicity
 from engram.llm.native import sha256_hex
 from engram.sources.shared import table
 
@@ -76,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.ORACLE,
+    "op8_secrets": secrets_sql.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
 }
