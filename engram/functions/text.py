@@ -32,8 +32,7 @@ def words(text: Column) -> Column:
 
 def index_terms(text: Column) -> Column:
     """Terms of the keyword index: words of fitting length that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words(text), lambda w: (F.octet_length(w) < LONGEST_TOKEN_BYTES) & ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: (F.octet_length(w) < LONGEST_TOKEN_BYTES) & ~w.isin(*STOP_WORDS))
 
 
 def without_operators(query: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import index_terms, without_operators
 from engram.operators.scope import listed
+from engram.sources.shared import materialise
 
 K1 = 1.2
 B = 0.75
@@ -33,10 +34,14 @@ def postings(memories: DataFrame) -> DataFrame:
 
 
 def build_index(memories: DataFrame) -> KeywordIndex:
-    """Index of the facts that are neither superseded nor archived."""
+    """Index of the facts that are neither superseded nor archived.
+
+    Postings are written once, so that texts are split once however often they are searched.
+    """
     facts = memories.where(listed())
-    n, average = facts.agg(F.count(F.lit(1)), F.avg(F.size(index_terms(F.col("content"))))).first()
-    return KeywordIndex(postings(facts), n, average or 0.0)
+    written = materialise(postings(facts), "postings")
+    n, total = facts.count(), written.agg(F.sum("tf")).first()[0] or 0
+    return KeywordIndex(written, n, total / n if n else 0.0)
 
 
 def upsert_index(old: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
