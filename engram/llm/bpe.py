@@ -27,7 +27,7 @@ from engram.llm.memory import tidied
 
 LONG_WORD = 200
 #: Distinct words a worker remembers before it starts afresh; longer words are not kept.
-WORDS_KEPT = 120_000
+WORDS_KEPT = 250_000
 LONGEST_KEPT = 64
 NO_RANK = 1 << 60
 
