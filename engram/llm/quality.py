@@ -29,7 +29,8 @@ MOST_UNLABELLED = 2500
 ROUNDS = 4
 HANDED = 200
 SURE = 0.97
-KEEP = 0.5
+#: A rejected good document is worse than a kept bad one, so the cut lies below one half.
+KEEP = 0.3
 BINS = 12
 NAMES = 64
 
@@ -97,7 +98,7 @@ class View:
         self.width = base
         return np.stack(columns, axis=1)
 
-    def fit(self, codes: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 3e-3) -> None:
+    def fit(self, codes: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> None:
         self.weight, self.bias = np.zeros(self.width), 0.0
         m1, m2 = np.zeros(self.width + 1), np.zeros(self.width + 1)
         for s in range(1, steps + 1):
