@@ -255,15 +255,8 @@ def _possible(stars: DataFrame, labels: DataFrame, similarity: float) -> DataFra
     return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
-def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row a document: ``doc_id, raw, class_id, class_size``.
-
-    ``class_id`` is the least doc_id of the class, ``class_size`` its number of rows. Classes
-    are the connected components of "same words" and "weighted Jaccard of the five-word
-    shingle counts at least ``similarity``". Texts without words (null, empty, white space)
-    form one class. A text of one to four words is one shingle. Repeated rows come back as
-    often as they came. ``raw`` is a 64-bit hash of the text, which tells rows of one id apart.
-    """
+def _placed(documents: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """One row a document: ``doc_id, raw, label``. The label names the class, also one without any doc_id."""
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("raw"), F.col(text).alias("text"))
     told = materialise(rows.mapInArrow(tidied(_describe), "doc_id bigint, raw bigint, tid bigint, n int, bands array<bigint>, content binary"), "near-described")
     nodes = told.where(F.size("bands") > 0).groupBy("tid").agg(F.first("bands").alias("bands"))
@@ -283,7 +276,19 @@ def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         labels = connected_components(links.union(rest), "near")
     drop(content)
     drop(stars)
-    placed = told.select("doc_id", "raw", "tid").join(labels, told["tid"] == labels["node"], "left").select("doc_id", "raw", F.coalesce("label", "tid").alias("label"))
+    return told.select("doc_id", "raw", "tid").join(labels, told["tid"] == labels["node"], "left").select("doc_id", "raw", F.coalesce("label", "tid").alias("label"))
+
+
+def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row a document: ``doc_id, raw, class_id, class_size``.
+
+    ``class_id`` is the least doc_id of the class, ``class_size`` its number of rows. Classes
+    are the connected components of "same words" and "weighted Jaccard of the five-word
+    shingle counts at least ``similarity``". Texts without words (null, empty, white space)
+    form one class. A text of one to four words is one shingle. Repeated rows come back as
+    often as they came. ``raw`` is a 64-bit hash of the text, which tells rows of one id apart.
+    """
+    placed = _placed(documents, doc_id, text, similarity)
     classes = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, "label").select("doc_id", "raw", "class_id", "class_size")
 
@@ -294,9 +299,12 @@ def keep_first(documents: DataFrame) -> DataFrame:
     Of repeated rows and of texts that share the least id, one stays. A class without any
     doc_id keeps one row too.
     """
-    classes = near_classes(documents)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("keep_id"), F.col("class_id")).agg(F.min("raw").alias("keep_raw"), F.count(F.lit(1)).alias("keep_rows"))
-    first = materialise(first.select("keep_id", "keep_raw", "keep_rows"), "near-kept")
+    placed = _placed(documents, "doc_id", "text", SIMILARITY)
+    # Equal texts have one label, so it does not matter which row's is taken.
+    alike = placed.groupBy("doc_id", "raw").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("rows"))
+    # Nulls are the least in a struct, and a row with an id goes before one without.
+    first = alike.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw", "rows")).alias("l"))
+    first = materialise(first.select(F.col("l.doc_id").alias("keep_id"), F.col("l.raw").alias("keep_raw"), F.col("l.rows").alias("keep_rows")), "near-kept")
     # The row travels as one struct, so that no column of it can clash with a key.
     rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text")).alias("raw"), F.struct(*documents.columns).alias("row"))
     kept = rows.join(first, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw")))

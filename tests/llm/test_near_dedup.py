@@ -118,3 +118,11 @@ def test_components(spark):
 def test_table_against_all_pairs(spark, tiny):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     check(spark, rows)
+
+
+def test_each_class_keeps_its_own_row(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [(None, a), (None, a), (None, b), (None, c), (7, d), (7, e), (7, e), (None, d), (None, None), (None, " ")]
+    kept = [tuple(r) for r in nd.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((x for x in kept if (x[1] or "").strip()), key=repr) == sorted([(None, a), (None, b), (None, c), (7, d), (7, e)], key=repr)
+    assert len(kept) == 6
