@@ -129,11 +129,11 @@ def judge_by_recency(pairs: DataFrame, verdicts: DataFrame, memories: DataFrame)
 
 
 def group_pairs(groups: DataFrame, most: int = PAIRWISE_MEMBERS) -> tuple[DataFrame, DataFrame]:
-    """All pairs of the groups (``group_id, id``) of at most ``most`` members, and the larger groups as id lists."""
-    size = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_list("id")).alias("ids"))
+    """All pairs of the groups (``group_id, id``) of at most ``most`` members, and the rows of the larger groups."""
+    size = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
     small = groups.join(size.where(F.col("members") <= most).select("group_id"), "group_id", "left_semi")
     pairs = small.select("group_id", F.col("id").alias("a")).join(small.select("group_id", F.col("id").alias("b")), "group_id").where("a < b")
-    return pairs, size.where(F.col("members") > most).select("group_id", "ids")
+    return pairs, groups.join(size.where(F.col("members") > most).select("group_id"), "group_id", "left_semi").select("group_id", "id")
 
 
 def guarded(stale: DataFrame, groups: DataFrame) -> DataFrame:

@@ -116,10 +116,20 @@ def mass_invalidate_guard(spark, d):
     return consolidate.guarded(stale.union(stale).union(groups.where("group_id = 5").select("group_id", F.lit("nobody"))), groups)
 
 
+def _judge_groups(spark, d):
+    return views.memories(spark, d).select((F.col("id").cast("bigint") % 60).alias("group_id"), "id")
+
+
 @REGISTER(f"WITH {S.MEMORIES}, g AS (SELECT n % 60 AS group_id, id FROM memories), z AS (SELECT group_id, count(*) AS c FROM g GROUP BY group_id) SELECT x.group_id, x.id AS a, y.id AS b FROM g x JOIN g y ON x.group_id = y.group_id AND x.id < y.id JOIN z ON z.group_id = x.group_id WHERE c <= 20")
 def pairwise_judge_pairs(spark, d):
-    groups = views.memories(spark, d).select((F.col("id").cast("bigint") % 60).alias("group_id"), "id")
-    return consolidate.group_pairs(groups)[0]
+    """Pairs of the groups that are judged pair by pair; ``nary_judge_groups`` has the other groups."""
+    return consolidate.group_pairs(_judge_groups(spark, d))[0]
+
+
+@REGISTER(f"WITH {S.MEMORIES}, g AS (SELECT n % 60 AS group_id, id FROM memories), z AS (SELECT group_id, count(*) AS c FROM g GROUP BY group_id) SELECT group_id, id, 'nary' AS mode FROM g JOIN z USING (group_id) WHERE c > 20")
+def nary_judge_groups(spark, d):
+    """Members of the groups too large for pairs, which go to one judgement of the whole group."""
+    return consolidate.group_pairs(_judge_groups(spark, d))[1].withColumn("mode", F.lit("nary"))
 
 
 _DECAY = f"""{S.MEMORIES}, decay AS (SELECT id, confidence, CAST(CAST(confidence AS DOUBLE) * CAST(0.9 AS DOUBLE) AS FLOAT) AS lower FROM memories

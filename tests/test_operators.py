@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.operators import audit, consolidate, divergence, knn, models, outbox, retrieval, topics
-from engram.plans import queues, search
+from engram.plans import consolidation, queues, search
 from engram.sources import shared, tables, views
 from engram.streaming import incremental
 
@@ -194,3 +194,18 @@ def test_shared_tables(spark):
     files = t.inputFiles()
     assert t.count() == 10 and files
     shared.drop(t)
+
+
+def test_groups_too_large_for_pairs_are_returned_whole(spark):
+    sizes = {1: 1, 2: 3, 3: 20, 4: 21, 5: 50}
+    rows = [(g, f"{g}-{i:02}") for g, n in sizes.items() for i in range(n)]
+    pairs, large = consolidate.group_pairs(spark.createDataFrame(rows, "group_id int, id string"))
+    assert {r.group_id: r["count"] for r in pairs.groupBy("group_id").count().collect()} == {2: 3, 3: 190}
+    assert sorted(map(tuple, large.collect())) == [r for r in rows if r[0] > 3]
+
+
+def test_every_fact_of_a_large_table_is_judged(spark):
+    d = "/root/testdata/sf0.1"
+    pairs, large = consolidation.pairwise_judge_pairs(spark, d), consolidation.nary_judge_groups(spark, d)
+    judged = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
+    assert sorted(r.id for r in judged.collect()) == sorted(r.id for r in views.memories(spark, d).select("id").collect())
