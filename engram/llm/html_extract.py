@@ -46,6 +46,7 @@ CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORD_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"""=["']|>""")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_article", "in_boiler")
 #: One row a block: the features above, then 1 for main text. Fixed values, labelled by hand.
@@ -154,20 +155,25 @@ def default_tree() -> tuple:
     return grow(table[:, :-1], table[:, -1])
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Index of the ``>`` that ends the tag at ``at``, quotes heeded; -1 if there is none."""
-    end = page.find(">", at)
-    if end < 0 or (page.count('"', at, end) % 2 == 0 and page.count("'", at, end) % 2 == 0):
-        return end
-    first, quote = end, ""
-    for i in range(at, min(len(page), at + 20_000)):
-        c = page[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'" and page[i - 1] == "=":
-            quote = c
-        elif c == ">":
-            return i
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Index of the ``>`` that ends the tag at ``at``, quotes heeded; -1 if there is none.
+
+    Where no ``>`` outside quotes follows, it is the first one. ``dead`` holds the opening quotes
+    of the page after which there is none, so that each is passed once.
+    """
+    first = page.find(">", at)
+    if first < 0 or (page.count('"', at, first) % 2 == 0 and page.count("'", at, first) % 2 == 0):
+        return first
+    passed, pos = [], at
+    while (found := STOP.search(page, pos)) and found[0] != ">" and found.start() not in dead:
+        passed.append(found.start())
+        pos = page.find(found[0][1], found.end()) + 1
+        if not pos:
+            break
+    else:
+        if found and found[0] == ">":
+            return found.start()
+    dead.update(passed)
     return first
 
 
@@ -197,7 +203,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 blocks.append((text, words, min(1.0, linked / words), heading, article, int(boiler > 0)))
             parts.clear()
 
-    pos, n = 0, len(page)
+    pos, n, dead = 0, len(page), set()
     while pos < n:
         at = page.find("<", pos)
         if at < 0:
@@ -221,7 +227,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             pos = at + 1
             continue
         tag = name[0].lower()
-        end = _tag_end(page, name.end())
+        end = _tag_end(page, name.end(), dead)
         if end < 0:
             break  # a page that was cut off inside a tag
         attributes = page[name.end() : end]

@@ -42,6 +42,16 @@ def test_broken_markup():
     assert len(hx.main_text("<article>" + "<p>a b c" * 20_000)) == 20_000 * 7 - 2
 
 
+def test_long_quoted_values():
+    a, b = prose(40), prose(40)
+    for n in (10, 19_000, 25_000, 200_000):
+        value = f"<p>{prose(30)}</p>" + "x" * n
+        assert hx.main_text(f"<article><p>{a}</p><p data-props='{value}' class=\"c\">{b}</p></article>") == f"{a}\n\n{b}"
+    dead = set()
+    page = '<p ="x" =">' * 20_000
+    assert [hx._tag_end(page, i + 2, dead) for i in range(0, len(page), 11)] == list(range(10, len(page), 11))
+
+
 def test_operator(spark, tiny):
     pages = spark.createDataFrame([(1, "u", None, "t"), (2, "u", "<article><p>é 😀 text</article>", "t"), (2, "u", "<article><p>é 😀 text</article>", "t")], "page_id long, url string, html string, text string")
     got = [tuple(r) for r in hx.page_digest(pages).orderBy("page_id").collect()]
