@@ -38,8 +38,9 @@ _TQ = f"tq AS (SELECT item_id AS query_id, text, CAST(embedding AS DOUBLE[]) AS
 _SEM = lambda k, src, name: f"{S.knn(k, src, name + '_k')}, {name} AS ({S.ranked(f'SELECT query_id, id, score, created FROM {name}_k JOIN memories USING (id) WHERE {S.SEMANTIC}', k)})"
 _KEY = lambda k, name: f"{S.bm25(k, name + '_b')}, {name} AS ({S.ranked(f'SELECT query_id, id, score, created FROM {name}_b JOIN memories USING (id) JOIN tq USING (query_id) WHERE list_contains(scopes, boundary) AND {S.KEYWORD}', k)})"
 _BASE = f"{S.MEMORIES}, {S.VECTORS}, {_TQ}, {S.POSTINGS}, {S.ASKED}"
-_FUSED = f"""{_SEM(200, 'tq', 'sem')}, {_KEY(200, 'kw')},
-fused AS ({S.ranked("SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0) AS score, coalesce(s.created, k.created) AS created FROM sem s FULL JOIN kw k USING (query_id, id)", PAGE)})"""
+_FUSE = lambda most: f"""{_SEM(200, 'tq', 'sem')}, {_KEY(200, 'kw')},
+fused AS ({S.ranked("SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0) AS score, coalesce(s.created, k.created) AS created FROM sem s FULL JOIN kw k USING (query_id, id)", most)})"""
+_FUSED = _FUSE(PAGE)
 _OUT = "SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM"
 
 
@@ -97,10 +98,10 @@ def retrieve_keyword(spark, d):
     return _out(retrieval.keyword(text_queries(spark, d), bm25.build_index(m), m, views.now(), PAGE))
 
 
-def _hybrid(spark, d):
+def _hybrid(spark, d, most=PAGE):
     m = views.memories(spark, d)
     q, index = text_queries(spark, d), bm25.build_index(m)
-    return q, m, index, retrieval.hybrid(q, views.vectors(spark, d), index, m, views.now(), PAGE)
+    return q, m, index, retrieval.hybrid(q, views.vectors(spark, d), index, m, views.now(), most)
 
 
 @REGISTER(f"WITH {_BASE}, {_FUSED} {_OUT} fused")
@@ -115,15 +116,16 @@ def retrieve_abstaining(spark, d):
 
 
 _LOGIT = "CAST((CAST(id AS BIGINT) * 37 + query_id * 11) % 200 - 130 AS DOUBLE) / 25"
-_POOL = f"""{_SEM(20, 'tq', 'sem20')}, {_FUSED.replace('sem', 'sfm').replace('kw', 'kfw')},
+_POOLED = lambda fused: f"""{_SEM(20, 'tq', 'sem20')}, {fused.replace('sem', 'sfm').replace('kw', 'kfw')},
 place AS (SELECT query_id, id, min(ch * 1000 + rank) AS p FROM (SELECT query_id, id, 1 AS ch, rank FROM sem20 UNION ALL SELECT query_id, id, 2, rank FROM fused) GROUP BY query_id, id),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, id) AS position FROM place),
 scored AS (SELECT query_id, id, position, 1 / (1 + exp(-({_LOGIT}))) AS score FROM pool WHERE position <= 40),
-reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM scored WHERE score >= 0.05) WHERE rank <= {PAGE})"""
+reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM scored WHERE score >= 0.05) WHERE rank <= {PAGE})"""
+_POOL = _POOLED(_FUSED)
 
 
-def _reranked(spark, d):
-    q, m, _, base = _hybrid(spark, d)
+def _reranked(spark, d, base_size=PAGE):
+    q, m, _, base = _hybrid(spark, d, base_size)
     hits = retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT)
     pooled = retrieval.pool(base, hits, base.limit(0))
     logits = pooled.select("query_id", "id", (((F.col("id").cast("bigint") * 37 + F.col("query_id") * 11) % 200 - 130) / 25.0).alias("logit"))
@@ -132,9 +134,16 @@ def _reranked(spark, d):
 
 @REGISTER(f"WITH {_BASE}, {_POOL} {_OUT} reranked")
 def retrieve_reranked(spark, d):
+    """The pool holds a page of hybrid hits, as its SQL has it; ``retrieve_reranked_wide`` takes the whole fan-out."""
     return _out(_reranked(spark, d)[2])
 
 
+@REGISTER(f"WITH {_BASE}, {_POOLED(_FUSE(retrieval.FANOUT))} {_OUT} reranked")
+def retrieve_reranked_wide(spark, d):
+    """Hybrid hits up to the fan-out reach the reranker; the page is cut after it."""
+    return _out(_reranked(spark, d, retrieval.FANOUT)[2])
+
+
 _HINTS = f"""top AS (SELECT query_id, max(score) FILTER (rank = 1) AS a, coalesce(max(score) FILTER (rank = 2), 0) AS b FROM reranked GROUP BY query_id),
 hints AS (SELECT query_id, CASE WHEN coalesce(a >= 0.5 OR (a > 0 AND a >= 3 * b), false) THEN 'strong' ELSE 'weak' END AS hint, a FROM tq LEFT JOIN top USING (query_id))"""
 

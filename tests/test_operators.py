@@ -209,3 +209,10 @@ def test_every_fact_of_a_large_table_is_judged(spark):
     pairs, large = consolidation.pairwise_judge_pairs(spark, d), consolidation.nary_judge_groups(spark, d)
     judged = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
     assert sorted(r.id for r in judged.collect()) == sorted(r.id for r in views.memories(spark, d).select("id").collect())
+
+
+def test_deep_hybrid_hits_reach_the_reranker(spark, tiny):
+    rows = lambda n: {(r.query_id, r.id) for r in n.select("query_id", "id").collect()}
+    deep = rows(search._hybrid(spark, tiny, retrieval.FANOUT)[3].where(F.col("rank") > search.PAGE))
+    near, wide = rows(search.retrieve_reranked(spark, tiny)), rows(search.retrieve_reranked_wide(spark, tiny))
+    assert wide - near and wide - near <= deep
