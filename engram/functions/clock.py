@@ -39,9 +39,21 @@ def next_attempt(attempts: Column, now: Column, jitter: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(now) + F.floor(scaled * 1000).cast("bigint"))
 
 
+def rfc3339(text: Column) -> Column:
+    """The time that an RFC 3339 text names; null for anything else."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(F.upper(text)))
+
+
+def as_rfc3339(time: Column) -> Column:
+    """RFC 3339 text in UTC (the session's zone) with as many digits of a second as the time has."""
+    micros = F.pmod(F.unix_micros(time), F.lit(1_000_000))
+    fraction = F.when(micros == 0, "").when(micros % 1000 == 0, F.date_format(time, ".SSS")).otherwise(F.date_format(time, ".SSSSSS"))
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
 def as_of(text: Column) -> Column:
     """RFC 3339 time with any offset, or a date at midnight UTC; null for anything else."""
-    full = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(F.upper(text)))
+    full = rfc3339(text)
     day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text))
     return F.coalesce(full, day)
 

@@ -11,6 +11,7 @@ STOP_WORDS = (
 ).split()
 #: Query operator characters that are blanked out of a keyword query.
 OPERATOR_CHARS = "+-!&|(){}[]^~*?:\\/\"'"
+#: A keyword's bytes, names of the user's own node, labels of entity types.
 LONGEST_TOKEN_BYTES = 40
 HUB_NAMES = ("the user", "user")
 ENTITY_LABELS = {"person": "person", "organization": "organization", "organisation": "organization", "project": "project", "location": "location"}
@@ -26,8 +27,13 @@ FIRST_PERSON = {"I prefer ": "prefers", "I like ": "likes", "I love ": "loves",
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits, order and repeats kept."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case runs of alphabetic characters (vowel signs included) and numbers, order and repeats kept."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), "")
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def index_terms(text: Column) -> Column:
@@ -59,7 +65,7 @@ def mentions(query_words: Column, name_words: Column) -> Column:
 
 
 def name_key(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    return F.lower(trimmed(name))
 
 
 def is_hub(name: Column) -> Column:
@@ -68,14 +74,14 @@ def is_hub(name: Column) -> Column:
 
 def relation_name(raw: Column) -> Column:
     """Snake-case relation name of at most 64 bytes; may be empty."""
-    kept = F.regexp_replace(F.lower(F.trim(raw)), r"[^a-z0-9_\s-]", "")
+    kept = F.regexp_replace(F.lower(trimmed(raw)), r"[^a-z0-9_\s-]", "")
     snake = F.regexp_replace(F.regexp_replace(kept, r"[_\s-]+", "_"), r"^_", "")
     return F.regexp_replace(F.substring(snake, 1, 64), r"_+$", "")
 
 
 def entity_label(raw: Column) -> Column:
     """Known entity type of a free label; anything else is a concept."""
-    label = F.lower(F.trim(raw))
+    label = F.lower(trimmed(raw))
     known = None
     for text, kind in ENTITY_LABELS.items():
         known = F.when(label == text, kind) if known is None else known.when(label == text, kind)
@@ -88,10 +94,11 @@ def snippet(text: Column) -> Column:
 
 def cut_bytes(text: Column, most: int = MAX_ERROR_BYTES) -> Column:
     """The longest prefix of whole characters within ``most`` UTF-8 bytes."""
-    head = F.substring(text.cast("binary"), 1, most)
-    # A cut character leaves at most three bytes behind; they decode to replacement marks.
-    whole = F.regexp_replace(F.make_valid_utf8(head.cast("string")), "�{1,3}$", "")
-    return F.when(F.octet_length(text) <= most, text).otherwise(whole)
+    raw = text.cast("binary")
+    head = F.make_valid_utf8(F.substring(raw, 1, most).cast("string"))
+    # Only where the next byte goes on with a character was one cut; its bytes decode to one replacement mark.
+    goes_on = F.hex(F.substring(raw, most + 1, 1)).between("80", "BF")
+    return F.when(F.octet_length(text) <= most, text).when(goes_on, F.regexp_replace(head, "�$", "")).otherwise(head)
 
 
 def duration(seconds: Column) -> Column:
@@ -109,7 +116,7 @@ def embed_text(content: Column, aliases: Column) -> Column:
 
 def clean_aliases(aliases: Column) -> Column:
     """Trimmed, lower-case, non-empty aliases joined by a comma and a space."""
-    return F.array_join(F.filter(F.transform(aliases, lambda a: F.lower(F.trim(a))), lambda a: a != ""), ", ")
+    return F.array_join(F.filter(F.transform(aliases, lambda a: F.lower(trimmed(a))), lambda a: a != ""), ", ")
 
 
 def rerank_prompt(content: Column) -> Column:
@@ -118,7 +125,7 @@ def rerank_prompt(content: Column) -> Column:
 
 
 def has_control(text: Column) -> Column:
-    return text.rlike(r"\p{Cntrl}")
+    return text.rlike(r"(?U)\p{Cntrl}")
 
 
 def _starts(text: Column, prefix: str) -> Column:

@@ -27,8 +27,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Unit vector; null for a zero vector."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: (x / norm(a)).cast("float")))
+    """Unit vector; null stays null, a zero vector is an error."""
+    return F.when(norm(a) > 0, F.transform(a, lambda x: (x / norm(a)).cast("float"))).when(a.isNotNull(), F.raise_error(F.lit("vector of length zero")).cast("array<float>"))
 
 
 def rrf(*ranks: Column) -> Column:

@@ -39,7 +39,11 @@ def build_index(memories: DataFrame) -> KeywordIndex:
     Postings are written once, so that texts are split once however often they are searched.
     """
     facts = memories.where(listed())
-    written = materialise(postings(facts), "postings")
+    return with_statistics(materialise(postings(facts), "postings"), facts)
+
+
+def with_statistics(written: DataFrame, facts: DataFrame) -> KeywordIndex:
+    """The index over written postings of ``facts`` with its statistics."""
     n, total = facts.count(), written.agg(F.sum("tf")).first()[0] or 0
     return KeywordIndex(written, n, total / n if n else 0.0)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions.clock import DAY, expired, idle_for
+from engram.functions.clock import as_rfc3339, expired, idle_for, rfc3339
 from engram.functions.jsons import metadata, with_key
 from engram.functions.text import containment, is_reordering, words
 from engram.functions.vector import changes, decayed, dot
@@ -161,9 +161,12 @@ def mark_superseded(memories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def decay_plan(memories: DataFrame, now: Column, days: int = DECAY_DAYS) -> DataFrame:
-    """``id, old_confidence, new_confidence`` of idle facts that were not decayed within ``days``."""
-    marker = metadata(F.col("metadata_json"), "decay.last_decay_at").cast("bigint")
-    due = marker.isNull() | (F.unix_seconds(now) - marker >= days * DAY)
+    """``id, old_confidence, new_confidence`` of idle facts that were not decayed within ``days``.
+
+    The marker of the last decay is an RFC 3339 time; one that is missing or malformed counts as none.
+    """
+    marker = rfc3339(metadata(F.col("metadata_json"), "decay.last_decay_at"))
+    due = marker.isNull() | idle_for(marker, now, days)
     lower = decayed(F.col("confidence"))
     idle = F.col("superseded_by").isNull() & ~expired(F.col("valid_until"), now) & idle_for(F.col("last_accessed"), now, days)
     return memories.where(listed() & idle & due & changes(F.col("confidence"), lower)).select("id", F.col("confidence").alias("old_confidence"), lower.alias("new_confidence"))
@@ -173,7 +176,7 @@ def apply_decay(memories: DataFrame, plan: DataFrame, now: Column) -> DataFrame:
     """Lower confidence and the marker of this decay; the time of last use stays."""
     joined = memories.join(plan.select("id", "new_confidence"), "id", "left")
     hit = F.col("new_confidence").isNotNull()
-    marked = with_key(F.col("metadata_json"), "decay", F.concat(F.lit('{"last_decay_at":'), F.unix_seconds(now).cast("string"), F.lit("}")))
+    marked = with_key(F.col("metadata_json"), "decay", F.concat(F.lit('{"last_decay_at":"'), as_rfc3339(now), F.lit('"}')))
     new = {"confidence": F.coalesce("new_confidence", "confidence"), "metadata_json": F.when(hit, marked).otherwise(F.col("metadata_json"))}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in memories.columns])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.jsons import metadata
 from engram.functions.numbers import content_fingerprint
-from engram.functions.text import entity_label, has_control, name_key, relation_name
+from engram.functions.text import entity_label, has_control, name_key, relation_name, trimmed
 from engram.operators.scope import consolidation_active
 from engram.sources.schema import MAX_ENTITY_NAME_BYTES
 from engram.sources.tables import retire_edges
@@ -25,7 +25,7 @@ def extracted_entities(answers: DataFrame) -> DataFrame:
     """``memory_id, position, name, entity_type``: sound entities of each answer (``memory_id, json``), the first spelling kept."""
     parsed = answers.select("memory_id", F.from_json("json", EXTRACTED).alias("g"))
     items = parsed.select("memory_id", F.posexplode("g.entities").alias("position", "e"))
-    named = items.select("memory_id", "position", F.trim("e.name").alias("name"), F.coalesce(entity_label(F.col("e.type")), F.lit("concept")).alias("entity_type"))
+    named = items.select("memory_id", "position", trimmed(F.col("e.name")).alias("name"), F.coalesce(entity_label(F.col("e.type")), F.lit("concept")).alias("entity_type"))
     sound = named.where((F.col("name") != "") & (F.octet_length("name") <= MAX_ENTITY_NAME_BYTES) & ~has_control(F.col("name")))
     w = Window.partitionBy("memory_id", name_key(F.col("name")), "entity_type").orderBy("position")
     return sound.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") == 1).drop("_turn")

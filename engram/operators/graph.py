@@ -24,19 +24,29 @@ def entity_by_key(entities: DataFrame, name: str, entity_type: str, boundary: st
     return entities.where((F.col("name") == name) & (F.col("entity_type") == entity_type) & (F.col("boundary") == boundary))
 
 
-def neighbourhood(relationships: DataFrame, nodes: DataFrame, boundaries: list[str]) -> DataFrame:
-    """Open edges of each node in both directions: two equi-joins instead of one join on OR."""
-    open_ = relationships.where(F.col("valid_until").isNull() & in_scope(boundaries))
-    out = nodes.select(F.col("id").alias("node")).join(open_, F.col("node") == F.col("from_entity_id"))
-    back = nodes.select(F.col("id").alias("node")).join(open_, F.col("node") == F.col("to_entity_id"))
-    return out.unionByName(back).dropDuplicates(["node", "id"])
+def _scoped(nodes: DataFrame, boundaries: list[str] | None) -> tuple[Column, list[str]]:
+    """The scope filter of an edge's ``boundary``, and the column of ``nodes`` it needs: one list for all or ``scopes`` of each."""
+    return (in_scope(boundaries), []) if boundaries is not None else (F.array_contains("scopes", F.col("boundary")), ["scopes"])
+
+
+def neighbourhood(relationships: DataFrame, nodes: DataFrame, boundaries: list[str] | None = None) -> DataFrame:
+    """Open edges of each node in both directions: two equi-joins instead of one join on OR.
+
+    Without ``boundaries`` each row of ``nodes`` (``id, scopes``) sees the edges in its own ``scopes``.
+    """
+    inside, own = _scoped(nodes, boundaries)
+    open_ = relationships.where(F.col("valid_until").isNull())
+    starts = nodes.select(F.col("id").alias("node"), *own).distinct()
+    out = starts.join(open_, F.col("node") == F.col("from_entity_id")).where(inside)
+    back = starts.join(open_, F.col("node") == F.col("to_entity_id")).where(inside)
+    return out.unionByName(back).dropDuplicates(["node", *own, "id"])
 
 
 def traverse(
     relationships: DataFrame,
     entities: DataFrame,
     starts: DataFrame,
-    boundaries: list[str],
+    boundaries: list[str] | None = None,
     max_hops: int = MAX_HOPS,
     relations: list[str] | None = None,
     follow_aliases: bool = False,
@@ -44,25 +54,34 @@ def traverse(
     """``start, entity_id, depth, path, name, entity_type, boundary``: entities reached along open outgoing edges.
 
     Paths visit no entity twice; the shortest path of each entity is kept, ties by the
-    edge ids on the path. Scopes are checked on edges and on the entity reached, not on the
-    start nor on entities in between.
+    edge ids on the path. Every edge walked and the entity reached must be in scope; the
+    start and entities in between are not looked at. Without ``boundaries`` each row of
+    ``starts`` (``id, scopes``) walks within its own ``scopes``, which come back with it.
     """
-    steps = relationships.where(F.col("valid_until").isNull() & in_scope(boundaries))
+    inside, own = _scoped(starts, boundaries)
+    steps = relationships.where(F.col("valid_until").isNull())
     if relations is not None:
         steps = steps.where(F.col("relation_type").isin(*relations))
     if not follow_aliases:
         steps = steps.where(~F.col("relation_type").isin(*ALIAS_RELATIONS))
-    steps = steps.select(F.col("from_entity_id").alias("_at"), F.col("to_entity_id").alias("_to"), F.col("id").alias("_edge"))
-    walk = starts.select(F.col("id").alias("start"), F.col("id").alias("_at"), F.array("id").alias("seen"), F.array().cast("array<string>").alias("path"))
+    steps = steps.select(F.col("from_entity_id").alias("_at"), F.col("to_entity_id").alias("_to"), F.col("id").alias("_edge"), "boundary")
+    walk = starts.select(F.col("id").alias("start"), *own).distinct()
+    walk = walk.select("start", *own, F.col("start").alias("_at"), F.array("start").alias("seen"), F.array().cast("array<string>").alias("path"))
     found = None
     for depth in range(1, max_hops + 1):
-        walk = walk.join(steps, "_at").where(~F.array_contains("seen", F.col("_to")))
-        walk = walk.select("start", F.col("_to").alias("_at"), F.array_append("seen", F.col("_to")).alias("seen"), F.array_append("path", F.col("_edge")).alias("path"))
-        here = walk.select("start", F.col("_at").alias("entity_id"), F.lit(depth).alias("depth"), "path")
+        walk = walk.join(steps, "_at").where(inside & ~F.array_contains("seen", F.col("_to")))
+        walk = walk.select("start", *own, F.col("_to").alias("_at"), F.array_append("seen", F.col("_to")).alias("seen"), F.array_append("path", F.col("_edge")).alias("path"))
+        here = walk.select("start", *own, F.col("_at").alias("entity_id"), F.lit(depth).alias("depth"), "path")
         found = here if found is None else found.unionByName(here)
-    kept = entities.where(in_scope(boundaries)).select(F.col("id").alias("entity_id"), "name", "entity_type", "boundary")
-    w = Window.partitionBy("start", "entity_id").orderBy("depth", "path")
-    return found.join(kept, "entity_id").withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") == 1).drop("_turn")
+    kept = entities.select(F.col("id").alias("entity_id"), "name", "entity_type", "boundary")
+    w = Window.partitionBy("start", *own, "entity_id").orderBy("depth", "path")
+    return found.join(kept, "entity_id").where(inside).withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") == 1).drop("_turn")
+
+
+def path_edges(paths: DataFrame, relationships: DataFrame) -> DataFrame:
+    """The edges of each path of ``traverse`` as rows, with ``position`` along the path from 0."""
+    steps = paths.select("start", "entity_id", "depth", F.posexplode("path").alias("position", "edge"))
+    return steps.join(relationships.withColumnRenamed("id", "edge"), "edge")
 
 
 def mentioned_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -78,25 +97,36 @@ def mentioned_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return hits.withColumn("entity_turn", F.row_number().over(w)).where(F.col("entity_turn") <= MAX_ENTITIES)
 
 
-def retrieve_graph(queries: DataFrame, memories: DataFrame, entities: DataFrame, relationships: DataFrame, now: Column) -> DataFrame:
-    """``query_id, id, score, created_at, explanation``: current facts on edges around the mentioned entities.
+def retrieve_graph(queries: DataFrame, memories: DataFrame, entities: DataFrame, relationships: DataFrame, max_results: int | None = None) -> DataFrame:
+    """``query_id, id, score, created_at, rank, explanation``: current facts on edges around the mentioned entities.
 
-    Entities are taken by id, each entity's edges by id; once ``MAX_CANDIDATES`` facts are
-    connected no further edge adds one. All hits score ``GRAPH_SCORE``.
+    Entities are read by id; of each its own edges by id come first, then the edges along
+    its paths, shorter paths first. Reading stops at the edge that connects fact number
+    ``MAX_CANDIDATES``. Edges, entities reached and facts must be in the query's scopes. All
+    hits score ``GRAPH_SCORE``; they are ranked newest first, then by id descending, and cut
+    at ``max_results``.
     """
-    named = mentioned_entities(queries, entities)
-    scopes = [r.b for r in entities.select(F.col("boundary").alias("b")).distinct().collect()]
-    starts = named.select("id").distinct()
-    near = neighbourhood(relationships, starts, scopes).select(F.col("node").alias("start"), F.col("id").alias("edge"))
-    far = traverse(relationships, entities, starts, scopes).select("start", F.explode("path").alias("edge"))
-    edge = relationships.select(F.col("id").alias("edge"), F.col("boundary").alias("edge_boundary"), F.col("source_memory_id").alias("id"))
-    links = near.union(far).distinct().join(edge.where(F.col("id").isNotNull()), "edge")
+    named = mentioned_entities(queries, entities).withColumn("scopes", F.array_sort(F.array_distinct("scopes")))
+    starts = named.select("id", "scopes").distinct()
+    near = neighbourhood(relationships, starts).select(F.col("node").alias("start"), "scopes", F.col("source_memory_id").alias("id"), F.struct(F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(0).alias("position")).alias("place"))
+    walked = traverse(relationships, entities, starts).select("start", "scopes", "depth", "path", F.posexplode("path").alias("position", "edge"))
+    source = relationships.select(F.col("id").alias("edge"), F.col("source_memory_id").alias("id"))
+    far = walked.join(source, "edge").select("start", "scopes", "id", F.struct("depth", "path", "position").alias("place"))
+    links = near.unionByName(far).where(F.col("id").isNotNull())
     name = entities.select(F.col("id").alias("start"), "name")
-    hits = named.select("query_id", "entity_turn", "scopes", F.col("id").alias("start")).join(links, "start").join(name, "start").where(F.array_contains("scopes", F.col("edge_boundary")))
-    # Rank facts by their first edge in reading order; the first MAX_CANDIDATES facts are the candidates.
-    first = hits.groupBy("query_id", "id").agg(F.min(F.struct("entity_turn", "edge")).alias("met"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
-    w = Window.partitionBy("query_id").orderBy("met", "id")
-    first = first.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= MAX_CANDIDATES)
+    read = named.select("query_id", "entity_turn", "scopes", F.col("id").alias("start")).join(links, ["start", "scopes"]).join(name, "start")
+    # The first time each entity connects each fact, in reading order.
+    met = read.groupBy("query_id", "scopes", "id", "entity_turn", "name").agg(F.min("place").alias("place")).withColumn("met", F.struct("entity_turn", "place"))
+    first = met.groupBy("query_id", "id").agg(F.min("met").alias("first"))
+    turn = Window.partitionBy("query_id").orderBy("first", "id")
+    chosen = first.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= MAX_CANDIDATES)
+    last = Window.partitionBy("query_id")
+    chosen = chosen.withColumn("until", F.when(F.max("_turn").over(last) == MAX_CANDIDATES, F.max("first").over(last))).select("query_id", "id", "until")
+    told = met.join(chosen, ["query_id", "id"]).where(F.col("until").isNull() | (F.col("met") <= F.col("until")))
+    via = told.groupBy("query_id", "scopes", "id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
     facts = memories.where(graph_current()).select("id", "created_at", "boundary")
-    joined = first.join(facts, "id").join(queries.select("query_id", "scopes"), "query_id").where(F.array_contains("scopes", F.col("boundary")))
-    return joined.select("query_id", "id", F.lit(GRAPH_SCORE).alias("score"), "created_at", F.concat(F.lit("connected via "), "names").alias("explanation"))
+    joined = via.join(facts, "id").where(F.array_contains("scopes", F.col("boundary")))
+    newest = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    ranked = joined.withColumn("rank", F.row_number().over(newest))
+    ranked = ranked if max_results is None else ranked.where(F.col("rank") <= max_results)
+    return ranked.select("query_id", "id", F.lit(GRAPH_SCORE).alias("score"), "created_at", "rank", F.concat(F.lit("graph: connected via "), "names").alias("explanation"))

@@ -52,7 +52,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     ``queries`` has ``query_id, embedding, scopes`` (array; an empty one finds nothing). The
     scope is applied before the cut to ``k``. Ties go to the lower id. Vectors of another
-    dimension than the query's score 0.
+    dimension than the query's score 0. A query without a vector finds nothing.
     """
     session = vectors.sparkSession
     arrow = to_arrow_type(queries.schema["query_id"].dataType)
@@ -93,7 +93,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         kind = queries.schema["query_id"].dataType.simpleString()
         return vectors.select("id", "embedding", "boundary").mapInArrow(run, f"query_id {kind}, id string, score double")
 
-    for r in queries.select("query_id", "embedding", "scopes").toLocalIterator():
+    for r in queries.where("embedding is not null").select("query_id", "embedding", "scopes").toLocalIterator():
         rows.append(r)
         if len(rows) == QUERY_BLOCK:
             found = search(rows) if found is None else found.union(search(rows))

@@ -37,12 +37,29 @@ def net_changes(queue: DataFrame) -> DataFrame:
 
 
 def apply_changes(target: DataFrame, queue: DataFrame) -> DataFrame:
-    """``memory_id, payload, sequence_id`` after a queue: idempotent, older changes never win."""
-    last = net_changes(queue).withColumnRenamed("sequence_id", "_seq").withColumnRenamed("payload", "_payload")
-    both = target.join(last, "memory_id", "full")
+    """``memory_id, payload, sequence_id, deleted`` after a queue: idempotent, older changes never win.
+
+    A deleted fact leaves its sequence number behind (``deleted``, no payload), so that an
+    older change that comes late cannot bring it back. ``live`` are the other rows.
+    """
+    state = target if "deleted" in target.columns else target.withColumn("deleted", F.lit(False))
+    last = net_changes(queue).select("memory_id", F.col("sequence_id").alias("_seq"), F.col("payload").alias("_payload"), (F.col("operation") == "delete").alias("_gone"))
+    both = state.join(last, "memory_id", "full")
     newer = F.col("_seq").isNotNull() & (F.col("sequence_id").isNull() | (F.col("_seq") > F.col("sequence_id")))
-    kept = both.where(~F.coalesce(newer & (F.col("operation") == "delete"), F.lit(False)))
-    return kept.select("memory_id", F.when(newer, F.col("_payload")).otherwise(F.col("payload")).alias("payload"), F.when(newer, F.col("_seq")).otherwise(F.col("sequence_id")).alias("sequence_id"))
+    payload = F.when(newer, F.when(~F.col("_gone"), F.col("_payload"))).otherwise(F.col("payload"))
+    return both.select(
+        "memory_id", payload.alias("payload"), F.when(newer, F.col("_seq")).otherwise(F.col("sequence_id")).alias("sequence_id"), F.when(newer, F.col("_gone")).otherwise(F.col("deleted")).alias("deleted")
+    )
+
+
+def live(state: DataFrame) -> DataFrame:
+    """The facts of a state that were not deleted."""
+    return state.where(~F.col("deleted")).drop("deleted")
+
+
+def forget_deleted(state: DataFrame, below: Column | int) -> DataFrame:
+    """Drops the marks of deletes numbered under ``below``, once no change older than that can still come."""
+    return state.where(~F.col("deleted") | (F.col("sequence_id") >= below))
 
 
 def after_failures(queue: DataFrame, failures: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +80,7 @@ def after_failures(queue: DataFrame, failures: DataFrame, now: Column) -> tuple[
     alive = judged.where(~F.col("dies")).select(*[new.get(c, F.col(c)).alias(c) for c in queue.columns])
     dead = judged.where("dies").select(
         "id", "memory_id", F.col("operation").alias("failed_operation"), cut_bytes(F.col("error")).alias("failure_reason"), (F.col("attempts_made") + 1).alias("attempts_made"),
-        F.col("created_at").alias("first_failed_at"), now.alias("last_attempted_at"), "payload", F.lit(None).cast("string").alias("resolution"), F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.col("created_at").alias("first_failed_at"), now.alias("last_attempted_at"), "payload", F.lit(None).cast("string").alias("resolution"), F.lit(None).cast("timestamp").alias("resolved_at"), "sequence_id",
     )
     return alive, dead
 
@@ -74,6 +91,48 @@ def resolve(dead: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     return joined.withColumn("resolved_at", F.when(F.col("_new"), now).otherwise(F.col("resolved_at"))).withColumn("resolution", F.when(F.col("_new"), F.col("outcome")).otherwise(F.col("resolution"))).select(*dead.columns)
 
 
+def drain(depth: int, pending: DataFrame, most: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Pending entries that fit into the queue again, oldest first, and those that go on waiting.
+
+    An entry without a payload cannot be replayed and waits for an operator.
+    """
+    fits = pending.where(F.col("payload").isNotNull()).orderBy("queued_at", "memory_id").limit(max(0, most - depth))
+    return fits, pending.join(fits.select("memory_id"), "memory_id", "left_anti")
+
+
+def overflow_events(overflow: DataFrame, already: bool, now: Column) -> DataFrame:
+    """One audit row for the start of an overflow; none while it goes on (``already``) or without overflow."""
+    row = overflow.limit(0 if already else 1)
+    return row.select(now.alias("timestamp"), F.lit("queue_overflow").alias("event_type"), F.col("memory_id").alias("resource_id"))
+
+
+def retry_step(state: DataFrame, queue: DataFrame, now: Column, failures: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of the worker: ``(state, queue, dead letters)`` after the due entries were tried.
+
+    ``failures`` (``id, error, permanent, jitter``) are the due entries that did not go
+    through; the others are applied and leave the queue.
+    """
+    tried = due(queue, now, limit)
+    failed = failures.join(tried.select("id"), "id", "left_semi")
+    done = tried.join(failed.select("id"), "id", "left_anti")
+    left, dead = after_failures(queue.join(done.select("id"), "id", "left_anti"), failed, now)
+    return apply_changes(state, done), left, dead
+
+
+def replay(state: DataFrame, dead: DataFrame, ids: DataFrame, failed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Dead letters tried again by hand: ``(state, dead letters)`` after it.
+
+    ``ids`` names them, ``failed`` those that failed again. Resolved ones are left alone.
+    The letter's row needs ``sequence_id`` for the order of its change.
+    """
+    chosen = unresolved(dead).join(ids.select("id"), "id", "left_semi")
+    good = chosen.join(failed.select("id"), "id", "left_anti")
+    changes = good.select("memory_id", F.col("failed_operation").alias("operation"), "payload", "sequence_id")
+    bad = failed.select("id", F.lit(True).alias("_bad"))
+    outcomes = chosen.select("id").join(bad, "id", "left").select("id", F.when(F.col("_bad"), "retried_failed").otherwise("retried_succeeded").alias("outcome"))
+    return apply_changes(state, changes), resolve(dead, outcomes, now)
+
+
 def admit(depth: int, arrivals: DataFrame, most: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Arrivals that still fit into the queue, and the overflow, latest per fact, for the pending table.
 

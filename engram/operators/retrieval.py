@@ -7,6 +7,8 @@ score means differs between retrievers, and so does where a threshold applies.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def check_query(text: str, max_results: int) -> None:
         raise ValueError("query is empty")
     if len(text.encode("utf-8")) > MAX_QUERY_BYTES:
         raise ValueError(f"query is longer than {MAX_QUERY_BYTES} bytes")
-    if any(ord(c) < 32 or ord(c) == 127 for c in text):
+    if any(unicodedata.category(c) == "Cc" for c in text):
         raise ValueError("query holds control characters")
     if not 1 <= max_results <= MAX_RESULTS:
         raise ValueError(f"max_results must be within 1 and {MAX_RESULTS}")
@@ -92,27 +94,47 @@ def abstaining(results: DataFrame, queries: DataFrame, index: bm25.KeywordIndex,
     return results.join(best, "query_id", "left_semi")
 
 
-def pool(base: DataFrame, semantic_hits: DataFrame, graph_hits: DataFrame, most: int = POOL) -> DataFrame:
-    """``query_id, id, position``: graph, semantic and base hits in that order, first place wins."""
-    channels = [graph_hits, semantic_hits, base]
+def union_distinct(*channels: DataFrame) -> DataFrame:
+    """``query_id, id, score, position``: the channels' hits one channel after the other, the first place of each fact."""
     whole = None
     for n, channel in enumerate(channels):
-        part = channel.select("query_id", "id", F.lit(n).alias("channel"), "rank")
+        part = channel.select("query_id", "id", F.lit(n).alias("channel"), "rank", F.col("score").cast("double").alias("score"))
         whole = part if whole is None else whole.unionByName(part)
-    first = whole.groupBy("query_id", "id").agg(F.min(F.struct("channel", "rank")).alias("place"))
-    w = Window.partitionBy("query_id").orderBy("place", "id")
-    return first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("query_id", "id", "position")
+    first = whole.groupBy("query_id", "id").agg(F.min(F.struct("channel", "rank", "score")).alias("place"))
+    w = Window.partitionBy("query_id").orderBy("place.channel", "place.rank", "id")
+    return first.select("query_id", "id", F.col("place.score").alias("score"), F.row_number().over(w).alias("position"))
+
+
+def pool(base: DataFrame, semantic_hits: DataFrame, graph_hits: DataFrame) -> DataFrame:
+    """The candidates of a search: graph, semantic and base hits in that order, whole."""
+    return union_distinct(graph_hits, semantic_hits, base)
+
+
+def read_pool(base: DataFrame, semantic_hits: DataFrame) -> DataFrame:
+    """The candidates of a read: base hits, then the semantic hits that are missing there."""
+    return union_distinct(base, semantic_hits)
+
+
+def scored_part(pooled: DataFrame, most: int = POOL) -> DataFrame:
+    """The candidates that a relevance scorer is asked about."""
+    return pooled.where(F.col("position") <= most)
 
 
-def reranked(pooled: DataFrame, logits: DataFrame, max_results: int, threshold: float | None = None) -> DataFrame:
-    """Pool by sigmoid of the scorer's logit (``query_id, id, logit``), ties in pool order.
+def reranked(pooled: DataFrame, logits: DataFrame | None, max_results: int, threshold: float | None = None, most: int = POOL) -> DataFrame:
+    """The first ``most`` candidates by sigmoid of the scorer's logit (``query_id, id, logit``), ties in pool order.
 
-    The threshold applies after the sigmoid. A missing logit scores 0.
+    The threshold applies after the sigmoid. A missing logit scores 0. Without a scorer
+    (``logits`` is None) the whole pool comes back in its order and with its own scores.
     """
-    rows = pooled.join(logits, ["query_id", "id"], "left").withColumn("score", F.coalesce(sigmoid(F.col("logit").cast("double")), F.lit(0.0)))
+    if logits is None:
+        rows, order = pooled, [F.col("position")]
+    else:
+        scored = scored_part(pooled, most).drop("score").join(logits, ["query_id", "id"], "left")
+        rows = scored.withColumn("score", F.coalesce(sigmoid(F.col("logit").cast("double")), F.lit(0.0)))
+        order = [F.col("score").desc(), F.col("position")]
     if threshold is not None:
         rows = rows.where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "position")
+    w = Window.partitionBy("query_id").orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results).select("query_id", "id", "score", "position", "rank")
 
 
@@ -129,26 +151,62 @@ def relevance_gate(results: DataFrame, semantic_hits: DataFrame, floor: float =
     return results.join(open_, "query_id", "left_semi")
 
 
-def structured_read(results: DataFrame, hints: DataFrame, topics: DataFrame) -> DataFrame:
-    """Facts with their report topic, or one row without a fact where the answer abstains.
+def structured_read(results: DataFrame, queries: DataFrame, topics: DataFrame, scorer: bool = True) -> DataFrame:
+    """``query_id, abstain, top_relevance, id, rank, topic``: every fact found, with its report topic.
 
-    ``topics`` has ``id, topic, generated_at``; of several the last report's wins. A query
-    abstains when it has no result, a weak hint, or no result above the signal floor.
+    ``topics`` has ``id, topic, generated_at``; of several the last report's wins. ``abstain``
+    is a hint and removes no fact: the query has no result or, where a ``scorer`` ranked
+    them, a weak hint or a best score below the signal floor. A query without a result has
+    one row without a fact.
     """
     w = Window.partitionBy("id").orderBy(F.col("generated_at").desc(), F.col("topic").desc())
     label = topics.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") == 1).select("id", "topic")
     top = results.where(F.col("rank") == 1).select("query_id", F.col("score").alias("top"))
-    judged = hints.join(top, "query_id", "left").withColumn("abstained", F.col("top").isNull() | (F.col("hint") == "weak") | (F.col("top") < NO_SIGNAL))
-    facts = results.join(label, "id", "left")
-    return judged.select("query_id", "abstained").join(facts, "query_id", "left").where(~F.col("abstained") | F.col("rank").isNull() | (F.col("rank") == 1)).select(
-        "query_id", "abstained", *[F.when(~F.col("abstained"), F.col(c)).alias(c) for c in ("id", "score", "rank", "topic")]
-    )
+    judged = search_hint(results, queries).join(top, "query_id", "left")
+    weak = F.col("top").isNull() | ((F.col("hint") == "weak") | (F.col("top") < NO_SIGNAL) if scorer else F.lit(False))
+    judged = judged.select("query_id", weak.alias("abstain"), F.coalesce("top", F.lit(0.0)).alias("top_relevance"))
+    facts = results.join(label, "id", "left").select("query_id", "id", "rank", "topic")
+    return judged.join(facts, "query_id", "left").select("query_id", "abstain", "top_relevance", "id", "rank", "topic")
+
+
+#: Newest layout of a report that is understood.
+REPORT_VERSION = 1
+#: Staleness level to warning code and severity.
+STALE_CODES = {"info": ("report_stale_info", "info"), "warning": ("report_stale_warn", "warn"), "critical": ("report_stale_critical", "critical")}
+
+
+def report_warnings(scopes: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
+    """``query_id, position, turn, boundary, code, severity``: what is wrong with the reports of each caller's scopes.
+
+    ``scopes``: ``query_id, scopes`` (array in the caller's order). ``reports``: ``boundary,
+    schema_version, generated_at, topic_names_unavailable``. A missing report and one of a
+    newer layout are both ``report_missing``; a time to come hides the age. Order by
+    ``query_id, position, turn``.
+    """
+    asked = scopes.select("query_id", F.posexplode(F.array_distinct("scopes")).alias("position", "boundary"))
+    last = reports.groupBy("boundary").agg(F.max_by(F.struct("schema_version", "generated_at", "topic_names_unavailable"), "generated_at").alias("r"))
+    both = asked.join(last, "boundary", "left")
+    known = F.col("r").isNotNull() & (F.col("r.schema_version") <= REPORT_VERSION)
+    known = F.coalesce(known, F.lit(False))
+    ahead = F.col("r.generated_at") > now
+    level = staleness(F.col("r.generated_at"), now)
+    told = lambda turn, code, severity: F.struct(F.lit(turn).alias("turn"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    found = [F.when(~known, told(0, "report_missing", "warn")), F.when(known & ahead, told(1, "clock_skew_detected", "critical"))]
+    found += [F.when(known & ~ahead & (level == name), told(2, *said)) for name, said in STALE_CODES.items()]
+    found.append(F.when(known & F.col("r.topic_names_unavailable"), told(3, "topic_names_unavailable", "info")))
+    each = both.select("query_id", "position", "boundary", F.explode(F.array_compact(F.array(*found))).alias("w"))
+    return each.select("query_id", "position", "w.turn", "boundary", "w.code", "w.severity")
+
+
+def read_status(queries: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``query_id, status, warnings``: ``ok`` without a warning, ``critical`` with a critical one, else ``degraded``."""
+    told = warnings.groupBy("query_id").agg(F.max((F.col("severity") == "critical").cast("int")).alias("worst"), F.count(F.lit(1)).alias("warnings"))
+    status = F.when(F.col("worst") == 1, "critical").when(F.col("warnings") > 0, "degraded").otherwise("ok")
+    return queries.select("query_id").join(told, "query_id", "left").select("query_id", status.alias("status"), F.coalesce("warnings", F.lit(0).cast("bigint")).alias("warnings"))
 
 
 def report_health(reports: DataFrame, now: Column) -> DataFrame:
     """Per scope the staleness of its report, and the roll-up over all: critical beats any warning."""
-    from engram.functions.clock import staleness
-
     levels = reports.select("boundary", staleness(F.col("generated_at"), now).alias("level"))
     overall = F.when(F.max((F.col("level") == "critical").cast("int")) == 1, "critical").when(F.max((F.col("level") != "ok").cast("int")) == 1, "degraded").otherwise("ok")
     return levels.groupBy().agg(overall.alias("overall"), F.count_if(F.col("level") != "ok").alias("warnings"))

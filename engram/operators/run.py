@@ -36,6 +36,7 @@ def consolidation_run(
     since: Column | None = None,
     decisions: DataFrame | None = None,
     verdicts: DataFrame | None = None,
+    group_verdicts: DataFrame | None = None,
     merge_cosine: float = C.MERGE_COSINE,
     contradiction_cosine: float = C.CONTRADICTION_COSINE,
 ) -> RunResult:
@@ -43,7 +44,9 @@ def consolidation_run(
 
     ``decisions`` (``cluster_id, decision, new_id, merged_text, winner``) and ``verdicts``
     (``a, b, contradiction, shared_attribute``) are the answers of language models; a cluster
-    or pair without one is left alone. No phase deletes a fact.
+    or pair without one is left alone. ``group_verdicts`` (``cluster_id, id``) name the stale
+    facts of clusters that were judged as a whole; a verdict against all of a cluster is
+    refused. No phase deletes a fact.
     """
     members = materialise(C.clusters(memories, vectors, since, floor=merge_cosine), "run-clusters")
     plan = materialise(C.dedup_plan(members, memories, vectors), "run-plan")
@@ -58,6 +61,10 @@ def consolidation_run(
         pairs = C.contradiction_pairs(state, vectors, since, floor=contradiction_cosine)
         stale = C.judge_by_recency(pairs, verdicts, state).where(F.col("stale").isNotNull()).select(F.col("stale").alias("id"))
         state = materialise(C.invalidate(state, stale, now)[0], "run-state")
+    if group_verdicts is not None:
+        groups = members.select(F.col("cluster_id").alias("group_id"), "id")
+        named = C.guarded(group_verdicts.select(F.col("cluster_id").alias("group_id"), "id"), groups)
+        state = materialise(C.invalidate(state, named.where(~F.col("refused")).select("id"), now)[0], "run-state")
     state = materialise(C.apply_decay(state, C.decay_plan(state, now), now), "run-state")
     state = materialise(C.apply_archive(state, C.archive_plan(state, now), now), "run-state")
     return RunResult(state, C.checkpoint_diff(memories, state), review, C.run_counts(memories, state))

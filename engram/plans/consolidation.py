@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from engram.functions.clock import rfc3339
 from engram.operators import consolidate, evaluate, topics
 from engram.plans import sql as S
 from engram.plans.register import Register
@@ -157,7 +158,7 @@ def _aged(spark, d):
 @REGISTER(f"WITH {_DECAY} SELECT m.id, round(CAST(coalesce(d.lower, m.confidence) AS DOUBLE), 4) AS confidence, CASE WHEN a.id IS NOT NULL THEN {NOW} ELSE archived END AS archived, CASE WHEN d.id IS NOT NULL THEN {NOW} ELSE decayed_at END AS decayed_at FROM memories m LEFT JOIN decay d ON d.id = m.id LEFT JOIN archive a ON a.id = m.id")
 def decay_and_archive_applied(spark, d):
     after = _aged(spark, d)[1]
-    return after.select("id", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), seconds("archived_at").alias("archived"), F.get_json_object("metadata_json", "$.decay.last_decay_at").cast("bigint").alias("decayed_at"))
+    return after.select("id", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), seconds("archived_at").alias("archived"), seconds(rfc3339(F.get_json_object("metadata_json", "$.decay.last_decay_at"))).alias("decayed_at"))
 
 
 @REGISTER(f"WITH {_DECAY} SELECT id AS memory_id, boundary, 'modified' AS change_type FROM memories WHERE id IN (SELECT id FROM decay UNION SELECT id FROM archive)")

@@ -24,9 +24,11 @@ def entities_in_scope(spark, d):
     return graph.list_entities(views.entities(spark, d), SCOPE).select("id", "name", "entity_type", "boundary")
 
 
-@REGISTER(f"WITH {S.ENTITIES} SELECT id FROM entities WHERE name = 'FRANCE' AND entity_type = 'location' AND boundary = 'europe'")
+@REGISTER(f"WITH {S.ENTITIES}, wanted AS (SELECT name FROM entities WHERE entity_type = 'location' AND boundary = 'europe' ORDER BY id LIMIT 1) SELECT id, name, boundary FROM entities WHERE name = (SELECT name FROM wanted) AND entity_type = 'location' AND boundary = 'europe'")
 def entity_lookup(spark, d):
-    return graph.entity_by_key(views.entities(spark, d), "FRANCE", "location", "europe").select("id")
+    e = views.entities(spark, d)
+    name = e.where("entity_type = 'location' and boundary = 'europe'").orderBy("id").first().name
+    return graph.entity_by_key(e, name, "location", "europe").select("id", "name", "boundary")
 
 
 def _starts(spark, d):
@@ -51,39 +53,71 @@ def bounded_walks(spark, d):
     return made.select("start", "entity_id", "depth", F.array_join("path", ",").alias("path"), "name")
 
 
+SCOPES = (SCOPE, ["america", "asia"])
+_SCOPES = "CASE WHEN c_custkey % 40 = 0 THEN ['asia', 'europe', 'africa'] ELSE ['america', 'asia'] END"
+
+
 def _queries(spark, d):
-    """Questions that name a customer, a nation and a hub."""
+    """Questions that name a customer, a nation and a hub, from callers with one of two scopes."""
     c = table(spark, d, "customer").where("c_custkey % 20 = 0").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.concat(F.lit("Where does "), "c_name", F.lit(" live, is it "), "n_name", F.lit("?"))
-    return c.select(F.col("c_custkey").alias("query_id"), text.alias("text"), F.array(*[F.lit(s) for s in SCOPE]).alias("scopes"))
+    first, second = (F.array(*[F.lit(b) for b in s]) for s in SCOPES)
+    return c.select(F.col("c_custkey").alias("query_id"), text.alias("text"), F.when(F.col("c_custkey") % 40 == 0, first).otherwise(second).alias("scopes"))
 
 
-_NAMED = f"""{_G}, q AS (SELECT c_custkey AS query_id, {S.words("'Where does ' || c_name || ' live, is it ' || n_name || '?'")} AS w FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0),
-e AS (SELECT id, boundary, {S.words('name')} AS w FROM entities WHERE boundary IN {_IN} AND entity_type IN ('person', 'location')),
-named AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS turn FROM q JOIN e ON contains(' ' || array_to_string(q.w, ' ') || ' ', ' ' || array_to_string(e.w, ' ') || ' ')) WHERE turn <= 8)"""
+_NAMED = f"""{_G}, q AS (SELECT c_custkey AS query_id, {S.words("'Where does ' || c_name || ' live, is it ' || n_name || '?'")} AS w, {_SCOPES} AS scopes FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0),
+e AS (SELECT id, boundary, {S.words('name')} AS w FROM entities),
+named AS (SELECT * FROM (SELECT query_id, id, scopes, row_number() OVER (PARTITION BY query_id ORDER BY id) AS turn FROM q JOIN e ON list_contains(scopes, boundary) AND contains(' ' || array_to_string(q.w, ' ') || ' ', ' ' || array_to_string(e.w, ' ') || ' ')) WHERE turn <= 8)"""
 
 
 @REGISTER(f"WITH {_NAMED} SELECT query_id, id, CAST(turn AS INTEGER) AS turn FROM named")
 def mentioned_entities(spark, d):
-    e = views.entities(spark, d).where("entity_type in ('person', 'location')")
-    return graph.mentioned_entities(_queries(spark, d), e).select("query_id", "id", F.col("entity_turn").alias("turn"))
+    return graph.mentioned_entities(_queries(spark, d), views.entities(spark, d)).select("query_id", "id", F.col("entity_turn").alias("turn"))
+
+
+def _crossed(spark, d):
+    """The edges, of which some customers' lie in another scope than the ends, and nations that touch two scopes."""
+    r, n = views.relationships(spark, d), F.substring("from_entity_id", 2, 12).cast("bigint")
+    return r.withColumn("boundary", F.when(F.col("from_entity_id").startswith("c") & (n % 3 == 1), "america").when(F.col("from_entity_id").startswith("n") & (n % 2 == 1), "africa").otherwise(F.col("boundary")))
+
+
+_CROSSED = "ce AS (SELECT * REPLACE (CASE WHEN f LIKE 'c%' AND CAST(f[2:] AS BIGINT) % 3 = 1 THEN 'america' WHEN f LIKE 'n%' AND CAST(f[2:] AS BIGINT) % 2 = 1 THEN 'africa' ELSE boundary END AS boundary) FROM edges)"
+MOST_GRAPH = 12
 
 
 @REGISTER(
-    f"""WITH RECURSIVE {_NAMED.replace("boundary IN " + _IN + " AND entity_type IN ('person', 'location')", "boundary IN " + _IN)}, o AS (SELECT * FROM edges WHERE ends IS NULL),
-walk AS (SELECT DISTINCT id AS start, id AS pos, [id] AS seen, CAST([] AS VARCHAR[]) AS path, 0 AS depth FROM named
-  UNION ALL SELECT start, t, list_append(seen, t), list_append(path, o.id), depth + 1 FROM walk JOIN o ON f = pos WHERE depth < 2 AND NOT list_contains(seen, t)),
-far AS (SELECT start, unnest(path) AS edge FROM (SELECT *, row_number() OVER (PARTITION BY start, pos ORDER BY depth, path) AS turn FROM walk WHERE depth > 0) WHERE turn = 1),
-near AS (SELECT DISTINCT n.id AS start, o.id AS edge FROM named n JOIN o ON o.f = n.id OR o.t = n.id),
-hit AS (SELECT query_id, source AS id, min(struct_pack(turn := turn, edge := edge)) AS met, string_agg(DISTINCT name, ', ' ORDER BY name) AS names
-  FROM named n JOIN (SELECT * FROM far UNION SELECT * FROM near) l ON l.start = n.id JOIN edges ed ON ed.id = edge JOIN entities en ON en.id = n.id WHERE ed.boundary IN {_IN} GROUP BY query_id, source),
-cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY met, id) AS turn FROM hit), {S.MEMORIES.replace('lang AS boundary', "'asia' AS boundary")}
-SELECT query_id, id, 0.5 AS score, 'connected via ' || names AS explanation FROM cut JOIN memories m USING (id) WHERE cut.turn <= 32 AND {S.ACTIVE}"""
+    f"""WITH RECURSIVE {_NAMED}, {_CROSSED}, o AS (SELECT * FROM ce WHERE ends IS NULL), st AS (SELECT DISTINCT id, scopes FROM named),
+walk AS (SELECT id AS start, scopes, id AS pos, [id] AS seen, CAST([] AS VARCHAR[]) AS path, 0 AS depth FROM st
+  UNION ALL SELECT start, scopes, t, list_append(seen, t), list_append(path, o.id), depth + 1 FROM walk JOIN o ON f = pos WHERE depth < 2 AND NOT list_contains(seen, t) AND list_contains(scopes, boundary)),
+best AS (SELECT w.*, row_number() OVER (PARTITION BY start, scopes, pos ORDER BY depth, path) AS turn FROM walk w JOIN entities en ON en.id = pos WHERE depth > 0 AND list_contains(scopes, en.boundary)),
+far AS (SELECT start, scopes, unnest(path) AS edge, struct_pack(d := depth, p := path, k := unnest(range(0, len(path)))) AS place FROM best WHERE turn = 1),
+near AS (SELECT DISTINCT st.id AS start, scopes, o.id AS edge, struct_pack(d := 0, p := [o.id], k := CAST(0 AS BIGINT)) AS place FROM st JOIN o ON (o.f = st.id OR o.t = st.id) AND list_contains(scopes, boundary)),
+read AS (SELECT n.query_id, n.scopes, source AS id, en.name, struct_pack(t := turn, q := place) AS met FROM named n JOIN (SELECT * FROM near UNION ALL SELECT * FROM far) l ON l.start = n.id AND l.scopes = n.scopes JOIN edges ed ON ed.id = edge JOIN entities en ON en.id = n.id),
+firsts AS (SELECT query_id, id, min(met) AS m FROM read GROUP BY query_id, id),
+turns AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m, id) AS turn FROM firsts),
+lasts AS (SELECT query_id, m FROM turns WHERE turn = 32),
+via AS (SELECT r.query_id, r.scopes, r.id, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM read r JOIN turns t ON t.query_id = r.query_id AND t.id = r.id LEFT JOIN lasts z ON z.query_id = r.query_id WHERE t.turn <= 32 AND (z.m IS NULL OR r.met <= z.m) GROUP BY r.query_id, r.scopes, r.id), {S.MEMORIES.replace('lang AS boundary', "CASE WHEN doc_id % 5 = 0 THEN 'europe' ELSE 'asia' END AS boundary")},
+hit AS (SELECT query_id, id, names, row_number() OVER (PARTITION BY query_id ORDER BY created DESC, id DESC) AS rank FROM via JOIN memories m USING (id) WHERE list_contains(scopes, m.boundary) AND {S.ACTIVE})
+SELECT query_id, id, 0.5 AS score, CAST(rank AS INTEGER) AS rank, 'graph: connected via ' || names AS explanation FROM hit WHERE rank <= {MOST_GRAPH}"""
 )
 def retrieve_graph(spark, d):
-    m = views.memories(spark, d).withColumn("boundary", F.lit("asia"))
-    made = graph.retrieve_graph(_queries(spark, d), m, views.entities(spark, d), views.relationships(spark, d), views.now())
-    return made.select("query_id", "id", "score", "explanation")
+    m = views.memories(spark, d).withColumn("boundary", F.when(F.col("id").cast("bigint") % 5 == 0, "europe").otherwise("asia"))
+    made = graph.retrieve_graph(_queries(spark, d), m, views.entities(spark, d), _crossed(spark, d), MOST_GRAPH)
+    return made.select("query_id", "id", "score", "rank", "explanation")
+
+
+@REGISTER(
+    f"""WITH RECURSIVE {_G}, o AS (SELECT * FROM edges WHERE ends IS NULL AND boundary IN {_IN}),
+walk AS (SELECT id AS start, id AS pos, [id] AS seen, CAST([] AS VARCHAR[]) AS path, 0 AS depth FROM entities WHERE entity_type = 'organization'
+  UNION ALL SELECT start, t, list_append(seen, t), list_append(path, o.id), depth + 1 FROM walk JOIN o ON f = pos WHERE depth < 2 AND NOT list_contains(seen, t)),
+best AS (SELECT *, row_number() OVER (PARTITION BY start, pos ORDER BY depth, path) AS turn FROM walk WHERE depth > 0)
+SELECT start, entity_id, CAST(position AS INTEGER) AS position, edge, relation_type FROM (SELECT start, pos AS entity_id, unnest(path) AS edge, unnest(range(0, len(path))) AS position FROM best JOIN entities e ON e.id = pos WHERE turn = 1 AND e.boundary IN {_IN}) JOIN edges x ON x.id = edge"""
+)
+def walked_edges(spark, d):
+    """The edges along each path, in their order."""
+    r, e = views.relationships(spark, d), views.entities(spark, d)
+    paths = graph.traverse(r, e, e.where("entity_type = 'organization'").select("id"), SCOPE)
+    return graph.path_edges(paths, r).select("start", "entity_id", "position", "edge", "relation_type")
 
 
 @REGISTER(f"WITH {S.ENTITIES} SELECT id, entity_type FROM entities WHERE entity_type = 'person' AND CAST(id[2:] AS BIGINT) % 2 = 1")

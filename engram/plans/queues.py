@@ -39,7 +39,7 @@ FROM t FULL JOIN net USING (memory_id) WHERE NOT coalesce(net.seq > coalesce(t.s
 def changes_applied(spark, d):
     seq = F.when(F.col("c_custkey") % 3 == 0, 1_000_000).otherwise(0).cast("bigint")
     target = table(spark, d, "customer").select(views.key("c_custkey").alias("memory_id"), F.col("c_name").alias("payload"), seq.alias("sequence_id"))
-    return outbox.apply_changes(target, views.outbox(spark, d))
+    return outbox.live(outbox.apply_changes(target, views.outbox(spark, d)))
 
 
 _FAIL = f"{S.OUTBOX}, f AS (SELECT *, seq % 20 = 0 AS permanent, (seq % 21 - 10) / 10.0::DOUBLE AS jitter FROM outbox WHERE seq % 4 = 0)"

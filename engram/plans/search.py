@@ -117,31 +117,51 @@ def retrieve_abstaining(spark, d):
 
 _LOGIT = "CAST((CAST(id AS BIGINT) * 37 + query_id * 11) % 200 - 130 AS DOUBLE) / 25"
 _POOLED = lambda fused: f"""{_SEM(20, 'tq', 'sem20')}, {fused.replace('sem', 'sfm').replace('kw', 'kfw')},
-place AS (SELECT query_id, id, min(ch * 1000 + rank) AS p FROM (SELECT query_id, id, 1 AS ch, rank FROM sem20 UNION ALL SELECT query_id, id, 2, rank FROM fused) GROUP BY query_id, id),
+place AS (SELECT query_id, id, min(ch * 1000 + rank) AS p FROM (SELECT query_id, {S.KEY.format('query_id * 13 % 200 + n * 3')} AS id, 0 AS ch, n AS rank FROM tq, (VALUES (1), (2)) g(n) UNION ALL SELECT query_id, id, 1, rank FROM sem20 UNION ALL SELECT query_id, id, 2, rank FROM fused) GROUP BY query_id, id),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, id) AS position FROM place),
 scored AS (SELECT query_id, id, position, 1 / (1 + exp(-({_LOGIT}))) AS score FROM pool WHERE position <= 40),
 reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM scored WHERE score >= 0.05) WHERE rank <= {PAGE})"""
-_POOL = _POOLED(_FUSED)
+_POOL = _POOLED(_FUSE(retrieval.FANOUT))
 
 
-def _reranked(spark, d, base_size=PAGE):
-    q, m, _, base = _hybrid(spark, d, base_size)
+def _pooled(spark, d):
+    """Queries, semantic hits and the pool of all three channels; the graph channel has two facts a query."""
+    q, m, _, base = _hybrid(spark, d, retrieval.FANOUT)
     hits = retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT)
-    pooled = retrieval.pool(base, hits, base.limit(0))
+    n = F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")
+    linked = q.select("query_id", n).withColumn("n", F.col("query_id") * 13 % 200 + F.col("rank") * 3).select("query_id", views.key("n").alias("id"), F.lit(0.5).alias("score"), "rank")
+    return q, hits, retrieval.pool(base, hits, linked)
+
+
+def _reranked(spark, d):
+    q, hits, pooled = _pooled(spark, d)
     logits = pooled.select("query_id", "id", (((F.col("id").cast("bigint") * 37 + F.col("query_id") * 11) % 200 - 130) / 25.0).alias("logit"))
     return q, hits, retrieval.reranked(pooled, logits, PAGE, 0.05)
 
 
 @REGISTER(f"WITH {_BASE}, {_POOL} {_OUT} reranked")
 def retrieve_reranked(spark, d):
-    """The pool holds a page of hybrid hits, as its SQL has it; ``retrieve_reranked_wide`` takes the whole fan-out."""
+    """Graph, semantic and hybrid hits up to the fan-out reach the reranker; the page is cut after it."""
     return _out(_reranked(spark, d)[2])
 
 
-@REGISTER(f"WITH {_BASE}, {_POOLED(_FUSE(retrieval.FANOUT))} {_OUT} reranked")
-def retrieve_reranked_wide(spark, d):
-    """Hybrid hits up to the fan-out reach the reranker; the page is cut after it."""
-    return _out(_reranked(spark, d, retrieval.FANOUT)[2])
+@REGISTER(f"WITH {_BASE}, {_POOL} SELECT query_id, id, CAST(position AS INTEGER) AS rank FROM pool")
+def retrieve_without_scorer(spark, d):
+    """No scorer at hand: the whole pool in its order, nothing cut off at the scorer's batch."""
+    pooled = _pooled(spark, d)[2]
+    return retrieval.reranked(pooled, None, retrieval.MAX_RESULTS).select("query_id", "id", "rank")
+
+
+@REGISTER(
+    f"""WITH {_BASE}, {_SEM(20, 'tq', 'sem20')}, {_FUSE(PAGE).replace('sem', 'sfm').replace('kw', 'kfw')},
+place AS (SELECT query_id, id, min(ch * 1000 + rank) AS p FROM (SELECT query_id, id, 2 AS ch, rank FROM sem20 UNION ALL SELECT query_id, id, 1, rank FROM fused) GROUP BY query_id, id)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p, id) AS INTEGER) AS position FROM place"""
+)
+def read_candidates(spark, d):
+    """Hybrid hits, then the semantic hits that are missing there."""
+    q, m, _, base = _hybrid(spark, d)
+    hits = retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT)
+    return retrieval.read_pool(base, hits).select("query_id", "id", "position")
 
 
 _HINTS = f"""top AS (SELECT query_id, max(score) FILTER (rank = 1) AS a, coalesce(max(score) FILTER (rank = 2), 0) AS b FROM reranked GROUP BY query_id),
@@ -161,17 +181,43 @@ def relevance_gate(spark, d):
 
 
 @REGISTER(
-    f"""WITH {_BASE}, {_POOL}, {_HINTS}, j AS (SELECT query_id, a IS NULL OR hint = 'weak' OR a < 0.01 AS abstained FROM hints)
-SELECT query_id, abstained, CASE WHEN NOT abstained THEN id END AS id, CASE WHEN NOT abstained THEN round(score, 6) END AS score, CASE WHEN NOT abstained THEN CAST(rank AS INTEGER) END AS rank,
-CASE WHEN NOT abstained THEN 'late ' || (CAST(id AS BIGINT) % 5) END AS topic FROM j LEFT JOIN reranked USING (query_id) WHERE NOT abstained OR rank IS NULL OR rank = 1"""
+    f"""WITH {_BASE}, {_POOL}, {_HINTS}, j AS (SELECT query_id, a IS NULL OR hint = 'weak' OR a < 0.01 AS abstain, coalesce(a, 0) AS a FROM hints)
+SELECT query_id, abstain, round(a, 6) AS top_relevance, id, CAST(rank AS INTEGER) AS rank, CASE WHEN id IS NOT NULL THEN 'late ' || (CAST(id AS BIGINT) % 5) END AS topic FROM j LEFT JOIN reranked USING (query_id)"""
 )
 def structured_read(spark, d):
     q, _, rows = _reranked(spark, d)
     n = F.col("id").cast("bigint") % 5
-    ids = views.memories(spark, d).select("id")
+    ids = rows.select("id").distinct()
     topics = ids.select("id", F.concat(F.lit("early "), n.cast("string")).alias("topic"), views.at(NOW - 9).alias("generated_at")).unionByName(ids.select("id", F.concat(F.lit("late "), n.cast("string")).alias("topic"), views.now().alias("generated_at")))
-    made = retrieval.structured_read(rows, retrieval.search_hint(rows, q), topics)
-    return made.select("query_id", "abstained", "id", F.round("score", 6).alias("score"), "rank", "topic")
+    made = retrieval.structured_read(rows, q, topics)
+    return made.select("query_id", "abstain", F.round("top_relevance", 6).alias("top_relevance"), "id", "rank", "topic")
+
+
+_REPORTS = f"""rep AS (SELECT * FROM (VALUES ('en', 1, {NOW} - 60, false), ('de', 1, {NOW} - 30 * 3600, true), ('es', 2, {NOW} - 60, false), ('fr', 1, {NOW} - 8 * 86400, true), ('it', 1, {NOW} - 80 * 3600, false), ('pt', 1, {NOW} + 5, true)) t(boundary, version, made, unnamed)),
+caller AS (SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 0 THEN ['en'] WHEN 1 THEN ['en', 'de', 'es'] WHEN 2 THEN ['none', 'it', 'fr'] ELSE ['pt', 'en'] END AS scopes FROM customer),
+asked AS (SELECT query_id, unnest(scopes) AS boundary, unnest(range(0, len(scopes))) AS position FROM caller),
+told AS (SELECT query_id, position, a.boundary, unnest(list_filter([CASE WHEN coalesce(version, 9) > 1 THEN '0report_missing/warn' END, CASE WHEN version = 1 AND made > {NOW} THEN '1clock_skew_detected/critical' END,
+  CASE WHEN version = 1 AND made <= {NOW} THEN CASE WHEN {NOW} - made >= 604800 THEN '2report_stale_critical/critical' WHEN {NOW} - made >= 259200 THEN '2report_stale_warn/warn' WHEN {NOW} - made >= 86400 THEN '2report_stale_info/info' END END,
+  CASE WHEN version = 1 AND unnamed THEN '3topic_names_unavailable/info' END], lambda x: x IS NOT NULL)) AS w FROM asked a LEFT JOIN rep USING (boundary))"""
+
+
+def _warnings(spark, d):
+    made = [("en", 1, NOW - 60, False), ("de", 1, NOW - 30 * 3600, True), ("es", 2, NOW - 60, False), ("fr", 1, NOW - 8 * 86400, True), ("it", 1, NOW - 80 * 3600, False), ("pt", 1, NOW + 5, True)]
+    reports = spark.createDataFrame(made, "boundary string, schema_version int, at long, topic_names_unavailable boolean").withColumn("generated_at", views.at(F.col("at")))
+    sets = [F.array(*[F.lit(b) for b in s]) for s in (("en",), ("en", "de", "es"), ("none", "it", "fr"), ("pt", "en"))]
+    callers = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.element_at(F.array(*sets), (F.col("c_custkey") % 4 + 1).cast("int")).alias("scopes"))
+    return callers, retrieval.report_warnings(callers, reports, views.now())
+
+
+@REGISTER(f"WITH {_REPORTS} SELECT query_id, CAST(position AS INTEGER) AS position, CAST(w[1] AS INTEGER) AS turn, boundary, split_part(w[2:], '/', 1) AS code, split_part(w, '/', 2) AS severity FROM told")
+def read_warnings(spark, d):
+    """Reports that are fine, old, from a later time, of a newer layout or missing."""
+    return _warnings(spark, d)[1]
+
+
+@REGISTER(f"WITH {_REPORTS} SELECT query_id, CASE WHEN bool_or(w LIKE '%critical') THEN 'critical' WHEN count(w) > 0 THEN 'degraded' ELSE 'ok' END AS status, count(w) AS warnings FROM caller LEFT JOIN told USING (query_id) GROUP BY query_id")
+def read_health(spark, d):
+    return retrieval.read_status(*_warnings(spark, d))
 
 
 @REGISTER(f"WITH {_BASE}, {_POOL} SELECT query_id, round(avg(score), 6) AS mean_score FROM reranked WHERE rank <= 3 GROUP BY query_id")

@@ -16,7 +16,7 @@ MEMORIES = f"""memories AS (SELECT {KEY.format('doc_id')} AS id, doc_id AS n, te
   {EPOCH} + doc_id * 60 - (doc_id % 500) * {DAY} AS used,
   CASE WHEN doc_id % 13 = 0 THEN {KEY.format('doc_id + 1')} END AS superseded_by,
   CASE WHEN doc_id % 17 = 0 THEN {EPOCH} + doc_id * 60 + 10 * {DAY} END AS archived,
-  CASE WHEN doc_id % 10 = 0 THEN {EPOCH} + doc_id * 60 - (doc_id % 400) * {DAY} END AS decayed_at
+  CASE WHEN doc_id % 10 = 0 AND doc_id % 70 <> 0 AND doc_id % 110 <> 0 THEN {EPOCH} + doc_id * 60 - (doc_id % 400) * {DAY} END AS decayed_at
   FROM documents)"""
 VECTORS = f"""vectors AS (SELECT {KEY.format('vec_id')} AS id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS e,
   CASE vec_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' ELSE 'fr' END AS boundary, label FROM embeddings)"""

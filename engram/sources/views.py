@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions.clock import as_rfc3339
 from engram.sources.shared import table
 
 #: 2025-01-01T00:00:00Z, and the point in time that queries take for now.
@@ -45,7 +46,12 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         at(created - (d % 500) * DAY).alias("last_accessed"),
         F.when(d % 13 == 0, F.lpad((d + 1).cast("string"), 12, "0")).alias("superseded_by"),
         F.when(d % 17 == 0, at(created + 10 * DAY)).alias("archived_at"),
-        F.when(d % 10 == 0, F.concat(F.lit('{"decay":{"last_decay_at":'), (created - (d % 400) * DAY).cast("string"), F.lit("}}"))).otherwise("{}").alias("metadata_json"),
+        # Some markers are malformed: no time at all, or a bare number.
+        F.when(d % 70 == 0, '{"decay":{"last_decay_at":"not a time"}}')
+        .when(d % 110 == 0, '{"decay":{"last_decay_at":1700000000}}')
+        .when(d % 10 == 0, F.concat(F.lit('{"decay":{"last_decay_at":"'), as_rfc3339(at(created - (d % 400) * DAY)), F.lit('"}}')))
+        .otherwise("{}")
+        .alias("metadata_json"),
     )
 
 

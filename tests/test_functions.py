@@ -98,3 +98,17 @@ def test_validation_reports_each_rule(spark, tiny):
     assert schema.validate_vectors(views.vectors(spark, tiny), 32).first().violations == ["dimension"]
     assert schema.validate_entities(views.entities(spark, tiny)).where(F.size("violations") > 0).count() == 0
     assert {t: len(schema.schema(t).fields) for t in ("memories", "audit_log")} == {"memories": 14, "audit_log": 15}
+
+
+def test_words_of_other_scripts_and_trimming(spark):
+    assert one(spark, "नीला Øre x٣", text.words(F.col("v")))[0] == ["नीला", "øre", "x٣"]
+    assert one(spark, "\u00a0the user\n", text.is_hub(F.col("v")))[0] and one(spark, " \tA b\u3000", text.name_key(F.col("v")))[0] == "a b"
+    assert [one(spark, x, text.has_control(F.col("v")))[0] for x in ("a\u0085b", "a\x07", "a é")] == [True, True, False]
+    assert one(spark, "ab\ufffdcd", text.cut_bytes(F.col("v"), 5))[0] == "ab\ufffd"
+
+
+def test_unit_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), (None,)], "v array<float>")
+    assert [r[0] and [round(x, 4) for x in r[0]] for r in df.select(vector.normalised(F.col("v"))).collect()] == [[0.6, 0.8], None]
+    with pytest.raises(Exception, match="length zero"):
+        spark.createDataFrame([([0.0],)], "v array<float>").select(vector.normalised(F.col("v"))).collect()
