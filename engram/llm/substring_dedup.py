@@ -3,20 +3,29 @@
 Recompression names the text in rounds. A round first replaces every run of equal symbols
 by one symbol, then splits the alphabet in two halves by a bit of the symbol's name and
 replaces every left-half symbol followed by a right-half symbol with one symbol for the
-pair. Names are 64-bit hashes of what they stand for, so all executors give the same run or
-pair the same name without an exchange. Whether a symbol stands at a place depends on a
-short stretch of words around it, which is carried along as its support. A window of
-``WINDOW`` words that holds a symbol's whole support therefore has that symbol at that
-place wherever it occurs.
-
-Each window goes under the least symbol whose support it holds (a window without one goes
-under its own hash), together with a hash of all its words. Windows with the same symbol
-and hash are copies of one another. Consecutive windows under one symbol travel as one row.
-
-Copies inside one chunk of documents are found before the shuffle: a window that occurs
-twice in a chunk is sent once, already known to repeat. So a passage that a third of all
-documents share reaches a reducer once a chunk, not once a document. Verdicts come back as
-bit masks and are joined to the texts, which cross the shuffle compressed.
+pair. A name is a 64-bit hash of what it stands for, so a run or pair has the same name
+wherever it occurs. Whether a symbol stands at a place depends on a short stretch of words
+around it, which is carried along as its support. A window of ``WINDOW`` words that holds a
+symbol's whole support therefore has that symbol at that place wherever it occurs. The
+highest symbols here are ``JOINED`` neighbours of the last round under one name.
+
+Each window is anchored at the highest symbol whose support it holds (the least name of
+those of one level), so windows with equal words have equal anchors. The search then goes
+through rounds over all documents:
+
+1. ``_chunks`` reads the texts once into chunks of documents: their words as codes of a small
+   dictionary, and the anchors. Chunks are a written table; the rounds after it read codes.
+2. ``_shared`` counts the anchors' names over all chunks. A window whose anchor stands at one
+   place only in all texts cannot repeat and is never looked at again.
+3. ``_candidates`` names the other windows by all their words, and the windows whose name
+   stands at a second place repeat. This name has 96 bits (a hash of the words, and a second
+   one together with the anchor): among 4e12 windows that are left of 100 TB of text, one
+   false repeat is expected with a probability of 1e-4.
+4. ``_kept`` removes the words.
+
+A chunk counts each name once, so a passage that a third of all documents share meets in a
+round as a row a chunk, and the names of windows, not the anchors, spread the windows over
+tasks: a common anchor with many different surroundings is no hot key.
 """
 
 from __future__ import annotations
@@ -27,18 +36,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.llm.memory import tidied
+from engram.sources.shared import materialise
 
 WINDOW = 35
 ROUNDS = 3
-#: Words gathered before a chunk is processed; one longer document is a chunk of its own.
-CHUNK_WORDS = 500_000
+JOINED = 3
+#: Words gathered before a chunk is closed; one longer document is a chunk of its own.
+CHUNK_WORDS = 400_000
 WORDS_KEPT = 150_000
-MASK_BITS = 62
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -153,180 +164,231 @@ def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
-def chunk_rows(rids: list[int], texts: list[list[int]], window: int = WINDOW) -> dict[str, np.ndarray]:
-    """Rows of one chunk: ``sym, rid, start, known, offsets, hashes``.
+def anchors(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, joined: int = JOINED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows start, and their stretches of one anchor: ``(places, sizes, symbols)``.
 
-    ``start`` is the first window of the row in its document. Bit ``i`` of ``known`` says
-    that window ``start + i`` repeats within the chunk. A row without hashes only reports.
+    Windows that follow one another and are anchored at the same symbol of one document are
+    a stretch. Levels from the top: ``joined``, two and one symbol of the last round, then
+    single words, of which every window has one.
     """
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    names = np.concatenate([np.asarray(t, dtype=np.uint64) for t in texts])
     begins = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    hashes = window_hashes(names, window)
-    place = np.flatnonzero(np.arange(len(hashes)) + window <= (begins + lengths)[doc[: len(hashes)]])
-    hashes = hashes[place]
-    if not len(place):
-        return {}
-    sym, lo, hi = recompress(names, doc)
-    from_, to = np.searchsorted(lo, place, "left"), np.searchsorted(hi, place + window, "right")
-    has = to > from_
-    owner = np.full(len(place), -1, dtype=np.int64)
-    if has.any():
-        owner[has] = _least(mix(sym * _B + _A), from_[has], to[has])
-    key = np.where(has, sym[np.maximum(owner, 0)], hashes)
-    owner = np.where(has, owner, -1 - np.arange(len(place)))
-
-    _, index, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    known = counts[inverse] > 1
-    sent = np.zeros(len(place), dtype=bool)
-    sent[index] = True
-
-    where = doc[place]
-    rid = np.asarray(rids, dtype=np.int64)
-    start = place - begins[where]
-    out = {k: [] for k in ("sym", "rid", "start", "known", "size")}
-
-    def group(at: np.ndarray, by: np.ndarray, report_only: bool) -> None:
-        if not len(at):
-            return
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (np.diff(at) != 1) | (by[1:] != by[:-1]) | (np.diff(where[at]) != 0)
-        begin = np.flatnonzero(new)
-        number = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        if report_only:
-            new |= number % MASK_BITS == 0
-            begin = np.flatnonzero(new)
-            number = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        bits = np.where(known[at], np.int64(1) << number, np.int64(0))
-        out["rid"].append(rid[where[at[begin]]])
-        out["start"].append(start[at[begin]])
-        out["known"].append(np.bitwise_or.reduceat(bits, begin))
-        size = np.diff(np.append(begin, len(at)))
-        out["size"].append(np.zeros_like(size) if report_only else size)
-        # A report needs no reducer of its own and is dealt out evenly.
-        out["sym"].append(mix(out["rid"][-1].astype(np.uint64) + _A * out["start"][-1].astype(np.uint64)) if report_only else key[at[begin]])
-
-    group(np.flatnonzero(sent), owner[sent], False)
-    silent = np.flatnonzero(~sent)
-    group(silent, np.zeros(len(silent), dtype=np.int64), True)
-    made = {k: np.concatenate(v) for k, v in out.items()}
-    made["hashes"] = hashes[sent]
-    return made
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _WordHashes()
-    rids: list[int] = []
-    texts: list[list[int]] = []
-    gathered = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal gathered
-        made = chunk_rows(rids, texts) if texts else {}
-        rids.clear(), texts.clear()
-        gathered = 0
-        if made:
-            offsets = np.concatenate(([0], np.cumsum(made["size"]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made["hashes"].view(np.int64)))
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array(made["sym"].view(np.int64)), pa.array(made["rid"]), pa.array(made["start"].astype(np.int32)), pa.array(made["known"]), lists],
-                names=["sym", "rid", "start", "known", "hashes"],
-            )
-            for lo in range(0, whole.num_rows, 20_000):
-                yield whole.slice(lo, 20_000)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    places = np.flatnonzero(np.arange(len(names)) + window <= (begins + lengths)[doc])
+    if not len(places):
+        return places, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    name, at = np.zeros(len(places), dtype=np.uint64), np.full(len(places), -1, dtype=np.int64)
+    todo = np.arange(len(places))
+    base = (names, np.arange(len(names)), np.arange(len(names)) + 1)
+    top = recompress(names, doc, rounds)
+    for level, ((sym, lo, hi), m) in enumerate([(top, m) for m in range(joined, 0, -1)] + [(base, 1)]):
+        n = len(sym) - m + 1
+        if not len(todo) or n < 1:
+            continue
+        whole = mix(sym[:n] + _C * np.uint64(level))
+        for j in range(1, m):
+            whole = mix(whole * _A + sym[j : n + j])
+        first, last = np.searchsorted(lo[:n], places[todo], "left"), np.searchsorted(hi[m - 1 :], places[todo] + window, "right")
+        has = last > first
+        if has.any():
+            best = _least(mix(whole * _B + _A), first[has], last[has])
+            # The level is part of the place: two levels may have a symbol that starts at one word.
+            name[todo[has]], at[todo[has]] = whole[best], lo[best] * (joined + 2) + level
+        todo = todo[~has]
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = (at[1:] != at[:-1]) | (np.diff(places) != 1)
+    start = np.flatnonzero(new)
+    return places, np.diff(np.append(start, len(places))), name[start]
+
+
+class _Chunk:
+    """Documents as codes of their words: written by ``row``, read back by ``read``."""
+
+    def __init__(self, vocabulary: list[bytes], codes: np.ndarray, lengths: np.ndarray):
+        self.vocabulary, self.codes, self.lengths = vocabulary, codes, lengths
+
+    def names(self) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], dtype=np.uint64)[self.codes] if len(self.codes) else np.zeros(0, dtype=np.uint64)
+
+    @staticmethod
+    def read(batch: pa.RecordBatch, i: int, widen: zstandard.ZstdDecompressor) -> _Chunk:
+        words = widen.decompress(batch.column("vocabulary")[i].as_py()).split(b"\n")
+        codes = np.frombuffer(widen.decompress(batch.column("codes")[i].as_py()), dtype=np.uint32)
+        return _Chunk(words, codes, np.asarray(batch.column("lengths")[i].values, dtype=np.int64))
+
+
+class _Codes(dict):
+    """Code of each distinct word, in order of first use."""
 
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text")):
-                words = words_of(text.as_py())
-                if len(words) < WINDOW:
-                    continue
-                rids.append(rid)
-                texts.append([*map(table.__getitem__, words)] if len(words) < 64 else np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words)))
-                gathered += len(words)
-                if gathered >= CHUNK_WORDS:
-                    yield from flush()
-        yield from flush()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        packed = pa.array([None if t is None else squeeze.compress(t.encode("utf-8")) for t in batch.column(at).to_pylist()], pa.binary())
-        yield batch.set_column(at, "text", packed)
+    partition = TaskContext.get().partitionId()
+    table, ids, texts, gathered, made = _Codes(), [], [], 0, 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal table, gathered, made
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        codes = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint32)
+        chunk = _Chunk(list(table), codes, lengths)
+        _, sizes, symbols = anchors(chunk.names(), lengths)
+        # An anchor's stretches as places in the list of distinct names.
+        distinct, where, times = np.unique(symbols, return_inverse=True, return_counts=True)
+        number = (partition << 32) + made
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids)),
+                pa.array([lengths], pa.list_(pa.int64())),
+                pa.array([squeeze.compress(b"\n".join(chunk.vocabulary))], pa.binary()),
+                pa.array([squeeze.compress(codes.tobytes())], pa.binary()),
+                pa.array([squeeze.compress(sizes.astype(np.int32).tobytes())], pa.binary()),
+                pa.array([squeeze.compress(where.astype(np.int32).tobytes())], pa.binary()),
+                pa.array([distinct.view(np.int64)], pa.list_(pa.int64())),
+                pa.array([np.minimum(times, 2).astype(np.int8)], pa.list_(pa.int8())),
+            ],
+            names=["chunk", "ids", "lengths", "vocabulary", "codes", "sizes", "anchor", "symbols", "times"],
+        )
+        table, gathered, made = _Codes(), 0, made + 1
+        ids.clear(), texts.clear()
+        return out
 
-
-def _covered(starts: np.ndarray, masks: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window that the masks mark."""
-    edges = np.zeros(n + 1, dtype=np.int64)
-    for bit in range(MASK_BITS):
-        at = starts[(masks >> np.int64(bit)) & 1 == 1] + bit
-        if len(at):
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + WINDOW, -1)
-    return np.cumsum(edges[:n]) > 0
-
-
-def _rest(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widen = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                n_words, n_removed, kept = [], [], []
-                for packed, marks in zip(batch.column("text"), batch.column("marks")):
-                    packed = packed.as_py()
-                    words = [] if packed is None else widen.decompress(packed).split()
-                    gone = 0
-                    if marks.is_valid and len(marks.values):
-                        flat = marks.values
-                        cover = _covered(flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("mask").to_numpy(zero_copy_only=False), len(words))
-                        gone = int(cover.sum())
-                        n = len(words)
-                        words = [words[i] for i in np.flatnonzero(~cover)] if gone else words
-                        n_words.append(n)
-                    else:
-                        n_words.append(len(words))
-                    n_removed.append(gone)
-                    kept.append(b" ".join(words).decode("utf-8"))
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                for i, text in enumerate(part.column("text")):
+                    words = words_of(text.as_py())
+                    ids.append(part.column("doc_id").slice(i, 1))
+                    texts.append(np.fromiter(map(table.__getitem__, words), dtype=np.uint32, count=len(words)))
+                    # A document without words counts too, so that a chunk of them is bounded.
+                    gathered += len(words) + 10
+                    if gathered >= CHUNK_WORDS:
+                        yield flush()
+        if ids:
+            yield flush()
+
+
+def _shared(chunks: DataFrame) -> DataFrame:
+    """``chunk, shared``: places of the names that stand at two places or more in all chunks."""
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("symbols", "times")).alias("i", "s")).select("chunk", "i", F.col("s.symbols").alias("symbol"), F.col("s.times").alias("n"))
+    twice = each.groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 1").select("symbol")
+    return each.join(twice, "symbol", "left_semi").groupBy("chunk").agg(F.collect_list("i").alias("shared"))
+
+
+def window_names(chunk: _Chunk, sizes: np.ndarray, anchor: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(places, first name, second name)`` of the windows whose anchor is among ``shared``."""
+    names, lengths = chunk.names(), chunk.lengths
+    begins = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    places = np.flatnonzero(np.arange(len(names)) + WINDOW <= (begins + lengths)[doc])
+    wanted = np.zeros(int(anchor.max()) + 1 if len(anchor) else 0, dtype=bool)
+    wanted[shared] = True
+    places = places[np.repeat(wanted[anchor], sizes)]
+    return places, window_hashes(names)[places], window_hashes(mix(names + _C))[places]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    widen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.binary()]
+    columns = ["first", "second", "chunk", "place", "n", "known"]
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, number = _Chunk.read(batch, i, widen), batch.column("chunk")[i].as_py()
+                sizes, anchor = (np.frombuffer(widen.decompress(batch.column(c)[i].as_py()), dtype=np.int32) for c in ("sizes", "anchor"))
+                places, first, second = window_names(chunk, sizes, anchor, np.asarray(batch.column("shared")[i].values))
+                if not len(places):
+                    continue
+                order = np.lexsort((second, first))
+                f, s = first[order], second[order]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+                head = np.flatnonzero(new)
+                times = np.diff(np.append(head, len(order)))
+                # Windows that repeat inside the chunk are told at once; one of each goes on to the round.
+                known = np.sort(places[order[np.repeat(times > 1, times)]])
+                one = order[head]
+                rows = [first[one].view(np.int64), (second[one] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(one), number), places[one].astype(np.int32), np.minimum(times, 2).astype(np.int8), [None] * len(one)]
+                whole = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=columns)
+                for lo in range(0, whole.num_rows, 50_000):
+                    yield whole.slice(lo, 50_000)
+                if len(known):
+                    steps = np.diff(known, prepend=0).astype(np.int32).tobytes()
+                    told = [[number * 31 + 7], [0], [number], [None], [0], [squeeze.compress(steps)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(told, kinds)], names=columns)
+
+
+def _repeated(chunks: DataFrame, shared: DataFrame) -> DataFrame:
+    """``chunk, places, known``: the repeated windows of each chunk that has some."""
+    rows = chunks.select("chunk", "lengths", "vocabulary", "codes", "sizes", "anchor").join(shared, "chunk")
+    named = rows.mapInArrow(tidied(_candidates), "first bigint, second int, chunk bigint, place int, n tinyint, known binary")
+    seen = F.sum("n").over(Window.partitionBy("first", "second"))
+    # Two of one chunk need no answer but the one that is known.
+    found = named.withColumn("seen", seen).where("known is not null or (seen > 1 and n = 1)")
+    return found.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.max("known").alias("known"))
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    widen = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            chunk = _Chunk.read(batch, i, widen)
+            n = len(chunk.codes)
+            edges = np.zeros(n + 1, dtype=np.int32)
+            marks = []
+            if batch.column("places")[i].is_valid:
+                marks.append(np.asarray(batch.column("places")[i].values, dtype=np.int64))
+            if batch.column("known")[i].is_valid:
+                marks.append(np.cumsum(np.frombuffer(widen.decompress(batch.column("known")[i].as_py()), dtype=np.int32), dtype=np.int64))
+            for at in marks:
+                # A place stands in one list once, and in one of the two lists only.
+                edges[at] += 1
+                edges[at + WINDOW] -= 1
+            gone = np.cumsum(edges[:n]) > 0
+            ids = batch.column("ids")[i].values
+            ends = np.cumsum(chunk.lengths)
+            removed = np.concatenate(([0], np.cumsum(gone)))
+            removed = removed[ends] - removed[ends - chunk.lengths]
+            word = chunk.vocabulary
+            for lo in range(0, len(ends), 256):
+                some = range(lo, min(lo + 256, len(ends)))
+                kept = []
+                for d in some:
+                    a, b = ends[d] - chunk.lengths[d], ends[d]
+                    codes = chunk.codes[a:b][~gone[a:b]] if removed[d] else chunk.codes[a:b]
+                    kept.append(b" ".join(map(word.__getitem__, codes.tolist())))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in names], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                    names=[*names, "n_words", "n_removed", "kept_text"],
+                    [ids.slice(lo, len(some)), pa.array(chunk.lengths[lo : lo + 256]), pa.array(removed[lo : lo + 256], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
-    return run
-
-
-def repeated_windows(documents: DataFrame) -> DataFrame:
-    """``rid, marks``: the repeated windows of each row ``rid, text`` as start and bit mask."""
-    rows = documents.select("rid", "text").mapInArrow(tidied(_windows), "sym bigint, rid bigint, start int, known bigint, hashes array<bigint>")
-    seen = F.sum(F.when(F.col("known") != 0, 2).otherwise(1)).over(Window.partitionBy("sym"))
-    shared = rows.withColumn("seen", seen).where("seen > 1").select("sym", "rid", "start", "known", F.posexplode_outer("hashes").alias("i", "hash"))
-    bit = F.expr("shiftleft(1L, i)")
-    times = F.sum(F.when(F.col("known").bitwiseAND(bit) != 0, 2).otherwise(1)).over(Window.partitionBy("sym", "hash"))
-    repeated = shared.withColumn("times", times).where("times > 1 or hash is null")
-    masks = repeated.groupBy("sym", "rid", "start").agg(F.bit_or(F.when(F.col("hash").isNull(), F.col("known")).otherwise(bit)).alias("mask"))
-    return masks.groupBy("rid").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Drops every word covered by a ``WINDOW``-word sequence that starts anywhere else too.
 
     Returns ``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by
-    one space), one row for each input row; other columns are left out. All occurrences go,
-    also those in one document and in repeated rows. A null text has no words. Windows are
-    judged on the input. Rows are told apart by a 64-bit hash of id and text, so equal rows
-    share their (equal) verdict.
+    one space), one row for each input row; other columns are left out, whatever their
+    names. All occurrences go, also those in one document and in repeated rows, which are
+    documents of their own. Null and empty texts have no words and an empty table gives
+    none. Windows are judged on the input. A text of any length is one document in one
+    chunk.
     """
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"))
-    marks = repeated_windows(rows)
-    kind = next(f.dataType for f in rows.schema.fields if f.name == "doc_id")
-    packed = rows.mapInArrow(tidied(_pack), T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.BinaryType()), T.StructField("rid", T.LongType())]))
-    joined = packed.join(marks, "rid", "left").select("doc_id", "text", "marks")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    made = T.StructType(
+        [T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType()))]
+        + [T.StructField(c, T.BinaryType()) for c in ("vocabulary", "codes", "sizes", "anchor")]
+        + [T.StructField("symbols", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.ByteType()))]
+    )
+    chunks = materialise(rows.mapInArrow(tidied(_chunks), made), "repeat-chunks")
+    marks = _repeated(chunks, _shared(chunks))
+    joined = chunks.select("chunk", "ids", "lengths", "vocabulary", "codes").join(marks, "chunk", "left")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(tidied(_rest(["doc_id"])), out)
+    return joined.mapInArrow(tidied(_kept), out)
 
 
 #: The same result in DuckDB's SQL, window by window.

@@ -4,9 +4,11 @@ from collections import Counter
 import numpy as np
 
 from engram.llm import substring_dedup as sd
+from pyspark.sql import functions as F
 from tests.llm.brute import sha
 
 RNG = random.Random(3)
+CHUNKS = "chunk long, ids array<long>, lengths array<long>, vocabulary binary, codes binary, sizes binary, anchor binary, symbols array<long>, times array<byte>"
 
 
 def brute(texts):
@@ -75,6 +77,47 @@ def test_symbols_agree_inside_equal_stretches():
             assert found[0] == found[1]
 
 
+def test_verdicts_rest_on_the_symbols(spark):
+    """Windows under an anchor that is not shared are never named: without common symbols nothing is found."""
+    p = prose(80)
+    rows = spark.createDataFrame([(i, f"{prose(20)} {p}") for i in range(4)], "doc_id long, text string")
+    chunks = sd.materialise(rows.repartition(4).mapInArrow(sd._chunks, CHUNKS), "t")
+    shared = sd._shared(chunks)
+    found = sd._repeated(chunks, shared)
+    assert found.count() == chunks.count() > 1
+    # Names that differ from chunk to chunk are shared by no two.
+    own = chunks.withColumn("symbols", F.transform("symbols", lambda x: F.xxhash64(x, "chunk")))
+    left = sd._repeated(chunks, sd._shared(own)).where("size(places) > 0")
+    assert left.count() == 0
+
+
+def test_equal_windows_have_equal_anchors():
+    with np.errstate(over="ignore"):
+        for alphabet in (1, 2, 4, 30, 5000):
+            rng = np.random.default_rng(alphabet)
+            common = rng.integers(0, alphabet, 70)
+            parts = [np.concatenate((rng.integers(0, alphabet, n), common, rng.integers(0, alphabet, 50 - n))) for n in (0, 13, 50)]
+            names = sd.mix(np.concatenate(parts).astype(np.uint64) + np.uint64(5))
+            places, sizes, symbols = sd.anchors(names, np.array([120] * 3))
+            assert sizes.sum() == len(places) == 3 * 86
+            of = {}
+            for p, s in zip(places, np.repeat(symbols, sizes)):
+                assert of.setdefault(names[p : p + 35].tobytes(), s) == s
+
+
+def test_small_chunks_and_extra_columns(spark):
+    p = prose(60)
+    rows = [(i, f"{prose(30)} {p if i % 3 else ''} {prose(9)}", 1, "x") for i in range(30)] + [(None, p, 1, "x"), (None, None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chunk int, places string")
+    got = sorted(((r.n_words, r.n_removed, r.kept_text) for r in sd.remove_repeats(df.repartition(7)).collect()))
+    assert got == sorted(brute([r[1] for r in rows]))
+
+
+def test_a_very_long_text(spark):
+    long = prose(450_000, 3000)
+    check(spark, [long, prose(50, 3000) + " " + " ".join(long.split()[200_000:200_050]), prose(40)])
+
+
 def test_table_against_sql(spark, tiny):
     import duckdb
 
