@@ -13,19 +13,21 @@ Each window is anchored at the highest symbol whose support it holds (the least
 those of one level), so windows with equal words have equal anchors. The search then goes
 through rounds over all documents:
 
-1. ``_chunks`` reads the texts once into chunks of documents: their words as codes of a small
-   dictionary, and the anchors. Chunks are a written table; the rounds after it read codes.
-2. ``_shared`` counts the anchors' names over all chunks. A window whose anchor stands at one
-   place only in all texts cannot repeat and is never looked at again.
-3. ``_candidates`` names the other windows by all their words, and the windows whose name
-   stands at a second place repeat. This name has 96 bits (a hash of the words, and a second
-   one together with the anchor): among 4e12 windows that are left of 100 TB of text, one
-   false repeat is expected with a probability of 1e-4.
+1. ``_chunks`` reads the texts once into a written table of chunks of documents, with the names
+   of their anchors and of the stretches of windows under one anchor.
+2. ``_shared`` brings equal anchors of all chunks together. A window whose anchor stands at one
+   place only in all texts cannot repeat and is never looked at again. Where all stretches
+   under an anchor have one name, all of their windows repeat.
+3. ``_candidates`` names the windows of the other shared anchors, such as those where a passage
+   begins or ends, by all their words; a window whose name stands at a second place repeats.
 4. ``_kept`` removes the words.
 
-A chunk counts each name once, so a passage that a third of all documents share meets in a
-round as a row a chunk, and the names of windows, not the anchors, spread the windows over
-tasks: a common anchor with many different surroundings is no hot key.
+Names of stretches and windows have 96 bits with their anchor's, so that among the 4e12
+windows under shared anchors of 100 TB of text one false repeat is expected with a
+probability of about 1e-4. A chunk counts each name once: a passage that a third of all
+documents share meets in a round as a row a chunk, one of the tens of thousands of names of
+that chunk, so that no name holds a noticeable share of the rows. A common anchor with many
+different surroundings is spread over tasks by the names of its windows.
 """
 
 from __future__ import annotations
@@ -164,16 +166,15 @@ def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
-def anchors(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, joined: int = JOINED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(names: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, joined: int = JOINED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where windows start, and their stretches of one anchor: ``(places, sizes, symbols)``.
 
     Windows that follow one another and are anchored at the same symbol of one document are
     a stretch. Levels from the top: ``joined``, two and one symbol of the last round, then
     single words, of which every window has one.
     """
-    begins = np.cumsum(lengths) - lengths
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    places = np.flatnonzero(np.arange(len(names)) + window <= (begins + lengths)[doc])
+    places = places_of(lengths)
     if not len(places):
         return places, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     name, at = np.zeros(len(places), dtype=np.uint64), np.full(len(places), -1, dtype=np.int64)
@@ -187,7 +188,7 @@ def anchors(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW, rounds
         whole = mix(sym[:n] + _C * np.uint64(level))
         for j in range(1, m):
             whole = mix(whole * _A + sym[j : n + j])
-        first, last = np.searchsorted(lo[:n], places[todo], "left"), np.searchsorted(hi[m - 1 :], places[todo] + window, "right")
+        first, last = np.searchsorted(lo[:n], places[todo], "left"), np.searchsorted(hi[m - 1 :], places[todo] + WINDOW, "right")
         has = last > first
         if has.any():
             best = _least(mix(whole * _B + _A), first[has], last[has])
@@ -200,20 +201,21 @@ def anchors(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW, rounds
     return places, np.diff(np.append(start, len(places))), name[start]
 
 
-class _Chunk:
-    """Documents as codes of their words: written by ``row``, read back by ``read``."""
-
-    def __init__(self, vocabulary: list[bytes], codes: np.ndarray, lengths: np.ndarray):
-        self.vocabulary, self.codes, self.lengths = vocabulary, codes, lengths
+def places_of(lengths: np.ndarray) -> np.ndarray:
+    """Where windows start in documents of so many words, one after the other."""
+    ends = np.cumsum(lengths)
+    n = int(ends[-1]) if len(ends) else 0
+    return np.flatnonzero(np.arange(n) + WINDOW <= np.repeat(ends, lengths))
 
-    def names(self) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], dtype=np.uint64)[self.codes] if len(self.codes) else np.zeros(0, dtype=np.uint64)
 
-    @staticmethod
-    def read(batch: pa.RecordBatch, i: int, widen: zstandard.ZstdDecompressor) -> _Chunk:
-        words = widen.decompress(batch.column("vocabulary")[i].as_py()).split(b"\n")
-        codes = np.frombuffer(widen.decompress(batch.column("codes")[i].as_py()), dtype=np.uint32)
-        return _Chunk(words, codes, np.asarray(batch.column("lengths")[i].values, dtype=np.int64))
+def stretch_names(names: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 32-bit name of all windows of each stretch, in their order."""
+    if not len(places):
+        return np.zeros(0, dtype=np.int32)
+    begin = np.cumsum(sizes) - sizes
+    number = (np.arange(len(places)) - np.repeat(begin, sizes)).astype(np.uint64)
+    whole = mix(np.add.reduceat(mix(window_hashes(names)[places] + _A * number), begin))
+    return (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 class _Codes(dict):
@@ -224,111 +226,142 @@ class _Codes(dict):
         return code
 
 
+def _names(words: list[bytes]) -> np.ndarray:
+    """Names of words; each distinct one is hashed once."""
+    codes = _Codes()
+    at = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in codes], dtype=np.uint64)[at] if words else np.zeros(0, dtype=np.uint64)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=6)
     partition = TaskContext.get().partitionId()
-    table, ids, texts, gathered, made = _Codes(), [], [], 0, 0
+    ids, words, lengths = [], [], []
+    made = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal table, gathered, made
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        codes = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint32)
-        chunk = _Chunk(list(table), codes, lengths)
-        _, sizes, symbols = anchors(chunk.names(), lengths)
-        # An anchor's stretches as places in the list of distinct names.
-        distinct, where, times = np.unique(symbols, return_inverse=True, return_counts=True)
-        number = (partition << 32) + made
+        nonlocal made
+        names, sizes_of = _names(words), np.array(lengths, dtype=np.int64)
+        places, sizes, symbols = anchors(names, sizes_of)
+        prints = stretch_names(names, places, sizes)
+        # Distinct anchors in order of their first place; an anchor's stretches follow as steps in that list.
+        distinct, first, where, times = np.unique(symbols, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first)
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order))
+        where = rank[where]
+        print_of = prints[first[order]]
+        uniform = np.ones(len(order), dtype=bool)
+        uniform[where[prints != print_of[where]]] = False
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array([number], pa.int64()),
+                pa.array([(partition << 32) + made], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids)),
-                pa.array([lengths], pa.list_(pa.int64())),
-                pa.array([squeeze.compress(b"\n".join(chunk.vocabulary))], pa.binary()),
-                pa.array([squeeze.compress(codes.tobytes())], pa.binary()),
+                pa.array([sizes_of], pa.list_(pa.int64())),
+                pa.array([squeeze.compress(b" ".join(words))], pa.binary()),
                 pa.array([squeeze.compress(sizes.astype(np.int32).tobytes())], pa.binary()),
-                pa.array([squeeze.compress(where.astype(np.int32).tobytes())], pa.binary()),
-                pa.array([distinct.view(np.int64)], pa.list_(pa.int64())),
-                pa.array([np.minimum(times, 2).astype(np.int8)], pa.list_(pa.int8())),
+                pa.array([squeeze.compress(np.diff(where, prepend=0).astype(np.int32).tobytes())], pa.binary()),
+                pa.array([distinct[order].view(np.int64)], pa.list_(pa.int64())),
+                pa.array([print_of], pa.list_(pa.int32())),
+                # 1: one stretch here, 2: several with one name, 3: several with different names.
+                pa.array([np.where(times[order] == 1, 1, np.where(uniform, 2, 3)).astype(np.int8)], pa.list_(pa.int8())),
             ],
-            names=["chunk", "ids", "lengths", "vocabulary", "codes", "sizes", "anchor", "symbols", "times"],
+            names=["chunk", "ids", "lengths", "text", "sizes", "anchor", "symbols", "prints", "times"],
         )
-        table, gathered, made = _Codes(), 0, made + 1
-        ids.clear(), texts.clear()
+        made += 1
+        ids.clear(), words.clear(), lengths.clear()
         return out
 
     with np.errstate(over="ignore"):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                for i, text in enumerate(part.column("text")):
-                    words = words_of(text.as_py())
-                    ids.append(part.column("doc_id").slice(i, 1))
-                    texts.append(np.fromiter(map(table.__getitem__, words), dtype=np.uint32, count=len(words)))
-                    # A document without words counts too, so that a chunk of them is bounded.
-                    gathered += len(words) + 10
-                    if gathered >= CHUNK_WORDS:
-                        yield flush()
+            for i, text in enumerate(batch.column("text")):
+                more = words_of(text.as_py())
+                ids.append(batch.column("doc_id").slice(i, 1))
+                words += more
+                lengths.append(len(more))
+                # A document without words counts too, so that a chunk of them is bounded.
+                if len(words) + 10 * len(lengths) >= CHUNK_WORDS:
+                    yield flush()
         if ids:
             yield flush()
 
 
 def _shared(chunks: DataFrame) -> DataFrame:
-    """``chunk, shared``: places of the names that stand at two places or more in all chunks."""
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("symbols", "times")).alias("i", "s")).select("chunk", "i", F.col("s.symbols").alias("symbol"), F.col("s.times").alias("n"))
-    twice = each.groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 1").select("symbol")
-    return each.join(twice, "symbol", "left_semi").groupBy("chunk").agg(F.collect_list("i").alias("shared"))
+    """``chunk, whole, open``: anchors (as places in the chunk's list) that stand at two places or more.
 
+    Under those in ``whole`` all stretches are equal, under those in ``open`` they are not.
+    """
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("symbols", "prints", "times")).alias("i", "s")).select("chunk", "i", "s.*")
+    w = Window.partitionBy("symbols")
+    seen = F.sum(F.least("times", F.lit(2))).over(w)
+    mixed = (F.max("times").over(w) == 3) | (F.min("prints").over(w) != F.max("prints").over(w))
+    found = each.select("chunk", "i", seen.alias("seen"), mixed.alias("mixed")).where("seen > 1")
+    return found.groupBy("chunk").agg(F.collect_list(F.when(~F.col("mixed"), F.col("i"))).alias("whole"), F.collect_list(F.when(F.col("mixed"), F.col("i"))).alias("open"))
 
-def window_names(chunk: _Chunk, sizes: np.ndarray, anchor: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(places, first name, second name)`` of the windows whose anchor is among ``shared``."""
-    names, lengths = chunk.names(), chunk.lengths
-    begins = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    places = np.flatnonzero(np.arange(len(names)) + WINDOW <= (begins + lengths)[doc])
-    wanted = np.zeros(int(anchor.max()) + 1 if len(anchor) else 0, dtype=bool)
-    wanted[shared] = True
-    places = places[np.repeat(wanted[anchor], sizes)]
-    return places, window_hashes(names)[places], window_hashes(mix(names + _C))[places]
+
+class _Chunk:
+    """A chunk read back: its words, where its windows start, and the anchor of each."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, widen: zstandard.ZstdDecompressor):
+        get = lambda name: widen.decompress(batch.column(name)[i].as_py())
+        self.words = get("text").split(b" ") if batch.column("text")[i].as_py() else []
+        self.lengths = np.asarray(batch.column("lengths")[i].values, dtype=np.int64)
+        if not self.lengths.sum():
+            self.words = []
+        self.places = places_of(self.lengths)
+        sizes = np.frombuffer(get("sizes"), dtype=np.int32)
+        self.anchor = np.repeat(np.cumsum(np.frombuffer(get("anchor"), dtype=np.int32)), sizes)
+
+    def under(self, anchors: np.ndarray) -> np.ndarray:
+        """The windows under some of the chunk's anchors."""
+        if not len(self.anchor):
+            return self.places
+        wanted = np.zeros(int(self.anchor.max()) + 1, dtype=bool)
+        wanted[anchors] = True
+        return self.places[wanted[self.anchor]]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     widen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.binary()]
-    columns = ["first", "second", "chunk", "place", "n", "known"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    columns = ["first", "second", "chunk", "place", "known"]
     with np.errstate(over="ignore"):
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, number = _Chunk.read(batch, i, widen), batch.column("chunk")[i].as_py()
-                sizes, anchor = (np.frombuffer(widen.decompress(batch.column(c)[i].as_py()), dtype=np.int32) for c in ("sizes", "anchor"))
-                places, first, second = window_names(chunk, sizes, anchor, np.asarray(batch.column("shared")[i].values))
+                chunk, number = _Chunk(batch, i, widen), batch.column("chunk")[i].as_py()
+                places = chunk.under(np.asarray(batch.column("open")[i].values))
                 if not len(places):
                     continue
-                order = np.lexsort((second, first))
+                names = _names(chunk.words)
+                first, second = window_hashes(names)[places], window_hashes(mix(names + _C))[places]
+                order = np.lexsort((places, second, first))
                 f, s = first[order], second[order]
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
                 head = np.flatnonzero(new)
                 times = np.diff(np.append(head, len(order)))
-                # Windows that repeat inside the chunk are told at once; one of each goes on to the round.
+                # Windows that repeat inside the chunk are told at once; one of each goes on to the round, marked by a negative place.
                 known = np.sort(places[order[np.repeat(times > 1, times)]])
-                one = order[head]
-                rows = [first[one].view(np.int64), (second[one] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(one), number), places[one].astype(np.int32), np.minimum(times, 2).astype(np.int8), [None] * len(one)]
+                one = np.sort(order[head])
+                twice = np.zeros(len(order), dtype=bool)
+                twice[order[head[times > 1]]] = True
+                place = np.where(twice[one], -1 - places[one], places[one]).astype(np.int32)
+                rows = [first[one].view(np.int64), (second[one] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(one), number), place, [None] * len(one)]
                 whole = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=columns)
                 for lo in range(0, whole.num_rows, 50_000):
                     yield whole.slice(lo, 50_000)
                 if len(known):
                     steps = np.diff(known, prepend=0).astype(np.int32).tobytes()
-                    told = [[number * 31 + 7], [0], [number], [None], [0], [squeeze.compress(steps)]]
+                    told = [[number * 31 + 7], [0], [number], [None], [squeeze.compress(steps)]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(told, kinds)], names=columns)
 
 
 def _repeated(chunks: DataFrame, shared: DataFrame) -> DataFrame:
-    """``chunk, places, known``: the repeated windows of each chunk that has some."""
-    rows = chunks.select("chunk", "lengths", "vocabulary", "codes", "sizes", "anchor").join(shared, "chunk")
-    named = rows.mapInArrow(tidied(_candidates), "first bigint, second int, chunk bigint, place int, n tinyint, known binary")
-    seen = F.sum("n").over(Window.partitionBy("first", "second"))
-    # Two of one chunk need no answer but the one that is known.
-    found = named.withColumn("seen", seen).where("known is not null or (seen > 1 and n = 1)")
+    """``chunk, places, known``: the repeated windows under the open anchors of each chunk that has some."""
+    rows = chunks.select("chunk", "lengths", "text", "sizes", "anchor").join(shared.where(F.size("open") > 0).select("chunk", "open"), "chunk")
+    named = rows.mapInArrow(tidied(_candidates), "first bigint, second int, chunk bigint, place int, known binary")
+    seen = F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("first", "second"))
+    found = named.withColumn("seen", seen).where("known is not null or (seen > 1 and place >= 0)")
     return found.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.max("known").alias("known"))
 
 
@@ -336,33 +369,31 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     widen = zstandard.ZstdDecompressor()
     for batch in batches:
         for i in range(batch.num_rows):
-            chunk = _Chunk.read(batch, i, widen)
-            n = len(chunk.codes)
-            edges = np.zeros(n + 1, dtype=np.int32)
+            chunk = _Chunk(batch, i, widen)
+            edges = np.zeros(len(chunk.words) + 1, dtype=np.int32)
+            # A window is under one anchor and in one of the three lists only.
             marks = []
+            if batch.column("whole")[i].is_valid:
+                marks.append(chunk.under(np.asarray(batch.column("whole")[i].values)))
             if batch.column("places")[i].is_valid:
                 marks.append(np.asarray(batch.column("places")[i].values, dtype=np.int64))
             if batch.column("known")[i].is_valid:
                 marks.append(np.cumsum(np.frombuffer(widen.decompress(batch.column("known")[i].as_py()), dtype=np.int32), dtype=np.int64))
             for at in marks:
-                # A place stands in one list once, and in one of the two lists only.
                 edges[at] += 1
                 edges[at + WINDOW] -= 1
-            gone = np.cumsum(edges[:n]) > 0
+            gone = np.cumsum(edges[:-1]) > 0
             ids = batch.column("ids")[i].values
             ends = np.cumsum(chunk.lengths)
             removed = np.concatenate(([0], np.cumsum(gone)))
             removed = removed[ends] - removed[ends - chunk.lengths]
-            word = chunk.vocabulary
             for lo in range(0, len(ends), 256):
-                some = range(lo, min(lo + 256, len(ends)))
                 kept = []
-                for d in some:
-                    a, b = ends[d] - chunk.lengths[d], ends[d]
-                    codes = chunk.codes[a:b][~gone[a:b]] if removed[d] else chunk.codes[a:b]
-                    kept.append(b" ".join(map(word.__getitem__, codes.tolist())))
+                for d in range(lo, min(lo + 256, len(ends))):
+                    a, b = int(ends[d] - chunk.lengths[d]), int(ends[d])
+                    kept.append(b" ".join([chunk.words[j] for j in (a + np.flatnonzero(~gone[a:b])).tolist()] if removed[d] else chunk.words[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(some)), pa.array(chunk.lengths[lo : lo + 256]), pa.array(removed[lo : lo + 256], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    [ids.slice(lo, len(kept)), pa.array(chunk.lengths[lo : lo + 256]), pa.array(removed[lo : lo + 256], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
@@ -381,12 +412,13 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     kind = rows.schema["doc_id"].dataType
     made = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType()))]
-        + [T.StructField(c, T.BinaryType()) for c in ("vocabulary", "codes", "sizes", "anchor")]
-        + [T.StructField("symbols", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.ByteType()))]
+        + [T.StructField(c, T.BinaryType()) for c in ("text", "sizes", "anchor")]
+        + [T.StructField("symbols", T.ArrayType(T.LongType())), T.StructField("prints", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.ByteType()))]
     )
     chunks = materialise(rows.mapInArrow(tidied(_chunks), made), "repeat-chunks")
-    marks = _repeated(chunks, _shared(chunks))
-    joined = chunks.select("chunk", "ids", "lengths", "vocabulary", "codes").join(marks, "chunk", "left")
+    shared = materialise(_shared(chunks), "repeat-shared")
+    marks = shared.select("chunk", "whole").join(_repeated(chunks, shared), "chunk", "left")
+    joined = chunks.select("chunk", "ids", "lengths", "text", "sizes", "anchor").join(marks, "chunk", "left")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(tidied(_kept), out)
 

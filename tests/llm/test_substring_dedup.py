@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm.brute import sha
 
 RNG = random.Random(3)
-CHUNKS = "chunk long, ids array<long>, lengths array<long>, vocabulary binary, codes binary, sizes binary, anchor binary, symbols array<long>, times array<byte>"
+CHUNKS = "chunk long, ids array<long>, lengths array<long>, text binary, sizes binary, anchor binary, symbols array<long>, prints array<int>, times array<byte>"
 
 
 def brute(texts):
@@ -83,12 +83,12 @@ def test_verdicts_rest_on_the_symbols(spark):
     rows = spark.createDataFrame([(i, f"{prose(20)} {p}") for i in range(4)], "doc_id long, text string")
     chunks = sd.materialise(rows.repartition(4).mapInArrow(sd._chunks, CHUNKS), "t")
     shared = sd._shared(chunks)
-    found = sd._repeated(chunks, shared)
-    assert found.count() == chunks.count() > 1
+    assert shared.count() == chunks.count() > 1
     # Names that differ from chunk to chunk are shared by no two.
     own = chunks.withColumn("symbols", F.transform("symbols", lambda x: F.xxhash64(x, "chunk")))
-    left = sd._repeated(chunks, sd._shared(own)).where("size(places) > 0")
-    assert left.count() == 0
+    alone = sd._shared(own)
+    assert alone.where("size(whole) > 0").join(chunks.where("size(ids) = 1").select("chunk"), "chunk").count() == 0
+    assert sd._repeated(chunks, alone).where("size(places) > 0").count() == 0
 
 
 def test_equal_windows_have_equal_anchors():
