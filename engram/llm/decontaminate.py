@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are compared as normalised words. Every run of ``SEED`` words of
-an item is a seed; a document that shares none is clean at once, and an item whose shared
+an item (all of a shorter one) is a seed; a document that shares none is clean at once, and an item whose shared
 seeds together could not reach the coverage asked for is dropped before any tiling. For the
 items left, running Karp-Rabin greedy string tiling marks the longest common runs of words
 that overlap no run marked before, down to ``SEED`` words. The share of the item that is
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from pyspark.sql import types as T
 
 from engram.llm.memory import tidied
 from engram.llm.substring_dedup import window_hashes
+from engram.sources.shared import materialise
 
 SEED = 4
 COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
 FIRST_SEARCH = 20
-CHUNK_WORDS = 200_000
 WORDS_KEPT = 150_000
 UNKNOWN = -1
 
@@ -42,93 +43,127 @@ def normalised(word: str) -> str:
     return _NOT_WORD.sub("", word.lower())
 
 
+def _hashes(codes: np.ndarray, open_: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and running Karp-Rabin hashes of the stretches of ``s`` open symbols."""
+    if len(codes) < s:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    shut = np.concatenate(([0], np.cumsum(~open_)))
+    at = np.flatnonzero(shut[s:] == shut[:-s])
+    with np.errstate(over="ignore"):
+        return at, window_hashes((codes + 2).astype(np.uint64), s)[at]
+
+
+def maximal_runs(item: np.ndarray, text: np.ndarray, open_i: np.ndarray, open_t: np.ndarray, s: int) -> list[tuple[int, int, int]]:
+    """``(-length, item start, text start)`` of the common runs of ``s`` open symbols or more that cannot grow.
+
+    Equal hashes on one diagonal that follow one another are one run, which is compared word
+    by word once, so a text of one repeated word costs no more than its places times the item's.
+    """
+    at_i, hash_i = _hashes(item, open_i, s)
+    at_t, hash_t = _hashes(text, open_t, s)
+    if not len(at_i) or not len(at_t):
+        return []
+    hit = np.isin(hash_t, hash_i)
+    at_t, hash_t = at_t[hit], hash_t[hit]
+    order = np.argsort(hash_t, kind="stable")
+    begin, end = np.searchsorted(hash_t[order], hash_i, "left"), np.searchsorted(hash_t[order], hash_i, "right")
+    runs: list[tuple[int, int, int]] = []
+    # Of each diagonal (text place minus item place, from -len(item)): where its run began, and the last item place with a hit.
+    since = np.full(len(item) + len(text), -1, dtype=np.int64)
+    seen = np.full(len(item) + len(text), -1, dtype=np.int64)
+    live = np.zeros(0, dtype=np.int64)
+
+    def close(diagonals: np.ndarray, until: int) -> None:
+        for d, p in zip((diagonals - len(item)).tolist(), since[diagonals].tolist()):
+            k = until - p + s - 1
+            same = item[p : p + k] == text[p + d : p + d + k]
+            if same.all():
+                runs.append((-k, p, p + d))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+            runs.extend((int(lo - hi), int(p + lo), int(p + d + lo)) for lo, hi in zip(edges[::2], edges[1::2]) if hi - lo >= s)
+        since[diagonals] = -1
+
+    before = -2
+    for n, place in enumerate(at_i.tolist()):
+        if place != before + 1 and len(live):
+            close(live, before + 1)
+            live = live[:0]
+        now = at_t[order[begin[n] : end[n]]] + (len(item) - place)
+        if len(live) or len(now):
+            seen[now] = place
+            ended = live[seen[live] != place]
+            if len(ended):
+                close(ended, place)
+            since[now[since[now] < 0]] = place
+            live = now
+        before = place
+    close(live, before + 1)
+    return runs
+
+
 def tiles(item: list[int], text: list[int], least: int = SEED, first: int = FIRST_SEARCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(item start, text start, length)`` of the marked runs.
 
-    Unknown words (negative) match nothing. Among runs of one length the one that starts
-    first in the item, then in the text, is marked first.
+    Unknown words (negative) match nothing. Always the longest run that overlaps no marked
+    one is marked next; among runs of one length the one that starts first in the item, then
+    in the text. The search goes down from runs of ``first`` words to ``least``.
     """
-    marked_i, marked_t = [x < 0 for x in item], [x < 0 for x in text]
+    a, b = np.asarray(item, dtype=np.int64), np.asarray(text, dtype=np.int64)
+    open_i, open_t = a >= 0, b >= 0
     found: list[tuple[int, int, int]] = []
-    base, modulus = 1_000_003, (1 << 61) - 1
-
-    def rolling(seq: list[int], marked: list[bool], s: int) -> Iterator[tuple[int, int]]:
-        """Karp-Rabin hashes of the unmarked runs of ``s`` symbols with their starts."""
-        top = pow(base, s, modulus)
-        value = size = 0
-        for i, x in enumerate(seq):
-            if marked[i]:
-                value = size = 0
-                continue
-            value = (value * base + x + 1) % modulus
-            size += 1
-            if size > s:
-                value = (value - (seq[i - s] + 1) * top) % modulus
-            if size >= s:
-                yield value, i - s + 1
-
     s = max(least, first)
     while True:
-        table: dict[int, list[int]] = defaultdict(list)
-        for h, p in rolling(item, marked_i, s):
-            table[h].append(p)
-        runs: list[tuple[int, int, int]] = []
-        longest = 0
-        if table:
-            for h, t in rolling(text, marked_t, s):
-                for p in table.get(h, ()):
-                    k = 0
-                    while p + k < len(item) and t + k < len(text) and item[p + k] == text[t + k] and not marked_i[p + k] and not marked_t[t + k]:
-                        k += 1
-                    if k >= s:
-                        runs.append((-k, p, t))
-                        longest = max(longest, k)
-        if longest > 2 * s:
-            s = longest
-            continue
-        runs.sort()
-        for k, p, t in runs:
+        runs = maximal_runs(a, b, open_i, open_t, s)
+        heapify(runs)
+        while runs:
+            k, p, t = heappop(runs)
             k = -k
-            # What an earlier tile took is cut off the ends; pieces shorter than s wait for a later search.
-            if any(marked_i[p : p + k]) or any(marked_t[t : t + k]):
+            free = open_i[p : p + k] & open_t[t : t + k]
+            if free.all():
+                open_i[p : p + k] = open_t[t : t + k] = False
+                found.append((p, t, k))
                 continue
-            marked_i[p : p + k] = [True] * k
-            marked_t[t : t + k] = [True] * k
-            found.append((p, t, k))
-        if not runs:
-            if s == least:
-                return found
-            s = max(least, s // 2) if s > 2 * least else least
+            # What marked runs have left of it is a run of its own.
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if hi - lo >= s:
+                    heappush(runs, (lo - hi, p + lo, t + lo))
+        if s == least:
+            return found
+        s = max(least, s // 2)
 
 
 class _Block:
-    """Words and seeds of one block of the benchmark."""
+    """Words and seeds of one block of the benchmark.
+
+    ``seeds`` has, for each length of seed, the sorted seed hashes with their item and their
+    place in it. An item of fewer than ``SEED`` words is its own seed.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.items: list[np.ndarray] = []
-        seeds: list[np.ndarray] = []
-        owner: list[np.ndarray] = []
-        where: list[np.ndarray] = []
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for n, (_, text) in enumerate(items):
             words = [w for w in map(normalised, text.split()) if w]
             codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], dtype=np.int64)
             self.items.append(codes)
-            hashes = seed_hashes(codes)
-            seeds.append(hashes)
-            owner.append(np.full(len(hashes), n))
-            where.append(np.arange(len(hashes)))
-        flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.seeds = flat[order]
-        self.owner = np.concatenate(owner)[order] if seeds else np.zeros(0, dtype=np.int64)
-        self.where = np.concatenate(where)[order] if seeds else np.zeros(0, dtype=np.int64)
-
-
-def seed_hashes(codes: np.ndarray) -> np.ndarray:
+            if len(codes):
+                m = min(SEED, len(codes))
+                hashes = seed_hashes(codes, m)
+                parts[m].append((hashes, np.full(len(hashes), n), np.arange(len(hashes))))
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m, some in parts.items():
+            hashes, owner, where = (np.concatenate(x) for x in zip(*some))
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[m] = hashes[order], owner[order], where[order]
+
+
+def seed_hashes(codes: np.ndarray, m: int = SEED) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return window_hashes((codes + 2).astype(np.uint64), SEED)
+        return window_hashes((codes + 2).astype(np.uint64), m)
 
 
 class _Codes(dict):
@@ -150,41 +185,39 @@ class _Codes(dict):
 
 def _leaks(codes: np.ndarray, block: _Block, coverage: float) -> list[tuple[int, float]]:
     """Items of ``block`` that ``codes`` covers to ``coverage`` at least, with their coverage."""
-    if len(codes) < 1 or not len(block.seeds):
-        return []
-    hashes = seed_hashes(codes)
-    begin = np.searchsorted(block.seeds, hashes, "left")
-    hit = np.flatnonzero(block.seeds[np.minimum(begin, len(block.seeds) - 1)] == hashes)
-    if not len(hit):
-        return []
-    begin = begin[hit]
-    n = np.searchsorted(block.seeds, hashes[hit], "right") - begin
-    row = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    near: dict[int, np.ndarray] = {}
-    shared = np.unique(np.stack((block.owner[row], block.where[row])), axis=1)
-    edges = np.flatnonzero(np.diff(shared[0])) + 1
-    at = np.repeat(hit, n)
     out = []
-    for part in np.split(shared, edges, axis=1):
-        item = block.items[part[0, 0]]
-        reach = np.zeros(len(item) + SEED, dtype=bool)
-        for k in range(SEED):
-            reach[part[1] + k] = True
-        if reach.sum() < coverage * len(item) - 1e-9:
+    for m, (seeds, owner, where) in block.seeds.items():
+        if len(codes) < m:
+            continue
+        hashes = seed_hashes(codes, m)
+        begin = np.searchsorted(seeds, hashes, "left")
+        hit = np.flatnonzero(seeds[np.minimum(begin, len(seeds) - 1)] == hashes)
+        if not len(hit):
             continue
-        # Only words inside a shared seed can be tiled; the stretches between become one unknown.
-        inside = np.zeros(len(codes) + SEED, dtype=bool)
-        mine = at[block.owner[row] == part[0, 0]]
-        for k in range(SEED):
-            inside[mine + k] = True
-        keep = np.flatnonzero(inside[: len(codes)])
-        text: list[int] = []
-        for stretch in np.split(keep, np.flatnonzero(np.diff(keep) != 1) + 1):
-            text += codes[stretch].tolist()
-            text.append(UNKNOWN)
-        covered = sum(k for _, _, k in tiles(item.tolist(), text))
-        if covered >= coverage * len(item) - 1e-9:
-            out.append((block.ids[part[0, 0]], covered / len(item)))
+        # A seed that the text repeats meets an item once for the reach, and at each place for the text.
+        begin = begin[hit]
+        n = np.searchsorted(seeds, hashes[hit], "right") - begin
+        row = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(hit, n)
+        order = np.argsort(owner[row], kind="stable")
+        row, at = row[order], at[order]
+        edges = np.flatnonzero(np.diff(owner[row])) + 1
+        for mine, places in zip(np.split(row, edges), np.split(at, edges)):
+            item = block.items[owner[mine[0]]]
+            reach = np.zeros(len(item), dtype=bool)
+            inside = np.zeros(len(codes), dtype=bool)
+            for k in range(m):
+                reach[where[mine] + k] = True
+                inside[places + k] = True
+            if reach.sum() < coverage * len(item) - 1e-9:
+                continue
+            # Only words inside a shared seed can be tiled; each stretch between becomes one unknown.
+            keep = np.flatnonzero(inside)
+            gaps = np.flatnonzero(np.diff(keep) != 1) + 1
+            text = np.insert(codes[keep], gaps, UNKNOWN)
+            covered = sum(k for _, _, k in tiles(item, text, least=m))
+            if covered >= coverage * len(item) - 1e-9:
+                out.append((block.ids[owner[mine[0]]], covered / len(item)))
     return out
 
 
@@ -204,19 +237,27 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[_Block]:
 def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Adds ``leaks``: an array of ``item_id, coverage`` of the items that each document holds.
 
-    An item counts when at least ``coverage`` of its words are tiled. Items of fewer than
-    ``SEED`` words and null or empty texts never match; an empty benchmark leaves every
-    array empty. Leaks are ordered by item id; other columns pass through, and a column of
-    that name is replaced. Rows come back as often as they came.
+    An item counts when at least ``coverage`` of its words are tiled, by runs of ``SEED``
+    words or more; a shorter item counts where its whole text stands. Items without words
+    and null or empty texts never match; an empty benchmark leaves every array empty, an
+    empty table stays empty. Texts of any length are searched whole. Items of one id are
+    told one by one. Leaks are ordered by item id; other columns pass through, and a column
+    of that name is replaced. Rows come back as often as they came. Where the benchmark has
+    more than one block, the result after each block is written, so that one is held at a time.
     """
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType())]))
     found = documents.withColumn("leaks", F.array().cast(kind))
     names = [n for n in found.columns if n != "leaks"]
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-    for built in _blocks(benchmark, item_id, item_text):
-        shared = documents.sparkSession.sparkContext.broadcast(built)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    schema = T.StructType([*[f for f in found.schema.fields if f.name != "leaks"], T.StructField("leaks", kind)])
+    held = None
+    for n, built in enumerate(_blocks(benchmark, item_id, item_text)):
+        if n:
+            found = materialise(found, "leaks-found")
+            held.destroy()
+        held = documents.sparkSession.sparkContext.broadcast(built)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=held) -> Iterator[pa.RecordBatch]:
             block = shared.value
             code = _Codes(block.vocabulary)
             for whole in batches:
@@ -229,7 +270,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
                         leaks.append(sorted((before or []) + now, key=lambda x: (x["item_id"] is None, x["item_id"])))
                     yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(leaks, arrow)], names=[*names, "leaks"])
 
-        schema = T.StructType([*[f for f in found.schema.fields if f.name != "leaks"], T.StructField("leaks", kind)])
         found = found.select(*names, "leaks").mapInArrow(tidied(run), schema)
     return found
 
