@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,14 @@ def _hashes(codes: np.ndarray, open_: np.ndarray, s: int) -> tuple[np.ndarray, n
         return at, window_hashes((codes + 2).astype(np.uint64), s)[at]
 
 
-def maximal_runs(item: np.ndarray, text: np.ndarray, open_i: np.ndarray, open_t: np.ndarray, s: int) -> list[tuple[int, int, int]]:
-    """``(-length, item start, text start)`` of the common runs of ``s`` open symbols or more that cannot grow.
+def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def maximal_runs(item: np.ndarray, text: np.ndarray, open_i: np.ndarray, open_t: np.ndarray, s: int) -> np.ndarray:
+    """Rows ``-length``, ``item start`` and ``text start`` of the common runs of ``s`` open symbols or more that cannot grow.
 
     Equal hashes on one diagonal that follow one another are one run, which is compared word
     by word once, so a text of one repeated word costs no more than its places times the item's.
@@ -62,27 +68,29 @@ def maximal_runs(item: np.ndarray, text: np.ndarray, open_i: np.ndarray, open_t:
     at_i, hash_i = _hashes(item, open_i, s)
     at_t, hash_t = _hashes(text, open_t, s)
     if not len(at_i) or not len(at_t):
-        return []
+        return np.zeros((3, 0), dtype=np.int64)
     hit = np.isin(hash_t, hash_i)
     at_t, hash_t = at_t[hit], hash_t[hit]
     order = np.argsort(hash_t, kind="stable")
     begin, end = np.searchsorted(hash_t[order], hash_i, "left"), np.searchsorted(hash_t[order], hash_i, "right")
-    runs: list[tuple[int, int, int]] = []
+    runs: list[np.ndarray] = [np.zeros((3, 0), dtype=np.int64)]
     # Of each diagonal (text place minus item place, from -len(item)): where its run began, and the last item place with a hit.
     since = np.full(len(item) + len(text), -1, dtype=np.int64)
     seen = np.full(len(item) + len(text), -1, dtype=np.int64)
     live = np.zeros(0, dtype=np.int64)
 
     def close(diagonals: np.ndarray, until: int) -> None:
-        for d, p in zip((diagonals - len(item)).tolist(), since[diagonals].tolist()):
-            k = until - p + s - 1
-            same = item[p : p + k] == text[p + d : p + d + k]
-            if same.all():
-                runs.append((-k, p, p + d))
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-            runs.extend((int(lo - hi), int(p + lo), int(p + d + lo)) for lo, hi in zip(edges[::2], edges[1::2]) if hi - lo >= s)
+        p, d = since[diagonals], diagonals - len(item)
         since[diagonals] = -1
+        k = until - p + s - 1
+        begins = np.cumsum(k) - k
+        at = np.arange(k.sum()) - np.repeat(begins - p, k)
+        same = item[at] == text[at + np.repeat(d, k)]
+        good = np.logical_and.reduceat(same, begins)
+        runs.append(np.stack((-k, p, p + d))[:, good])
+        for n in np.flatnonzero(~good).tolist():
+            edges = _stretches(same[begins[n] : begins[n] + k[n]])
+            runs.extend(np.array([[lo - hi], [p[n] + lo], [p[n] + d[n] + lo]]) for lo, hi in edges if hi - lo >= s)
 
     before = -2
     for n, place in enumerate(at_i.tolist()):
@@ -98,8 +106,9 @@ def maximal_runs(item: np.ndarray, text: np.ndarray, open_i: np.ndarray, open_t:
             since[now[since[now] < 0]] = place
             live = now
         before = place
-    close(live, before + 1)
-    return runs
+    if len(live):
+        close(live, before + 1)
+    return np.concatenate(runs, axis=1)
 
 
 def tiles(item: list[int], text: list[int], least: int = SEED, first: int = FIRST_SEARCH) -> list[tuple[int, int, int]]:
@@ -115,20 +124,36 @@ def tiles(item: list[int], text: list[int], least: int = SEED, first: int = FIRS
     s = max(least, first)
     while True:
         runs = maximal_runs(a, b, open_i, open_t, s)
-        heapify(runs)
-        while runs:
-            k, p, t = heappop(runs)
+        runs = runs[:, np.lexsort(runs[::-1])]
+        rest: list[tuple[int, int, int]] = []
+        at = vain = 0
+        while at < runs.shape[1] or rest:
+            if vain > 2000:
+                # Runs without s open words on both sides go at once.
+                k, p, t = runs = runs[:, at:]
+                in_item, in_text = (np.concatenate(([0], np.cumsum(x))) for x in (open_i, open_t))
+                runs = runs[:, (in_item[p - k] - in_item[p] >= s) & (in_text[t - k] - in_text[t] >= s)]
+                at = vain = 0
+                continue
+            head = tuple(runs[:, at].tolist()) if at < runs.shape[1] else None
+            if head is None or (rest and rest[0] < head):
+                k, p, t = heappop(rest)
+            else:
+                (k, p, t), at = head, at + 1
             k = -k
             free = open_i[p : p + k] & open_t[t : t + k]
             if free.all():
                 open_i[p : p + k] = open_t[t : t + k] = False
                 found.append((p, t, k))
+                if not any(hi - lo >= s for lo, hi in _stretches(open_i)):
+                    break
                 continue
+            vain += 1
             # What marked runs have left of it is a run of its own.
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
-            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if hi - lo >= s:
-                    heappush(runs, (lo - hi, p + lo, t + lo))
+            if np.count_nonzero(free) >= s:
+                for lo, hi in _stretches(free):
+                    if hi - lo >= s:
+                        heappush(rest, (lo - hi, p + lo, t + lo))
         if s == least:
             return found
         s = max(least, s // 2)
