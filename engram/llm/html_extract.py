@@ -3,7 +3,8 @@
 A page is cut into flat blocks of text at block-level tags. Each block is described by its
 word count and link density, those of the block before and after it, and three marks of
 where it stands (heading, inside an article element, inside a boilerplate container). A
-decision tree, grown here from the labelled table ``EXAMPLES``, keeps or drops each block.
+decision tree, grown here from the labelled table ``EXAMPLES`` and the labelled blocks of
+``EXAMPLE_PAGES``, keeps or drops each block.
 Pages are independent, so the operator is one map over the table without a shuffle.
 """
 
@@ -19,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RAW_TEXT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
+#: Left out with all they hold; without an end tag the first four go on to the end of the page, the others hold nothing.
+RAW_TEXT = frozenset("script style title iframe noscript template svg math object canvas audio video".split())
+ENDLESS = frozenset("script style title iframe".split())
 FORM_PARTS = frozenset("form button select option textarea label fieldset input datalist output dialog".split())
 CHROME = frozenset("nav header footer aside menu".split()) | FORM_PARTS
 ARTICLE = frozenset(("article", "main"))
@@ -35,13 +38,17 @@ BLOCKS = (
 VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
 #: An opening tag of these closes an open one of the same kind on top of the stack.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split()) | HEADINGS
-#: Words of a class, id or role that mark a container as no part of an article.
+#: Words of a class, id or role that mark a container as no part of an article, where all of its words are these or neutral.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside complementary widget footer contentinfo header masthead topbar toolbar comment comments commentlist reply replies respond discussion "
     "cookie cookies consent notice alert popup modal dialog overlay newsletter subscribe subscription signup share sharing social related recommended "
     "pagination pager login search copyright legal disclaimer skip hidden byline".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "list item items box wrapper wrap container bar block inner outer section area panel links link buttons button icons icon site global main primary "
+    "secondary top bottom left right posts articles stories text form message js has is the my".split()
+)
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORD_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
@@ -117,6 +124,39 @@ EXAMPLES = (
 )
 
 
+#: Small pages with labelled blocks: [+n] is a block of n words that is main text, [-n] one that is not, [~n] n words more.
+EXAMPLE_PAGES = (
+    # pages without an article element: short answers, lists, poems and tables are text where no links are near
+    "<p>[+1]</p><p>[+1]</p><p>[+1]</p>",
+    "<p>[+2]</p><p>[+3]</p><p>[+1]</p><p>[+4]</p>",
+    "<ul><li>[+1]</li><li>[+1]</li><li>[+1]</li></ul>",
+    "<h1>[+3]</h1><ul><li>[+1]</li><li>[+2]</li><li>[+1]</li><li>[+5]</li></ul>",
+    "<h2>[+2]</h2><p>[+5]</p><p>[+6]</p><p>[+5]</p><p>[+7]</p>",
+    "<table><tr><td>[+1]</td><td>[+2]</td></tr><tr><td>[+1]</td><td>[+3]</td></tr></table>",
+    "<p>[+30]</p><ul><li>[+2]</li><li>[+3]</li><li>[+1]</li></ul><p>[+50]</p>",
+    "<dl><dt>[+1]</dt><dd>[+12]</dd><dt>[+2]</dt><dd>[+9]</dd></dl>",
+    "<p>[+8]</p>",
+    "<h1>[+4]</h1><p>[+9]</p><p>[+10]</p>",
+    # the same with menus before and links after them
+    "<div><a>[-1]</a></div><div><a>[-1]</a></div><div><a>[-2]</a></div><h1>[+5]</h1><p>[+40]</p><p>[+3]</p><p>[+60]</p><div><a>[-2]</a></div>",
+    "<ul><li><a>[-1]</a><li><a>[-1]</a><li><a>[-1]</a></ul><p>[+25]</p><p>[+35]</p><p>[-6]</p><ul><li><a>[-2]</a><li><a>[-3]</a></ul>",
+    "<div>[-2]<a>[~3]</a></div><p>[+80]</p><h2>[+3]</h2><p>[+45]</p><p>[+20]<a>[~2]</a></p><div><a>[-4]</a></div><div>[-5]</div>",
+    "<div><a>[-2]</a></div><div>[-3]</div><div><a>[-1]</a></div><p>[+70]</p><div>[-4]</div><div><a>[-1]</a></div>",
+    # article elements with short blocks, a menu and a footer around them
+    "<nav><a>[-1]</a> <a>[~1]</a></nav><article><h1>[+6]</h1><p>[+2]</p><p>[+1]</p><p>[+90]</p><ul><li>[+1]</li><li>[+2]</li></ul></article><footer>[-8]</footer>",
+    "<header>[-2]</header><main><h1>[+5]</h1><p>[+15]<a>[~4]</a></p><p><a>[-6]</a></p><p>[+30]</p><aside>[-40]</aside></main><footer>[-12]</footer>",
+    "<div class='ad'>[-9]</div><article><h1>[+3]</h1><p>[+7]</p><div class='ad'>[-30]</div><p>[+50]</p></article><section id='comments'><p>[-45]</p></section>",
+)
+MARKER = re.compile(r"\[([-+~])(\d+)\]")
+
+
+def labelled_blocks(page: str) -> list[tuple]:
+    """One row a block of an example page: its features and its label."""
+    text = MARKER.sub(lambda m: " ".join([{"+": "yes", "-": "no", "~": "more"}[m[1]]] + ["word"] * (int(m[2]) - 1)), page)
+    blocks = flat_blocks(text)
+    return [(*row, int(block[0].startswith("yes"))) for block, row in zip(blocks, features(blocks))]
+
+
 def _gini(y: np.ndarray) -> float:
     p = y.mean() if len(y) else 0.0
     return 2.0 * p * (1.0 - p)
@@ -151,7 +191,7 @@ def decide(tree: tuple, row: tuple) -> int:
 
 @lru_cache(maxsize=1)
 def default_tree() -> tuple:
-    table = np.array(EXAMPLES, dtype=float)
+    table = np.array([*EXAMPLES, *[r for page in EXAMPLE_PAGES for r in labelled_blocks(page)]], dtype=float)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -180,7 +220,12 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
 def _is_boiler(attributes: str) -> bool:
     if HIDDEN.search(attributes):
         return True
-    return any(w.lower() in BOILER_WORDS for m in CLASS.finditer(attributes) for w in WORD_PARTS.findall(m[1] or m[2] or m[3] or ""))
+    for m in CLASS.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = {w.lower() for w in WORD_PARTS.findall(name)}
+            if parts & BOILER_WORDS and parts <= BOILER_WORDS | NEUTRAL_WORDS:
+                return True
+    return False
 
 
 def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
@@ -235,7 +280,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         if tag in RAW_TEXT:
             if not closing and not attributes.endswith("/"):
                 shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = n if shut is None else shut.end()
+                pos = shut.end() if shut else n if tag in ENDLESS else pos
             continue
         if tag == "br":
             parts.append((" ", links > 0))
@@ -267,25 +312,32 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     return blocks
 
 
+def features(blocks: list[tuple]) -> list[tuple]:
+    """The row of ``FEATURES`` of each block of a page."""
+    rows = []
+    for i, (_, words, links, heading, article, boiler) in enumerate(blocks):
+        before = blocks[i - 1] if i else (None, 0, 0.0)
+        after = blocks[i + 1] if i + 1 < len(blocks) else (None, 0, 0.0)
+        rows.append((words, links, before[1], before[2], after[1], after[2], heading, article, boiler))
+    return rows
+
+
 def main_text(page: str | None, tree: tuple | None = None) -> str:
     """Blocks that the tree keeps, joined by a blank line; ``""`` for a null or empty page."""
     if not page:
         return ""
     tree = tree or default_tree()
     blocks = flat_blocks(page)
-    kept = []
-    for i, (text, words, links, heading, article, boiler) in enumerate(blocks):
-        before = blocks[i - 1] if i else (None, 0, 0.0)
-        after = blocks[i + 1] if i + 1 < len(blocks) else (None, 0, 0.0)
-        if decide(tree, (words, links, before[1], before[2], after[1], after[2], heading, article, boiler)):
-            kept.append(text)
+    kept = [block[0] for block, row in zip(blocks, features(blocks)) if decide(tree, row)]
     return "\n\n".join(kept)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """Adds ``text``: the main text of each page's ``html``. A column of that name is replaced.
 
-    Every row comes back once, repeated rows too. Null and empty pages have the text ``""``.
+    Every row comes back once, repeated rows too, also from an empty table. Null and empty
+    pages have the text ``""``; a page of any length is read whole, in one pass. Extra
+    columns pass through, whatever their names.
     """
 
     def extract(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
