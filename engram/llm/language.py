@@ -11,15 +11,15 @@ An input byte is one-hot, so its product with the input weights is one row of a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.sampling import by_class, held_out
+from engram.llm.sampling import by_class, held_out, texts_of
 
 #: Most labelled documents to fit on, for each language.
 MOST_PER_LANGUAGE = 250
@@ -34,7 +34,8 @@ RATE = 0.02
 SIDE_BY_SIDE = 4096
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter as Unicode has it; numbers that look like one (Ⅳ, ½, ①) are none.
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_LETTER = np.zeros(256, dtype=bool)
@@ -65,8 +66,8 @@ class Network:
         h = HIDDEN
         steps = range(segments.shape[1]) if side == 0 else range(segments.shape[1] - 1, -1, -1)
         table, recur = self.table[side], self.recur[side]
-        states = np.empty((segments.shape[1], len(segments), h), dtype=np.float32)
-        state = np.zeros((len(segments), h), dtype=np.float32)
+        states = np.empty((segments.shape[1], len(segments), h), dtype=table.dtype)
+        state = np.zeros((len(segments), h), dtype=table.dtype)
         kept = {}
         for t in steps:
             into = table[segments[:, t]]
@@ -99,11 +100,45 @@ def cut(text: str) -> np.ndarray:
     return out.reshape(rows, SEGMENT)
 
 
+def gradients(net: Network, seg: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Gradients of the mean log loss over all letters' positions by backpropagation through time, and the loss."""
+    h = HIDDEN
+    runs = [net.read(seg, side, keep=True) for side in (0, 1)]
+    both = np.concatenate((runs[0][0], runs[1][0]), axis=2)
+    logits = both @ net.out + net.bias
+    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    on = _IS_LETTER[seg].T.astype(both.dtype)
+    sure = p[:, np.arange(len(seg)), label].copy()
+    p[:, np.arange(len(seg)), label] -= 1
+    d_logits = p * (on / max(1.0, on.sum()))[:, :, None]
+    grads = [np.zeros_like(x) for x in (net.table, net.recur, net.out, net.bias)]
+    grads[2] += np.einsum("tbh,tbc->hc", both, d_logits, optimize=True)
+    grads[3] += d_logits.sum(axis=(0, 1))
+    d_both = d_logits @ net.out.T
+    for side in (0, 1):
+        kept = runs[side][1]
+        order = range(seg.shape[1] - 1, -1, -1) if side == 0 else range(seg.shape[1])
+        back = np.zeros((len(seg), h), dtype=both.dtype)
+        for t in order:
+            state, gates, fresh, own = kept[t]
+            z, r = gates[:, :h], gates[:, h:]
+            g = back + d_both[t, :, side * h : side * h + h]
+            d_fresh = g * (1 - z) * (1 - fresh * fresh)
+            d_z = g * (state - fresh) * z * (1 - z)
+            d_r = d_fresh * own * r * (1 - r)
+            d_in = np.concatenate((d_z, d_r, d_fresh), axis=1)
+            d_own = np.concatenate((d_z, d_r, d_fresh * r), axis=1)
+            np.add.at(grads[0][side], seg[:, t], d_in)
+            grads[1][side] += state.T @ d_own
+            back = g * z + d_own @ net.recur[side].T
+    return grads, float(-(np.log(sure) * on).sum() / max(1.0, on.sum()))
+
+
 def train(texts: list[str], target: list[int], languages: list[str], seed: int = 3) -> Network:
     """Fit by backpropagation through time; every letter's position is a training case."""
     rng = np.random.default_rng(seed)
     net = Network(languages, rng)
-    h = HIDDEN
     pieces = [cut(t) for t in texts]
     params = [net.table, net.recur, net.out, net.bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -116,34 +151,7 @@ def train(texts: list[str], target: list[int], languages: list[str], seed: int =
             part = drawn[lo : lo + BATCH]
             seg = np.stack([pieces[i][r] for i, r in part])
             label = y[[i for i, _ in part]]
-            runs = [net.read(seg, side, keep=True) for side in (0, 1)]
-            both = np.concatenate((runs[0][0], runs[1][0]), axis=2)
-            logits = both @ net.out + net.bias
-            p = np.exp(logits - logits.max(axis=2, keepdims=True))
-            p /= p.sum(axis=2, keepdims=True)
-            on = _IS_LETTER[seg].T.astype(np.float32)
-            p[:, np.arange(len(part)), label] -= 1
-            d_logits = p * (on / max(1.0, on.sum()))[:, :, None]
-            grads = [np.zeros_like(x) for x in params]
-            grads[2] += np.einsum("tbh,tbc->hc", both, d_logits, optimize=True)
-            grads[3] += d_logits.sum(axis=(0, 1))
-            d_both = d_logits @ net.out.T
-            for side in (0, 1):
-                kept = runs[side][1]
-                order = range(SEGMENT - 1, -1, -1) if side == 0 else range(SEGMENT)
-                back = np.zeros((len(part), h), dtype=np.float32)
-                for t in order:
-                    state, gates, fresh, own = kept[t]
-                    z, r = gates[:, :h], gates[:, h:]
-                    g = back + d_both[t, :, side * h : side * h + h]
-                    d_fresh = g * (1 - z) * (1 - fresh * fresh)
-                    d_z = g * (state - fresh) * z * (1 - z)
-                    d_r = d_fresh * own * r * (1 - r)
-                    d_in = np.concatenate((d_z, d_r, d_fresh), axis=1)
-                    d_own = np.concatenate((d_z, d_r, d_fresh * r), axis=1)
-                    np.add.at(grads[0][side], seg[:, t], d_in)
-                    grads[1][side] += state.T @ d_own
-                    back = g * z + d_own @ net.recur[side].T
+            grads, _ = gradients(net, seg, label)
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             shrink = min(1.0, 1.0 / (norm + 1e-9))
@@ -166,9 +174,9 @@ def fit(rows: list[tuple[str | None, str]]) -> Network | None:
 
 
 def fit_from_table(documents: DataFrame, most: int = MOST_PER_LANGUAGE) -> Network | None:
-    """Fit on at most ``most`` documents of each language outside the held-out fold."""
+    """Fit on about ``most`` documents of each language outside the held-out fold."""
     ids = by_class(documents, "lang", most).withColumnRenamed("lang", "target")
-    found = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").join(F.broadcast(ids), "doc_id").where("lang = target").orderBy("doc_id", "text")
+    found = texts_of(documents.where("lang is not null"), ids, "text", "lang").where("lang = target").orderBy("doc_id")
     return fit([(r.text, r.lang) for r in found.collect()])
 
 
@@ -198,8 +206,12 @@ def predict(texts: list[str | None], net: Network | None) -> tuple[list[str], np
 def identify(documents: DataFrame, net: Network | None, text: str = "text", name: str = "language") -> DataFrame:
     """Adds a struct ``language(lang, score)`` to every row.
 
-    Whole texts are read. ``lang`` is ``und`` with score 0 for a null text, one without a
-    letter, and everywhere if there was nothing to learn from. A column of that name is replaced.
+    Whole texts of any length are read, in segments of ``SEGMENT`` bytes that know nothing of
+    one another; the probabilities of all letters are pooled. A text shorter than a segment
+    is one short read. ``lang`` is ``und`` with score 0 for a null text, one without a
+    letter, and everywhere if there was nothing to learn from; of equal probabilities the
+    first language by name counts. Repeated rows come back as often as they came, an empty
+    table stays empty. Other columns pass through; one of that name is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(net)
 

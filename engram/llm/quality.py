@@ -1,8 +1,10 @@
 """Quality by co-training: a text view and a metadata view teach each other.
 
-The text view sees measures of the text (shares of capitals, marks, digits, repeated words
-and lines, lengths); the metadata view sees source, language and length. Both are logistic
-models over one-hot quantile bins and hashed names. In each round a view labels the pool of
+The text view sees the words, as log odds of hashed tokens between good and bad texts, and
+measures of the text (shares of capitals, marks, digits, repeated words and lines, lengths);
+the metadata view sees source, language and length. Both are logistic models over one-hot
+quantile bins and hashed names. A fitted text's tokens are weighed by the labels of the other
+half of the texts, so that no text vouches for itself. In each round a view labels the pool of
 unlabelled documents and hands its most confident labels to the other view. A view hands
 over a label only above the confidence at which, on labelled rows kept aside, it was right
 in ``SURE`` of the cases, so a view that knows nothing teaches nothing. At the end each view
@@ -21,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.sampling import by_class, held_out
+from engram.llm.sampling import by_class, held_out, texts_of
+from engram.llm.substring_dedup import _WordHashes
 
 #: Most labelled rows to fit on, for each label, and most unlabelled rows in the pool.
 MOST_PER_LABEL = 2500
@@ -33,6 +36,7 @@ SURE = 0.97
 KEEP = 0.3
 BINS = 12
 NAMES = 64
+TOKENS = 1 << 14
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -74,6 +78,29 @@ def text_measures(text: str | None) -> list[float]:
     ]
 
 
+def token_buckets(text: str | None, table: _WordHashes) -> np.ndarray:
+    """Hash buckets of the distinct lower-case words of a whole text."""
+    words = (text or "").lower().encode("utf-8").split()
+    return np.unique(np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words)) & np.uint64(TOKENS - 1)).astype(np.int64)
+
+
+def token_odds(tokens: list[np.ndarray], labels: dict[int, float], half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(odds of each text, odds of each bucket)``: log odds of the texts' tokens by the labelled texts.
+
+    A labelled text is weighed by the labels of the other half, any other by both.
+    """
+    weights = []
+    for k in (0, 1):
+        counts = []
+        for label in (1.0, 0.0):
+            mine = [tokens[i] for i, y in labels.items() if y == label and half[i] == k]
+            met = np.bincount(np.concatenate(mine), minlength=TOKENS) if mine else np.zeros(TOKENS)
+            counts.append(np.log((met + 1) / (len(mine) + 2)))
+        weights.append(counts[0] - counts[1])
+    whole = (weights[0] + weights[1]) / 2
+    return np.array([(weights[1 - half[i]] if i in labels else whole)[t].mean() if len(t) else 0.0 for i, t in enumerate(tokens)]), whole
+
+
 def meta_measures(source: str | None, lang: str | None, n_chars: int | None) -> tuple[list[str], float]:
     """Names and the length of a document's metadata; a null is a name of its own."""
     return [f"source={source}", f"lang={lang}"], float(np.log2(1 + max(0, n_chars or 0)))
@@ -134,7 +161,7 @@ def _unit(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> tuple[np.ndarray
 class Model:
     """Two views, and how their log odds are joined."""
 
-    def __init__(self, rows: list[tuple], pool: list[tuple], good_per_bad: float = 1.0):
+    def __init__(self, rows: list[tuple], pool: list[tuple], good_per_bad: float = 1.0, rounds: int = ROUNDS):
         """``rows``: (doc_id, text, source, lang, n_chars, quality); ``pool``: the same without a label.
 
         ``good_per_bad`` is how much more the sample thins out good rows than bad ones.
@@ -146,19 +173,26 @@ class Model:
             self.prior = float(y.mean()) if len(y) else 1.0
             return
         both = [*rows, *pool]
-        text = np.array([text_measures(r[1]) for r in both])
+        measures = np.array([text_measures(r[1]) for r in both])
+        table = _WordHashes()
+        tokens = [token_buckets(r[1], table) for r in both]
+        half = np.array([zlib.crc32(f"half{r[0]}".encode()) % 2 for r in both])
         meta = [meta_measures(r[2], r[3], r[4]) for r in both]
         length, names = np.array([[m[1]] for m in meta]), [m[0] for m in meta]
-        self.views = [View(text[: len(rows)]), View(length[: len(rows)])]
-        codes = [self.views[0].code(text, []), self.views[1].code(length, names)]
         n = len(rows)
+        self.views = [None, View(length[:n])]
+        codes = [None, self.views[1].code(length, names)]
         known = [dict(zip(np.flatnonzero(~aside), y[~aside])) for _ in self.views]
         free = [set(range(n, len(both))) for _ in self.views]
-        for turn in range(ROUNDS + 1):
+        for turn in range(rounds + 1):
+            odds, self.tokens = token_odds(tokens, known[0], half)
+            text = np.column_stack((measures, odds))
+            self.views[0] = View(text[:n])
+            codes[0] = self.views[0].code(text, [])
             for v, view in enumerate(self.views):
                 at = np.fromiter(known[v], dtype=np.int64)
                 view.fit(codes[v][at], np.array([known[v][i] for i in at]))
-            if turn == ROUNDS:
+            if turn == rounds:
                 break
             gained = 0
             for v, view in enumerate(self.views):
@@ -179,12 +213,12 @@ class Model:
                         gained += 1
             if not gained:
                 break
-        odds = []
+        joined = []
         for v, view in enumerate(self.views):
             w, b = _unit(view.logit(codes[v][:n][aside])[:, None], y[aside])
             view.scale, view.shift = float(w[0]), b
-            odds.append(view.calibrated(codes[v][:n][aside]))
-        self.join, self.offset = _unit(np.stack(odds, axis=1), y[aside])
+            joined.append(view.calibrated(codes[v][:n][aside]))
+        self.join, self.offset = _unit(np.stack(joined, axis=1), y[aside])
         self.offset += float(np.log(good_per_bad))
 
     @staticmethod
@@ -195,11 +229,13 @@ class Model:
         ok = np.flatnonzero((hits >= SURE) & (np.arange(len(order)) >= 9))
         return float(odds[order[ok[-1]]]) if len(ok) else None
 
-    def scores(self, rows: list[tuple]) -> np.ndarray:
+    def scores(self, rows: list[tuple], table: _WordHashes | None = None) -> np.ndarray:
         """Joined, text and metadata probabilities of (text, source, lang, n_chars) rows."""
         if self.prior is not None or not rows:
             return np.full((len(rows), 3), self.prior if self.prior is not None else 1.0)
-        text = np.array([text_measures(r[0]) for r in rows])
+        table = _WordHashes() if table is None else table
+        odds = [self.tokens[t].mean() if len(t) else 0.0 for t in (token_buckets(r[0], table) for r in rows)]
+        text = np.column_stack((np.array([text_measures(r[0]) for r in rows]), odds))
         meta = [meta_measures(r[1], r[2], r[3]) for r in rows]
         a = self.views[0].calibrated(self.views[0].code(text, []))
         b = self.views[1].calibrated(self.views[1].code(np.array([[m[1]] for m in meta]), [m[0] for m in meta]))
@@ -208,14 +244,12 @@ class Model:
 
 
 def fit_from_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_PER_LABEL, unlabelled: int = MOST_UNLABELLED) -> Model:
-    """Fit on at most ``most`` labelled rows a label and ``unlabelled`` others, held-out fold left out."""
+    """Fit on about ``most`` labelled rows a label and ``unlabelled`` others, held-out fold left out."""
     columns = ["doc_id", "text", "source", "lang", "n_chars"]
-    ids = by_class(labels, "quality", most)
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *columns[1:])
-    rows = docs.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect()
-    others = docs.select("doc_id").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
+    rows = texts_of(documents, by_class(labels, "quality", most), *columns[1:]).orderBy("doc_id").collect()
+    others = documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
     pool_ids = by_class(others.withColumn("pool", F.lit(1)), "pool", unlabelled)
-    pool = docs.join(F.broadcast(pool_ids.select("doc_id")), "doc_id").orderBy("doc_id", "text").collect()
+    pool = texts_of(documents, pool_ids.select("doc_id"), *columns[1:]).orderBy("doc_id").collect()
     n_good, n_bad = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.count_if(F.col("quality") != 0), F.count_if(F.col("quality") == 0)).first()
     thinned = lambda n: max(1.0, n / most)
     return Model([(*[r[c] for c in columns], r.quality) for r in rows], [tuple(r[c] for c in columns) for r in pool], thinned(n_good) / thinned(n_bad))
@@ -224,16 +258,18 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_PE
 def score_documents(documents: DataFrame, model: Model, name: str = "quality_views") -> DataFrame:
     """Adds a struct ``quality_views(score, text_score, metadata_score)`` to every row.
 
-    Whole texts are measured; null text, source, lang or n_chars are values of their own. A
-    column of that name is replaced. Where labels teach nothing every score is the share of
+    Whole texts of any length are measured; null text, source, lang or n_chars are values of
+    their own. Equal rows score alike and come back as often as they came, an empty table
+    stays empty. Other columns pass through; one of that name is replaced. Where labels teach nothing every score is the share of
     good labels (1 without any).
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        table = _WordHashes()
         for text, source, lang, n_chars in batches:
             rows = list(zip(text, source, lang, [None if pd.isna(x) else int(x) for x in n_chars]))
-            yield pd.DataFrame(shared.value.scores(rows), columns=["score", "text_score", "metadata_score"])
+            yield pd.DataFrame(shared.value.scores(rows, table), columns=["score", "text_score", "metadata_score"])
 
     made = F.pandas_udf(run, "score double, text_score double, metadata_score double")
     return documents.withColumn(name, made(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars").cast("bigint")))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.sampling import by_class, held_out
+from engram.llm.sampling import by_class, held_out, texts_of
 
 #: Most labelled rows to fit on, for each of the two labels.
 MOST_PER_LABEL = 2000
@@ -34,6 +34,8 @@ BUCKETS = 1 << 15
 SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
+#: Blank words after each text: as many as the widest filter has words.
+BLANKS = max(WIDTHS)
 PREFIXES = (4, 5, 6, 7)
 EPOCHS = 7
 BATCH = 32
@@ -80,28 +82,83 @@ class Model:
         return np.einsum("we,oef->wof", e, self.conv, optimize=True).reshape(len(rows), -1)
 
     def pool(self, answers: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Maxima over texts laid end to end, each followed by two blank words."""
+        """Maxima over texts laid end to end, each followed by ``BLANKS`` blank words.
+
+        A window begins at a word or at the first blank, so none reaches into the next text.
+        """
         n, out = len(answers), []
+        beyond = np.append(begins[1:], n)[:, None] - np.arange(1, BLANKS)
         for w, k in enumerate(WIDTHS):
             first = sum(WIDTHS[:w])
             total = answers[:, first * FILTERS : (first + 1) * FILTERS].copy()
             for j in range(1, k):
                 total[: n - j] += answers[j:, (first + j) * FILTERS : (first + j + 1) * FILTERS]
+            total[beyond] = -np.inf
             out.append(np.maximum.reduceat(total, begins, axis=0) + self.bias[w])
         return np.maximum(np.concatenate(out, axis=1), 0)
 
     def raw(self, pooled: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias[0])))
+        # Row by row, so that equal texts score alike wherever they stand in a batch.
+        return 1 / (1 + np.exp(-((pooled * self.out).sum(axis=1) + self.out_bias[0])))
 
 
 def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts end to end with two blanks (word 0) after each, and where each begins."""
-    blank = np.zeros(2, dtype=np.int64)
+    """Texts end to end with ``BLANKS`` blanks (word 0) after each, and where each begins."""
+    blank = np.zeros(BLANKS, dtype=np.int64)
     flat = np.concatenate([x for t in texts for x in (t, blank)])
-    lengths = np.array([len(t) + 2 for t in texts])
+    lengths = np.array([len(t) + BLANKS for t in texts])
     return flat, np.cumsum(lengths) - lengths
 
 
+def gradients(model: Model, texts: list[np.ndarray], rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], float]:
+    """Gradients of the weighted log loss by backpropagation, and the loss.
+
+    ``texts`` are word numbers, ``rows`` the buckets of each word. Returns the buckets
+    touched with their gradient, the gradients of filters, biases and output, and the loss.
+    """
+    flat, begins = _flat(texts)
+    used, where = np.unique(flat, return_inverse=True)
+    e = model.embed[rows[used]].mean(axis=1)
+    table = np.einsum("we,oef->wof", e, model.conv, optimize=True)
+    ends = np.append(begins[1:], len(flat))
+    pooled = np.zeros((len(texts), len(WIDTHS), FILTERS), dtype=e.dtype)
+    best = np.zeros(pooled.shape, dtype=np.int64)
+    for w, k in enumerate(WIDTHS):
+        first = sum(WIDTHS[:w])
+        total = table[where, first].copy()
+        for j in range(1, k):
+            total[: len(flat) - j] += table[where[j:], first + j]
+        for d in range(len(texts)):
+            part = total[begins[d] : ends[d] - BLANKS + 1]
+            best[d, w] = begins[d] + part.argmax(axis=0)
+            pooled[d, w] = part.max(axis=0)
+    pooled += model.bias
+    on = pooled > 0
+    active = np.where(on, pooled, 0).reshape(len(texts), -1)
+    p = model.raw(active)
+    g = ((p - y) * weight).astype(e.dtype)
+    grads = [np.zeros_like(x) for x in (model.conv, model.bias, model.out, model.out_bias)]
+    back = (g[:, None] * model.out).reshape(pooled.shape) * on
+    d_e = np.zeros_like(e)
+    for w, k in enumerate(WIDTHS):
+        for j in range(k):
+            o = sum(WIDTHS[:w]) + j
+            at = where[np.minimum(best[:, w] + j, len(flat) - 1)]
+            for f in range(FILTERS):
+                grads[0][o, :, f] += e[at[:, f]].T @ back[:, w, f]
+                np.add.at(d_e, at[:, f], back[:, w, f, None] * model.conv[o, :, f])
+    grads[1] += back.sum(axis=0)
+    grads[2] += active.T @ g
+    grads[3] += g.sum()
+    touched = rows[used].reshape(-1)
+    d_rows = np.repeat(d_e / rows.shape[1], rows.shape[1], axis=0)
+    unique, inverse = np.unique(touched, return_inverse=True)
+    d_embed = np.zeros((len(unique), SIZE), dtype=e.dtype)
+    np.add.at(d_embed, inverse, d_rows)
+    sure = np.where(y > 0, p, 1 - p).clip(1e-12, 1)
+    return unique, d_embed, grads, float(-(weight * np.log(sure)).sum())
+
+
 def train(texts: list[list[str]], toxic: list[int], seed: int = 7) -> Model:
     """Fit the network on word lists and labels."""
     rng = np.random.default_rng(seed)
@@ -123,45 +180,7 @@ def train(texts: list[list[str]], toxic: list[int], seed: int = 7) -> Model:
         order = rng.permutation(len(coded))
         for lo in range(0, len(order), BATCH):
             batch = order[lo : lo + BATCH]
-            flat, begins = _flat([coded[i] for i in batch])
-            used, where = np.unique(flat, return_inverse=True)
-            e = model.embed[rows[used]].mean(axis=1)
-            table = np.einsum("we,oef->wof", e, model.conv, optimize=True)
-            ends = np.append(begins[1:], len(flat))
-            pooled = np.zeros((len(batch), len(WIDTHS), FILTERS), dtype=np.float32)
-            best = np.zeros_like(pooled, dtype=np.int64)
-            for w, k in enumerate(WIDTHS):
-                first = sum(WIDTHS[:w])
-                total = table[where, first].copy()
-                for j in range(1, k):
-                    total[: len(flat) - j] += table[where[j:], first + j]
-                for d in range(len(batch)):
-                    part = total[begins[d] : ends[d]]
-                    best[d, w] = begins[d] + part.argmax(axis=0)
-                    pooled[d, w] = part.max(axis=0)
-            pooled += model.bias
-            on = pooled > 0
-            active = np.where(on, pooled, 0).reshape(len(batch), -1)
-            p = model.raw(active)
-            g = ((p - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            grads = [np.zeros_like(x) for x in params[1:]]
-            back = (g[:, None] * model.out).reshape(pooled.shape) * on
-            d_e = np.zeros_like(e)
-            for w, k in enumerate(WIDTHS):
-                for j in range(k):
-                    o = sum(WIDTHS[:w]) + j
-                    at = where[np.minimum(best[:, w] + j, len(flat) - 1)]
-                    for f in range(FILTERS):
-                        grads[0][o, :, f] += e[at[:, f]].T @ back[:, w, f]
-                        np.add.at(d_e, at[:, f], back[:, w, f, None] * model.conv[o, :, f])
-            grads[1] += back.sum(axis=0)
-            grads[2] += active.T @ g
-            grads[3] += g.sum()
-            touched = rows[used].reshape(-1)
-            d_rows = np.repeat(d_e / rows.shape[1], rows.shape[1], axis=0)
-            unique, inverse = np.unique(touched, return_inverse=True)
-            d_embed = np.zeros((len(unique), SIZE), dtype=np.float32)
-            np.add.at(d_embed, inverse, d_rows)
+            unique, d_embed, grads, _ = gradients(model, [coded[i] for i in batch], rows, y[batch], weight[batch] / len(batch))
             step += 1
             scale = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for i, (x, gx) in enumerate(zip(params[1:], grads), start=1):
@@ -291,9 +310,8 @@ def fit(rows: list[tuple[int, str | None, str | None, int]], clean_weight: float
 
 
 def fit_from_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_PER_LABEL) -> Model:
-    """Fit on at most ``most`` labelled rows of each label outside the held-out fold."""
-    ids = by_class(labels, "toxic", most)
-    found = documents.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text")
+    """Fit on about ``most`` labelled rows of each label outside the held-out fold."""
+    found = texts_of(documents, by_class(labels, "toxic", most), "text", "lang").orderBy("doc_id")
     learnt = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     n_toxic, n_clean = learnt.agg(F.count_if(F.col("toxic") != 0), F.count_if(F.col("toxic") == 0)).first()
     thinned = lambda n: max(1.0, n / most)
@@ -303,7 +321,9 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_PE
 def score_documents(documents: DataFrame, model: Model, text: str = "text", score: str = "toxicity") -> DataFrame:
     """Adds ``toxicity`` (0 to 1; ``THRESHOLD`` is the calibrated cut) to every row.
 
-    Whole texts are scored; null counts as empty. A column of that name is replaced.
+    Whole texts of any length are scored; null counts as empty. Equal texts score alike,
+    repeated rows come back as often as they came, an empty table stays empty. Other columns
+    pass through, whatever their names; one of that name is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
