@@ -3,7 +3,9 @@
 A search broadcasts its queries in blocks of at most ``QUERY_BLOCK`` rows. Each partition of
 the vector table keeps its own best k of every query, so what crosses the shuffle is at most
 k rows a query and partition. A self-join deals each scope's vectors into blocks of about
-``JOIN_BLOCK`` rows and compares block with block; no task holds more than two blocks.
+``JOIN_BLOCK`` rows, as many as that scope needs, and compares each two blocks once; no task
+holds more than two blocks. Where only some vectors look for neighbours, they are dealt into
+blocks of their own, so that the others are sent once for each of those.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ LEAST_NORM = 1e-12
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column as a matrix of doubles; rows of another length than the first are zero."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(flat) and not flat.null_count:
+        sizes = np.diff(flat.offsets.to_numpy())
+        values = flat.flatten()
+        if (sizes == sizes[0]).all() and sizes[0] and not values.null_count:
+            return values.to_numpy().reshape(len(flat), sizes[0]).astype(np.float64)
     rows = column.to_pylist()
     dim = next((len(r) for r in rows if r), 0)
     out = np.zeros((len(rows), dim))
@@ -111,21 +119,28 @@ def neighbours(vectors: DataFrame, k: int, floor: float, seeds: DataFrame | None
     lower id. Every pair of a scope is compared, block by block.
     """
     base = vectors.select("boundary", "id", "embedding")
-    largest = base.groupBy("boundary").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-largest // JOIN_BLOCK))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    looking = dealt if seeds is None else dealt.join(seeds.select("id"), "id", "left_semi")
-    left = looking.withColumnRenamed("block", "lb").withColumn("rb", every)
-    # Own attributes for the right side, as both sides may come from the same rows.
-    right = dealt.select(*[F.col(c).alias(c) for c in base.columns], F.col("block").alias("rb")).withColumn("lb", every)
+    looking = base if seeds is None else base.join(seeds.select("id"), "id", "left_semi").select(*base.columns)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        """How many blocks each scope of ``rows`` has."""
+        return rows.groupBy("boundary").agg(F.ceil(F.count(F.lit(1)) / JOIN_BLOCK).cast("int").alias(name))
+
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    if seeds is None:
+        placed = base.join(blocks(base, "n"), "boundary").withColumn("block", dealt("n"))
+        left = placed.select(*base.columns, F.col("block").alias("lb"), F.explode(F.sequence("block", F.col("n") - 1)).alias("rb"))
+        # Own attributes for the right side, as both sides come from the same rows; a block meets itself on the left alone.
+        others = placed.where("block > 0").select(*[F.col(c).alias(c) for c in base.columns], F.col("block").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("lb"))
+    else:
+        counts = blocks(looking, "ln").join(blocks(base, "rn"), "boundary")
+        left = looking.join(counts, "boundary").withColumn("lb", dealt("ln")).select(*base.columns, "lb", F.explode(F.sequence(F.lit(0), F.col("rn") - 1)).alias("rb"))
+        others = base.join(counts, "boundary").withColumn("rb", dealt("rn")).select(*[F.col(c).alias(c) for c in base.columns], "rb", F.explode(F.sequence(F.lit(0), F.col("ln") - 1)).alias("lb"))
+    one_way = seeds is not None
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"boundary": [], "id": [], "other": [], "score": []}
-        if a.num_rows and b.num_rows:
-            x, y = _unit(_matrix(a.column("embedding"))), _unit(_matrix(b.column("embedding")))
-            own, other = a.column("id").to_pylist(), np.array(b.column("id").to_pylist(), dtype=object)
-            scope = a.column("boundary")[0].as_py()
+
+        def best(x: np.ndarray, own: np.ndarray, y: np.ndarray, other: np.ndarray) -> None:
             for lo in range(0, len(own), 512):
                 scores = x[lo : lo + 512] @ y.T
                 for i, me in enumerate(own[lo : lo + 512]):
@@ -135,10 +150,22 @@ def neighbours(vectors: DataFrame, k: int, floor: float, seeds: DataFrame | None
                     out["id"] += [me] * len(at)
                     out["other"] += other[at].tolist()
                     out["score"] += scores[i][at].tolist()
+
+        if a.num_rows:
+            scope = a.column("boundary")[0].as_py()
+            x, ids = _unit(_matrix(a.column("embedding"))), np.array(a.column("id").to_pylist(), dtype=object)
+            if not one_way and a.column("lb")[0].as_py() == a.column("rb")[0].as_py():
+                best(x, ids, x, ids)
+            elif b.num_rows:
+                y, others = _unit(_matrix(b.column("embedding"))), np.array(b.column("id").to_pylist(), dtype=object)
+                if x.shape[1] == y.shape[1]:
+                    best(x, ids, y, others)
+                    if not one_way:
+                        best(y, others, x, ids)
         return pa.table({"boundary": pa.array(out["boundary"], pa.string()), "id": pa.array(out["id"], pa.string()), "other": pa.array(out["other"], pa.string()), "score": pa.array(out["score"], pa.float64())})
 
     keys = ["boundary", "lb", "rb"]
-    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "boundary string, id string, other string, score double")
+    part = left.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(compare, "boundary string, id string, other string, score double")
     w = Window.partitionBy("id").orderBy(F.col("score").desc(), "other")
     return part.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= k).drop("_turn")
 

@@ -76,9 +76,20 @@ def retrieve_semantic_archived(spark, d):
     return _out(retrieval.semantic(vector_queries(spark, d), views.vectors(spark, d), views.memories(spark, d), views.now(), PAGE, FLOOR, True))
 
 
+_INDEX: dict[tuple[str, str], bm25.KeywordIndex] = {}
+
+
+def index_of(spark, d) -> bm25.KeywordIndex:
+    """The keyword index of a folder's facts, built once an application and kept in shared storage."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEX:
+        _INDEX[key] = bm25.build_index(views.memories(spark, d))
+    return _INDEX[key]
+
+
 @REGISTER(f"WITH {S.MEMORIES}, {S.POSTINGS}, {S.ASKED}, {S.bm25(PAGE)} {_OUT} bm25")
 def bm25_search(spark, d):
-    return _out(bm25.search(text_queries(spark, d), bm25.build_index(views.memories(spark, d)), PAGE))
+    return _out(bm25.search(text_queries(spark, d), index_of(spark, d), PAGE))
 
 
 @REGISTER(f"WITH {S.MEMORIES}, {S.POSTINGS} SELECT id, CAST(length AS INTEGER) AS length, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS total FROM tf WHERE CAST(id AS BIGINT) % 3 <> 0 GROUP BY id, length")
@@ -95,12 +106,12 @@ def keyword_index_upkeep(spark, d):
 @REGISTER(f"WITH {_BASE}, {_KEY(PAGE, 'kw')} {_OUT} kw")
 def retrieve_keyword(spark, d):
     m = views.memories(spark, d)
-    return _out(retrieval.keyword(text_queries(spark, d), bm25.build_index(m), m, views.now(), PAGE))
+    return _out(retrieval.keyword(text_queries(spark, d), index_of(spark, d), m, views.now(), PAGE))
 
 
 def _hybrid(spark, d, most=PAGE):
     m = views.memories(spark, d)
-    q, index = text_queries(spark, d), bm25.build_index(m)
+    q, index = text_queries(spark, d), index_of(spark, d)
     return q, m, index, retrieval.hybrid(q, views.vectors(spark, d), index, m, views.now(), most)
 
 
