@@ -126,6 +126,7 @@ def retrieve_abstaining(spark, d):
     return _out(retrieval.abstaining(rows, q, index, 12.0))
 
 
+_PAGED = f"{_SEM(20, 'tq', 'sem20')}, {_FUSED.replace('sem', 'sfm').replace('kw', 'kfw')}"
 _LOGIT = "CAST((CAST(id AS BIGINT) * 37 + query_id * 11) % 200 - 130 AS DOUBLE) / 25"
 _POOLED = lambda fused: f"""{_SEM(20, 'tq', 'sem20')}, {fused.replace('sem', 'sfm').replace('kw', 'kfw')},
 place AS (SELECT query_id, id, min(ch * 1000 + rank) AS p FROM (SELECT query_id, {S.KEY.format('query_id * 13 % 200 + n * 3')} AS id, 0 AS ch, n AS rank FROM tq, (VALUES (1), (2)) g(n) UNION ALL SELECT query_id, id, 1, rank FROM sem20 UNION ALL SELECT query_id, id, 2, rank FROM fused) GROUP BY query_id, id),
@@ -164,7 +165,7 @@ def retrieve_without_scorer(spark, d):
 
 
 @REGISTER(
-    f"""WITH {_BASE}, {_SEM(20, 'tq', 'sem20')}, {_FUSE(PAGE).replace('sem', 'sfm').replace('kw', 'kfw')},
+    f"""WITH {_BASE}, {_PAGED},
 place AS (SELECT query_id, id, min(ch * 1000 + rank) AS p FROM (SELECT query_id, id, 2 AS ch, rank FROM sem20 UNION ALL SELECT query_id, id, 1, rank FROM fused) GROUP BY query_id, id)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p, id) AS INTEGER) AS position FROM place"""
 )
@@ -185,7 +186,7 @@ def search_hints(spark, d):
     return retrieval.search_hint(rows, q)
 
 
-@REGISTER(f"WITH {_BASE}, {_POOL} {_OUT} fused WHERE query_id IN (SELECT query_id FROM sem20 WHERE rank = 1 AND score >= {FLOOR})")
+@REGISTER(f"WITH {_BASE}, {_PAGED} {_OUT} fused WHERE query_id IN (SELECT query_id FROM sem20 WHERE rank = 1 AND score >= {FLOOR})")
 def relevance_gate(spark, d):
     q, m, _, rows = _hybrid(spark, d)
     return _out(retrieval.relevance_gate(rows, retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT), FLOOR))
