@@ -104,7 +104,7 @@ class FactStore:
         self._replace("postings", bm25.upsert_index(self.postings, listed.join(one, "id", "left_semi"), one))
         self.index = bm25.with_statistics(self.postings, listed)
 
-    def _audit(self, kind: str, key: str | None, boundary: str | None, result: str = "ok") -> None:
+    def _audit(self, kind: str, key: str | None, boundary: str | None, result: str = "success") -> None:
         """One event a change or point lookup; the chain is sealed by ``audit_log``."""
         body = {"event_id": time_ordered_id(self.now()), "timestamp": self.now().isoformat(), "event_type": kind, "resource_type": "memory", "resource_id": key, "boundary": boundary, "actor_kind": "agent", "result": result, "details_json": "{}"}
         self.events.append((len(self.events) + 1, *[body.get(n) for n in AUDIT_FIELDS]))
@@ -116,7 +116,7 @@ class FactStore:
     def get(self, boundaries: list[str], key: str):
         """One fact by id, or None where it is missing or out of scope; the read is audited."""
         found = scope.get(self.memories, key).where(scope.in_scope(boundaries)).first()
-        self._audit("memory.read", key, None if found is None else found.boundary, "ok" if found is not None else "not_found")
+        self._audit("memory.read", key, None if found is None else found.boundary, "success" if found is not None else "error")
         return found
 
     def _log(self, tool: str, length: int, results: int) -> None:
@@ -210,7 +210,7 @@ class FactStore:
         self._replace("memories", self.memories.unionByName(rows.select(*self.memories.columns)))
         self._replace("vectors", tables.upsert(self.vectors, vector, ["id"]))
         self._reindex(row[0])
-        self._audit("memory.write", row[0], boundary)
+        self._audit("memory.create", row[0], boundary)
         self._log("memory_write", len(content), 1)
         return row[0]
 

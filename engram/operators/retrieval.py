@@ -7,12 +7,11 @@ score means differs between retrievers, and so does where a threshold applies.
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.clock import staleness
+from engram.functions.text import trimmed
 from engram.functions.vector import rrf, sigmoid
 from engram.operators import bm25
 from engram.operators.knn import knn
@@ -30,16 +29,36 @@ COSINE_FLOOR = 0.66
 NO_SIGNAL = 0.01
 
 
-def check_query(text: str, max_results: int) -> None:
-    """Reject an empty, over-long or control-ridden query and a page size out of range."""
+def check_page(max_results: int) -> None:
+    if not 1 <= max_results <= MAX_RESULTS:
+        raise ValueError(f"max_results must be within 1 and {MAX_RESULTS}")
+
+
+def check_query(text: str, max_results: int, to_embed: bool = True) -> None:
+    """Reject an empty or over-long query and a page size out of range.
+
+    A text ``to_embed`` must not hold ASCII control characters between its first and last
+    word; a keyword query may.
+    """
     if not text.strip():
         raise ValueError("query is empty")
+    if to_embed and any(c < " " or c == "\x7f" for c in text.strip()):
+        raise ValueError("query holds control characters")
     if len(text.encode("utf-8")) > MAX_QUERY_BYTES:
         raise ValueError(f"query is longer than {MAX_QUERY_BYTES} bytes")
-    if any(unicodedata.category(c) == "Cc" for c in text):
-        raise ValueError("query holds control characters")
-    if not 1 <= max_results <= MAX_RESULTS:
-        raise ValueError(f"max_results must be within 1 and {MAX_RESULTS}")
+    check_page(max_results)
+
+
+def query_fault(text: Column, to_embed: bool = True) -> Column:
+    """Why ``check_query`` rejects a text (``empty``, ``control``, ``too long``), or null."""
+    inner = trimmed(text)
+    control = F.lit(to_embed) & inner.rlike(r"[\x00-\x1F\x7F]")
+    return F.when(text.isNull() | (inner == ""), "empty").when(control, "control").when(F.octet_length(text) > MAX_QUERY_BYTES, "too long")
+
+
+def sound_queries(queries: DataFrame, to_embed: bool = True) -> DataFrame:
+    """The queries that a retriever answers; ``query_fault`` tells about the others."""
+    return queries.where(query_fault(F.col("text"), to_embed).isNull())
 
 
 def ranked(rows: DataFrame, most: int | None = None) -> DataFrame:

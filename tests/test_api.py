@@ -46,7 +46,7 @@ def test_life_of_a_fact(store):
     assert store.memories.count() == store.vectors.count() == 1
     assert {c[0] for c in store.calls} == {"memory_search", "memory_read", "memory_write", "memory_update", "memory_delete"}
     log = store.audit_log()
-    assert [r.event_type for r in log.orderBy("seq").collect()] == ["memory.write"] * 2 + ["memory.update"] + ["memory.read"] * 2 + ["memory.delete"]
+    assert [r.event_type for r in log.orderBy("seq").collect()] == ["memory.create"] * 2 + ["memory.update"] + ["memory.read"] * 2 + ["memory.delete"]
     assert audit.verify(log).count() == 0
 
 
