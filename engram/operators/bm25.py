@@ -16,6 +16,8 @@ from engram.sources.shared import materialise
 
 K1 = 1.2
 B = 0.75
+#: Rows of ``query_id, term``; a term is shorter than ``LONGEST_TOKEN_BYTES``, so 200,000 rows take some 20 MB.
+BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -64,13 +66,16 @@ def search(queries: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
 
     A query without terms finds nothing. Document frequencies are counted for the query's
     terms only. Scores are rounded to nine places, so that the order in which a sum was added
-    up cannot change a rank.
+    up cannot change a rank. Up to ``BROADCAST_TERMS`` terms of queries go to every executor,
+    so that postings are not shuffled by term; beyond that they are joined by term.
     """
     wanted = query_terms(queries)
-    hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    few = wanted.count() <= BROADCAST_TERMS
+    near = F.broadcast if few else lambda rows: rows
+    hits = index.postings.join(near(wanted.select("term").distinct()), "term", "left_semi")
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(index.average or 1.0))))
-    scored = hits.join(frequency, "term").join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum(idf * weight), 9).alias("score"))
+    scored = hits.join(near(frequency), "term").join(near(wanted), "term").groupBy("query_id", "id").agg(F.round(F.sum(idf * weight), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
