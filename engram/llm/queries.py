@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, quality, secrets, secrets_sql, substring_dedup, toxicity
+from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, pieces, quality, secrets, secrets_sql, substring_dedup, toxicity
 from engram.llm.native import sha256_hex
 from engram.sources.shared import table
 
@@ -60,6 +60,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.public_model())
+    return made.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        sha256_hex(F.array_join("token_ids", " ")).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op12_sentencepiece": op12_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
 
