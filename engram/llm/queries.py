@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, near_dedup, pieces, quality, secrets, secrets_sql, substring_dedup, toxicity
+from engram.llm import bpe, decontaminate, fingerprint, html_extract, language, lexical, near_dedup, pieces, quality, secrets, secrets_sql, spelling, substring_dedup, toxicity
 from engram.llm.native import sha256_hex
 from engram.sources.shared import table
 
@@ -60,6 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.public_model())
     return made.select(
@@ -70,6 +74,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), lexical.build_index(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
@@ -81,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_lexical": op13_lexical,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -89,4 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_secrets": secrets_sql.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op13_lexical": lexical.ORACLE,
 }

@@ -48,7 +48,7 @@ def test_long_words_merge_as_short_ones(public, monkeypatch):
 
 def test_operator(spark, public, tiny):
     path, library = public
-    rows = [(i, t, "x") for i, t in enumerate(texts()[:60])] + [(7, "twice", "x"), (7, "twice", "x"), (None, "no id", "x")]
+    rows = [(i, t, "x") for i, t in enumerate(texts()[:60])] + [(1007, "twice", "x"), (1007, "twice", "x"), (None, "no id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
     made = pieces.round_trip(docs, path).collect()
     assert len(made) == len(rows)
