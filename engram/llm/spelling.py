@@ -83,10 +83,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
         if hot.isEmpty():
             ready.append(dealt)
             break
-        # One row a hot half and word that can be split further; the others have few code points left and so few rests.
-        long = F.length("rest") - F.col("size") >= 2
-        ready.append(dealt.join(hot, keys, "left_anti").unionByName(dealt.where(~long).join(hot, keys, "left_semi")))
-        deeper = dealt.where(long).join(hot, keys, "left_semi").withColumn("path", F.concat("path", F.lit(MARK), F.col("side").cast("string"), "half"))
+        # What has at most two code points left stays, which is few words a half; what has two or
+        # more goes on, so that two words whose rests differ by one in length still meet.
+        over = F.length("rest") - F.col("size")
+        shared = dealt.join(hot, keys, "left_semi")
+        ready.append(dealt.join(hot, keys, "left_anti").unionByName(shared.where((over <= 2) | (F.col("size") == 0))))
+        deeper = shared.where((over >= 2) & (F.col("size") > 0)).withColumn("path", F.concat("path", F.lit(MARK), F.col("side").cast("string"), "half"))
         left = F.when(F.col("side") == START, F.substring(F.col("rest"), F.col("size") + 1, F.length("rest"))).otherwise(F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.col("size")))
         rows = deeper.withColumn("rest", left).select("path", "rest", "word", "n")
     whole = ready[0]
