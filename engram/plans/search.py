@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engram.operators import bm25, evaluate, knn, retrieval
+from engram.operators import bm25, cells, evaluate, knn, retrieval
 from engram.plans import sql as S
 from engram.plans.register import Register
 from engram.sources import views
@@ -53,6 +53,36 @@ def knn_search(spark, d):
     return _out(knn.knn(vector_queries(spark, d), views.vectors(spark, d), PAGE))
 
 
+@REGISTER(f"WITH {S.VECTORS}, {_VQ}, {S.knn(PAGE, 'vq')} {_OUT} knn")
+def knn_search_ivf(spark, d):
+    """Cells first, then every cell that may hold a better vector: nothing is missed."""
+    return _out(cells.search(vector_queries(spark, d), cells.build(views.vectors(spark, d)), PAGE, exact=True))
+
+
+@REGISTER()
+def knn_search_probed(spark, d):
+    """The cells that a query probes only; tests measure the recall."""
+    return _out(cells.search(vector_queries(spark, d), cells.build(views.vectors(spark, d)), PAGE))
+
+
+@REGISTER(
+    f"""WITH {S.VECTORS} SELECT id, boundary, round(CASE WHEN n % 4 = 0 THEN -e[1] ELSE e[1] END, 5) AS first FROM vectors WHERE n % 3 <> 0"""
+)
+def ivf_index_upkeep(spark, d):
+    """Rows of the index after every third vector was deleted and every fourth written again as its opposite."""
+    v, n = views.vectors(spark, d), F.col("id").cast("bigint")
+    changed = v.where((n % 4 == 0) & (n % 3 != 0)).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    rows = cells.upsert(cells.build(v), changed, v.where(n % 3 == 0)).rows
+    return rows.select("id", "boundary", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@REGISTER()
+def knn_self_join_cells(spark, d):
+    """``knn_self_join`` within the cells that a vector probes; tests measure the recall."""
+    found = cells.neighbours(views.vectors(spark, d), 5, FLOOR)
+    return found.select("boundary", "id", "other", F.round("score", 6).alias("score"))
+
+
 @REGISTER(f"WITH {S.VECTORS}, {S.neighbours(5, FLOOR)} SELECT boundary, id, other, round(score, 6) AS score FROM near")
 def knn_self_join(spark, d):
     found = knn.neighbours(views.vectors(spark, d), 5, FLOOR)

@@ -25,13 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(rows: DataFrame, name: str) -> DataFrame:
     """Write ``rows`` to a fresh table in the shared folder and read it back.
 
     Cuts the lineage at data that outlives any executor.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
