@@ -49,10 +49,10 @@ def judged(memories: DataFrame, changes: DataFrame) -> DataFrame:
     A write needs an id that is not there, an update one that is; earlier changes of the
     batch count. A delete of a missing fact is refused too, it has nothing to record. The
     last write or delete before a change tells whether the fact is there, whether or not
-    that change itself was refused.
+    that change itself was refused; an unknown operation, or none, tells nothing.
     """
     before = Window.partitionBy("id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    decides = F.last(F.when(F.col("operation") != "update", F.col("operation")), ignorenulls=True).over(before)
+    decides = F.last(F.when(F.col("operation").isin("write", "delete"), F.col("operation")), ignorenulls=True).over(before)
     known = memories.select("id").distinct().withColumn("_stored", F.lit(True))
     rows = changes.withColumn("_last", decides).join(known, "id", "left")
     there = F.when(F.col("_last").isNotNull(), F.col("_last") == "write").otherwise(F.col("_stored").isNotNull())

@@ -47,6 +47,19 @@ def commit_outcomes(spark, d):
     return refused.unionByName(queued).unionByName(made.pending.select(F.col("memory_id").alias("id"), "operation", F.lit("pending").alias("outcome"), "sequence_id"))
 
 
+@REGISTER(
+    f"""WITH {S.MEMORIES}, step AS (SELECT id, n, n % 3 <> 0 AS stored, unnest(CASE WHEN n % 2 = 0 THEN range(6) ELSE range(4) END) AS step FROM memories)
+SELECT id, CAST(step AS INTEGER) AS step, CASE WHEN step IN (0, 2) THEN 'unknown operation' WHEN step = 1 AND NOT stored OR step = 5 THEN 'missing' WHEN step = 3 AND stored THEN 'exists' END AS fault FROM step"""
+)
+def commit_unknown_operations(spark, d):
+    """Changes without an operation that is known, or with none, before each kind that is: they tell nothing about the fact."""
+    steps = F.when(number() % 2 == 0, F.sequence(F.lit(0), F.lit(5))).otherwise(F.sequence(F.lit(0), F.lit(3)))
+    kinds = F.array(F.when(number() % 5 != 0, F.lit("rename")), *[F.lit(x) for x in ("update", "rename", "write", "delete", "update")])
+    facts = views.memories(spark, d).select("id")
+    changes = facts.select("id", F.explode(steps).alias("step")).withColumn("operation", kinds[F.col("step")]).withColumn("turn", number() * 6 + F.col("step"))
+    return transactions.judged(facts.where(number() % 3 != 0), changes).select("id", "step", "fault")
+
+
 @REGISTER(
     f"""WITH {S.MEMORIES}, {_CHANGES} SELECT id, CASE WHEN fault IS NULL THEN 'new ' || content ELSE content END AS content, boundary FROM judged
 WHERE (stored AND (operation <> 'delete')) OR (NOT stored AND fault IS NULL)"""
