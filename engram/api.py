@@ -25,6 +25,8 @@ from engram.sources.shared import drop, materialise
 
 DEFAULT_RESULTS = 10
 DEFAULT_CONFIDENCE = 0.9
+#: Segments of the keyword index before they are written as one.
+MOST_SEGMENTS = 16
 ACCESS_DENIED = -32001
 #: Best vector matches whose mean cosine opens a read without a scorer.
 GATE_TOP = 1
@@ -87,8 +89,7 @@ class FactStore:
         self.now = now or (lambda: datetime.now(timezone.utc))
         self.memories = materialise(spark.createDataFrame([], schema("memories")), "memories")
         self.vectors = materialise(spark.createDataFrame([], schema("vectors")), "vectors")
-        self.postings = materialise(bm25.postings(self.memories), "postings")
-        self.index = bm25.KeywordIndex(self.postings, 0, 0.0)
+        self.index = bm25.build_index(self.memories)
         self.calls: list[tuple[str, int, int]] = []
         self.events: list[tuple] = []
 
@@ -100,9 +101,8 @@ class FactStore:
     def _reindex(self, key: str) -> None:
         """The keyword index after a change of one fact; searches read it as it is."""
         one = self.spark.createDataFrame([(key,)], "id string")
-        listed = self.memories.where(scope.listed())
-        self._replace("postings", bm25.upsert_index(self.postings, listed.join(one, "id", "left_semi"), one))
-        self.index = bm25.with_statistics(self.postings, listed)
+        index = bm25.upsert_index(self.index, self.memories.join(one, "id", "left_semi"), one)
+        self.index = bm25.compacted(index) if index.segments > MOST_SEGMENTS else index
 
     def _audit(self, kind: str, key: str | None, boundary: str | None, result: str = "success") -> None:
         """One event a change or point lookup; the chain is sealed by ``audit_log``."""

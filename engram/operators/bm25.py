@@ -1,59 +1,277 @@
-"""Keyword index and BM25 search.
+"""Keyword index in segments, and BM25 search.
 
-The index is a table of postings with document lengths; statistics are those of all scopes.
+A segment is written once. It holds blocks of up to ``BLOCK_FACTS`` facts; a block has one row
+for its facts (ids and lengths) and one row a term: the list of the facts that hold it, as
+variable-length bytes, with the largest frequency and the shortest fact of the list. Document
+frequencies and length sums are written with the segment and add up over segments. A fact that
+is written again or deleted gets a tombstone, and what it added to the frequencies is written as
+a negative number, which costs the reading of its block alone. Statistics are those of all scopes.
+
+A search sends the lists of its terms to their blocks' tasks. A task adds up the scores of one
+block after the other, skips a block where the largest possible score of a query is below the
+last one kept, and hands on its own best ``k`` of each query.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from engram.functions.text import index_terms, without_operators
+from engram.functions.varints import from_varints, varints
+from engram.operators.knn import _best
 from engram.operators.scope import listed
 from engram.sources.shared import materialise
 
 K1 = 1.2
 B = 0.75
-#: Rows of ``query_id, term``; a term is shorter than ``LONGEST_TOKEN_BYTES``, so 200,000 rows take some 20 MB.
-BROADCAST_TERMS = 200_000
+BLOCK_FACTS = 8192
+#: Term occurrences of a block, unless one fact has more.
+BLOCK_TERMS = 2_000_000
+#: Rows of ``query_id, term`` that one pass answers; a term is shorter than ``LONGEST_TOKEN_BYTES``, so 200,000 rows take some 20 MB.
+PASS_TERMS = 200_000
+MOST_TASKS = 20_000
+FACTS, GONE, LIST = 0, 1, 2
+
+BLOCK_SCHEMA = T.StructType(
+    [
+        T.StructField("block", T.StringType()),
+        T.StructField("kind", T.IntegerType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("df", T.LongType()),
+        T.StructField("most_tf", T.LongType()),
+        T.StructField("least_length", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.StringType())),
+        T.StructField("lengths", T.ArrayType(T.LongType())),
+        T.StructField("postings", T.BinaryType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``postings``: term, id, tf, length. ``documents`` and ``average`` are over all facts."""
+    """``blocks`` of all segments with tombstones, ``frequencies`` (term, df; to be added up),
+    ``documents`` and the sum of their lengths, the number of segments and of blocks."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    frequencies: DataFrame
     documents: int
-    average: float
+    total: int
+    segments: int
+    n_blocks: int
+
+    @property
+    def average(self) -> float:
+        return self.total / self.documents if self.documents else 0.0
+
+
+def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+    """A block's rows; postings are in order of term and fact, ``term`` has places in ``terms``."""
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=np.int64)
+    n = len(first)
+    gap = np.diff(doc, prepend=0)
+    gap[first] = doc[first]
+    flat = np.empty(2 * len(doc), dtype=np.int64)
+    flat[0::2], flat[1::2] = gap, tf
+    raw, sizes = varints(flat)
+    ends = np.r_[0, np.cumsum(sizes)[np.r_[2 * first[1:] - 1, len(flat) - 1]]] if n else np.zeros(1)
+    lists = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(lengths[doc], first)) if n else (first, first)
+    none = lambda t: pa.nulls(n, t)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block] * (n + 1)),
+            pa.array(np.r_[FACTS, np.full(n, LIST)], pa.int32()),
+            pa.concat_arrays([pa.array([None], pa.string()), pa.array(terms[term[first]].tolist(), pa.string())]),
+            pa.array(np.r_[len(ids), np.diff(np.r_[first, len(doc)])].astype(np.int64)),
+            pa.array(np.r_[int(lengths.sum()), most].astype(np.int64)),
+            pa.array(np.r_[0, least].astype(np.int64)),
+            pa.concat_arrays([pa.array([ids], pa.list_(pa.string())), none(pa.list_(pa.string()))]),
+            pa.concat_arrays([pa.array([lengths.tolist()], pa.list_(pa.int64())), none(pa.list_(pa.int64()))]),
+            pa.concat_arrays([pa.array([None], pa.binary()), lists]),
+        ],
+        names=BLOCK_SCHEMA.names,
+    )
+
+
+def _slices(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, made.num_rows, 20_000):
+        yield made.slice(lo, 20_000)
+
+
+def _segment(facts: DataFrame) -> DataFrame:
+    """Blocks of facts, written; each text is split once and nothing is shuffled."""
+    name = uuid.uuid4().hex[:12]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        part, turn = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        facts_held = terms_held = 0
 
-def postings(memories: DataFrame) -> DataFrame:
-    """Postings of facts; each text is split once."""
-    terms = memories.select("id", index_terms(F.col("content")).alias("terms")).withColumn("length", F.size("terms"))
-    return terms.select("id", "length", F.explode("terms").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal turn, facts_held, terms_held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists = rows.column("terms").combine_chunks()
+            lengths = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().dictionary_encode()
+            place = np.repeat(np.arange(len(lengths)), lengths)
+            posting, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(lengths) + place, return_counts=True)
+            term, doc = np.divmod(posting, max(len(lengths), 1))
+            yield from _slices(_rows(f"{name}-{part}-{turn}", rows.column("id").to_pylist(), lengths.astype(np.int64), np.array(words.dictionary.to_pylist(), dtype=object), term, doc, tf))
+            turn, facts_held, terms_held = turn + 1, 0, 0
+            held.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part_rows = batch.slice(lo, 256)
+                n = int(np.diff(part_rows.column("terms").offsets.to_numpy()).sum())
+                if held and (facts_held + part_rows.num_rows > BLOCK_FACTS or terms_held + n > BLOCK_TERMS):
+                    yield from flush()
+                held.append(part_rows)
+                facts_held, terms_held = facts_held + part_rows.num_rows, terms_held + n
+        if held:
+            yield from flush()
+
+    split = facts.select("id", F.coalesce(index_terms(F.col("content")), F.array().cast("array<string>")).alias("terms"))
+    return materialise(split.mapInArrow(run, BLOCK_SCHEMA), "keyword-segment")
+
+
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    return materialise(blocks.where(F.col("kind") == LIST).groupBy("term").agg(F.sum("df").alias("df")), "keyword-frequencies")
+
+
+def _sizes(blocks: DataFrame) -> tuple[int, int, int]:
+    """Facts, their lengths and blocks of written blocks."""
+    r = blocks.where(F.col("kind") == FACTS).agg(F.sum("df"), F.sum("most_tf"), F.count(F.lit(1))).first()
+    return r[0] or 0, r[1] or 0, r[2]
 
 
 def build_index(memories: DataFrame) -> KeywordIndex:
-    """Index of the facts that are neither superseded nor archived.
+    """Index of the facts that are neither superseded nor archived; a fact without text counts with length 0."""
+    blocks = _segment(memories.where(listed()))
+    documents, total, n = _sizes(blocks)
+    return KeywordIndex(blocks, _frequencies(blocks), documents, total, 1, n)
+
+
+def _by_block(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows dealt to tasks by block, a block's facts first, then its tombstones, then its lists."""
+    return rows.repartition(min(max(n_blocks, 1), MOST_TASKS), "block").sortWithinPartitions("block", "kind", "term")
+
 
-    Postings are written once, so that texts are split once however often they are searched.
+class _Block:
+    """Facts, tombstones and lists of one block."""
+
+    def __init__(self, name: str):
+        self.name, self.ids, self.lengths, self.gone = name, [], np.zeros(0, dtype=np.int64), set()
+        self.lists: dict[str, tuple[int, int, bytes]] = {}
+
+    def live(self) -> np.ndarray:
+        return np.array([i not in self.gone for i in self.ids], dtype=bool) if self.gone else np.ones(len(self.ids), dtype=bool)
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    """The blocks of a task's rows one after the other."""
+    block = None
+    for batch in batches:
+        for name, kind, term, most, least, ids, lengths, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "term", "most_tf", "least_length", "ids", "lengths", "postings"))):
+            if block is None or block.name != name:
+                if block is not None:
+                    yield block
+                block = _Block(name)
+            if kind == FACTS:
+                block.ids, block.lengths = ids, np.array(lengths, dtype=np.int64)
+            elif kind == GONE:
+                block.gone.update(ids)
+            else:
+                block.lists[term] = (most, least, raw)
+    if block is not None:
+        yield block
+
+
+def _decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the facts of a list and the term's frequency in each."""
+    numbers = from_varints(raw)
+    return np.cumsum(numbers[0::2]), numbers[1::2]
+
+
+def upsert_index(old: KeywordIndex, changed: DataFrame, deleted: DataFrame) -> KeywordIndex:
+    """The index after ``changed`` facts were written again and ``deleted`` ids removed.
+
+    ``changed`` goes to a segment of its own. Blocks that hold an id that is written again or
+    removed are read once, for the frequencies that go with it; nothing else is counted again.
     """
-    facts = memories.where(listed())
-    return with_statistics(materialise(postings(facts), "postings"), facts)
+    ids = changed.select("id").unionByName(deleted.select("id")).distinct()
+    have = old.blocks.where(F.col("kind") == FACTS).select("block", F.explode(F.arrays_zip("ids", "lengths")).alias("f")).select("block", F.col("f.ids").alias("id"), F.col("f.lengths").alias("length"))
+    past = old.blocks.where(F.col("kind") == GONE).select("block", F.explode("ids").alias("id"))
+    gone = materialise(have.join(ids, "id", "left_semi").join(past, ["block", "id"], "left_anti"), "keyword-gone")
+    stones = gone.groupBy("block").agg(F.collect_list("id").alias("ids"))  # a block's at most
+    stones = materialise(stones.select(*[{"block": F.col("block"), "kind": F.lit(GONE), "ids": F.col("ids")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BLOCK_SCHEMA.fields]), "keyword-tombstones")
 
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _each_block(batches):
+            out = ~block.live()
+            less = {t: int(out[_decoded(raw)[0]].sum()) for t, (_, _, raw) in block.lists.items()}
+            less = {t: -n for t, n in less.items() if n}
+            yield pa.RecordBatch.from_arrays([pa.array(list(less), pa.string()), pa.array(list(less.values()), pa.int64())], names=["term", "df"])
 
-def with_statistics(written: DataFrame, facts: DataFrame) -> KeywordIndex:
-    """The index over written postings of ``facts`` with its statistics."""
-    n, total = facts.count(), written.agg(F.sum("tf")).first()[0] or 0
-    return KeywordIndex(written, n, total / n if n else 0.0)
+    touched = old.blocks.where(F.col("kind") != GONE).join(stones.select("block"), "block", "left_semi").select(*BLOCK_SCHEMA.names)
+    fewer = materialise(_by_block(touched.unionByName(stones), old.n_blocks).mapInArrow(taken, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "keyword-frequencies")
+    n_gone, length_gone = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    new = build_index(changed)
+    return KeywordIndex(
+        old.blocks.unionByName(stones).unionByName(new.blocks),
+        old.frequencies.unionByName(fewer).unionByName(new.frequencies),
+        old.documents - n_gone + new.documents,
+        old.total - length_gone + new.total,
+        old.segments + 1,
+        old.n_blocks + new.n_blocks,
+    )
 
 
-def upsert_index(old: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Postings after ``changed`` facts were written again and ``deleted`` ids removed."""
-    gone = changed.select("id").union(deleted.select("id")).distinct()
-    return old.join(gone, "id", "left_anti").unionByName(postings(changed))
+def compacted(index: KeywordIndex) -> KeywordIndex:
+    """One segment without tombstones; blocks keep their facts, so lists are read and written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _each_block(batches):
+            live = block.live()
+            if not live.any():
+                continue
+            places, terms = np.cumsum(live) - 1, np.array(list(block.lists), dtype=object)
+            docs, tfs = zip(*[_decoded(raw) for _, _, raw in block.lists.values()]) if len(terms) else ((np.zeros(0, dtype=np.int64),), (np.zeros(0, dtype=np.int64),))
+            term = np.repeat(np.arange(len(terms)), [len(d) for d in docs]) if len(terms) else np.zeros(0, dtype=np.int64)
+            doc, tf = np.concatenate(docs), np.concatenate(tfs)
+            some = live[doc] if len(doc) else np.zeros(0, dtype=bool)
+            yield from _slices(_rows(block.name, [i for i, x in zip(block.ids, live) if x], block.lengths[live], terms, term[some], places[doc[some]], tf[some]))
+
+    blocks = materialise(_by_block(index.blocks, index.n_blocks).mapInArrow(run, BLOCK_SCHEMA), "keyword-segment")
+    documents, total, n = _sizes(blocks)
+    return KeywordIndex(blocks, _frequencies(blocks), documents, total, 1, n)
+
+
+def postings(index: KeywordIndex) -> DataFrame:
+    """``term, id, tf, length``: what the index holds, a row a fact and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _each_block(batches):
+            live, ids = block.live(), np.array(block.ids, dtype=object)
+            for term, (_, _, raw) in block.lists.items():
+                doc, tf = _decoded(raw)
+                doc, tf = doc[live[doc]], tf[live[doc]]
+                yield pa.RecordBatch.from_arrays([pa.array([term] * len(doc), pa.string()), pa.array(ids[doc].tolist(), pa.string()), pa.array(tf), pa.array(block.lengths[doc])], names=["term", "id", "tf", "length"])
+
+    return _by_block(index.blocks, index.n_blocks).mapInArrow(run, "term string, id string, tf bigint, length bigint")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -64,18 +282,69 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def search(queries: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best facts of each query; ties by id.
 
-    A query without terms finds nothing. Document frequencies are counted for the query's
-    terms only. Scores are rounded to nine places, so that the order in which a sum was added
-    up cannot change a rank. Up to ``BROADCAST_TERMS`` terms of queries go to every executor,
-    so that postings are not shuffled by term; beyond that they are joined by term.
+    A query without terms finds nothing. Scores are rounded to nine places, so that the order in
+    which a sum was added up cannot change a rank. One pass over the lists answers queries of
+    about ``PASS_TERMS`` terms together, which go to every executor; a query stays whole.
     """
-    wanted = query_terms(queries)
-    few = wanted.count() <= BROADCAST_TERMS
-    near = F.broadcast if few else lambda rows: rows
-    hits = index.postings.join(near(wanted.select("term").distinct()), "term", "left_semi")
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(index.average or 1.0))))
-    scored = hits.join(near(frequency), "term").join(near(wanted), "term").groupBy("query_id", "id").agg(F.round(F.sum(idf * weight), 9).alias("score"))
+    spark = index.blocks.sparkSession
+    wanted = materialise(query_terms(queries), "keyword-terms")
+    kind = queries.schema["query_id"].dataType
+    passes = max(1, math.ceil(wanted.count() / PASS_TERMS))
+    found = None
+    for turn in range(passes):
+        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == turn)
+        df = index.frequencies.join(F.broadcast(part.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        idf = {r.term: math.log(1 + (index.documents - r.df + 0.5) / (r.df + 0.5)) for r in df.toLocalIterator()}
+        asked: dict = defaultdict(list)
+        for r in part.toLocalIterator():
+            if r.term in idf:
+                asked[r.query_id].append(r.term)
+        known = spark.createDataFrame([(t,) for t in idf], "term string")
+        lists = index.blocks.where(F.col("kind") == LIST).join(F.broadcast(known), "term", "left_semi").select(*BLOCK_SCHEMA.names)
+        rows = index.blocks.where(F.col("kind") != LIST).unionByName(lists)
+        shared = spark.sparkContext.broadcast((idf, dict(asked)))
+        best = _by_block(rows, index.n_blocks).mapInArrow(_scorer(shared, index.average or 1.0, k, to_arrow_type(kind)), f"query_id {kind.simpleString()}, id string, score double")
+        found = best if found is None else found.unionByName(best)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scorer(shared, average: float, k: int, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, asked = shared.value
+        kept: dict = {}
+        for block in _each_block(batches):
+            if not block.lists:
+                continue
+            live, ids = block.live(), np.array(block.ids, dtype=object)
+            norm = K1 * (1 - B + B * block.lengths / average)
+            bound = {t: idf[t] * most * (K1 + 1) / (most + K1 * (1 - B + B * least / average)) for t, (most, least, _) in block.lists.items()}
+            ready: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for query, terms in asked.items():
+                here = [t for t in terms if t in bound]
+                old = kept.get(query)
+                full = old is not None and len(old[0]) == k
+                # Slack for the rounding of scores.
+                if not here or (full and sum(bound[t] for t in here) + 1e-8 < old[1].min()):
+                    continue
+                scores = np.zeros(len(ids))
+                for t in here:
+                    if t not in ready:
+                        doc, tf = _decoded(block.lists[t][2])
+                        ready[t] = doc, idf[t] * tf * (K1 + 1) / (tf + norm[doc])
+                    scores[ready[t][0]] += ready[t][1]
+                at = np.flatnonzero((scores > 0) & live)
+                if full:
+                    at = at[scores[at] + 1e-8 >= old[1].min()]
+                all_ids, all_scores = ids[at], np.round(scores[at], 9)
+                if old is not None:
+                    all_ids, all_scores = np.concatenate((old[0], all_ids)), np.concatenate((old[1], all_scores))
+                top = _best(all_scores, all_ids, k)
+                kept[query] = all_ids[top], all_scores[top]
+        if kept:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([q for q, x in kept.items() for _ in x[0]], kind), pa.array([i for x in kept.values() for i in x[0]], pa.string()), pa.array(np.concatenate([x[1] for x in kept.values()]))],
+                names=["query_id", "id", "score"],
+            )
+
+    return run

@@ -76,7 +76,12 @@ def explained(rows: DataFrame) -> DataFrame:
 
 def semantic(queries: DataFrame, vectors: DataFrame, memories: DataFrame, now: Column, max_results: int, threshold: float | None = None, include_archived: bool = False) -> DataFrame:
     """Scope before the cut to ``max_results``, lifecycle and threshold (on cosine) after it."""
-    hits = knn(queries, vectors, max_results).drop("rank")
+    return semantic_of(knn(queries, vectors, max_results), memories, now, max_results, threshold, include_archived)
+
+
+def semantic_of(near: DataFrame, memories: DataFrame, now: Column, max_results: int, threshold: float | None = None, include_archived: bool = False) -> DataFrame:
+    """``semantic`` from the ranked hits of a vector search, of which the first ``max_results`` count."""
+    hits = near.where(F.col("rank") <= max_results).drop("rank")
     alive = F.lit(True) if include_archived else semantic_active(now)
     facts = memories.select("id", "created_at", alive.alias("alive"))
     rows = hits.join(facts, "id").where("alive").drop("alive")

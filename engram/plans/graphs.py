@@ -160,7 +160,7 @@ def reconciled_edges(spark, d):
 
 @REGISTER(f"WITH {search._BASE}, {search._FUSED}, x AS (SELECT query_id, (SELECT min(rank) FROM fused f WHERE f.query_id = tq.query_id AND f.id = lpad(CAST(tq.query_id AS VARCHAR), 12, '0')) AS r FROM tq) SELECT round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM x")
 def retrieval_scores(spark, d):
-    q, _, _, rows = search._hybrid(spark, d)
+    q, _, rows, _ = search._hybrid(spark, d)
     expected = q.select("query_id", views.key("query_id").alias("id"))
     made = evaluate.recall_and_mrr(rows, expected, (5, 10))
     return made.select(*[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr")])

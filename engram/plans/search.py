@@ -9,7 +9,7 @@ from engram.operators import bm25, cells, evaluate, knn, retrieval
 from engram.plans import sql as S
 from engram.plans.register import Register
 from engram.sources import views
-from engram.sources.shared import table
+from engram.sources.shared import materialise, table
 from engram.sources.views import NOW
 
 REGISTER = Register()
@@ -106,15 +106,9 @@ def retrieve_semantic_archived(spark, d):
     return _out(retrieval.semantic(vector_queries(spark, d), views.vectors(spark, d), views.memories(spark, d), views.now(), PAGE, FLOOR, True))
 
 
-_INDEX: dict[tuple[str, str], bm25.KeywordIndex] = {}
-
-
 def index_of(spark, d) -> bm25.KeywordIndex:
-    """The keyword index of a folder's facts, built once an application and kept in shared storage."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEX:
-        _INDEX[key] = bm25.build_index(views.memories(spark, d))
-    return _INDEX[key]
+    """The keyword index of a folder's facts, built by each query that searches it."""
+    return bm25.build_index(views.memories(spark, d))
 
 
 @REGISTER(f"WITH {S.MEMORIES}, {S.POSTINGS}, {S.ASKED}, {S.bm25(PAGE)} {_OUT} bm25")
@@ -122,15 +116,26 @@ def bm25_search(spark, d):
     return _out(bm25.search(text_queries(spark, d), index_of(spark, d), PAGE))
 
 
-@REGISTER(f"WITH {S.MEMORIES}, {S.POSTINGS} SELECT id, CAST(length AS INTEGER) AS length, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS total FROM tf WHERE CAST(id AS BIGINT) % 3 <> 0 GROUP BY id, length")
+_RENEWED = f"""{S.MEMORIES.replace("memories AS", "stored AS", 1)},
+memories AS (SELECT * REPLACE (CASE WHEN n % 4 = 0 THEN 'renewed ' || coalesce(content, '') ELSE content END AS content) FROM stored WHERE n % 3 <> 0)"""
+
+
+@REGISTER(f"WITH {_RENEWED}, {S.POSTINGS} SELECT id, CAST(length AS INTEGER) AS length, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY id, length")
 def keyword_index_upkeep(spark, d):
     """Postings after every third fact was deleted and every fourth written again."""
-    m = views.memories(spark, d)
-    old = bm25.build_index(m).postings
-    n = F.col("id").cast("bigint")
-    listed = m.where("superseded_by is null and archived_at is null")
-    new = bm25.upsert_index(old, listed.where((n % 4 == 0) & (n % 3 != 0)), m.where(n % 3 == 0))
-    return new.groupBy("id", "length").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("total"))
+    return bm25.postings(_kept_up(spark, d)).groupBy("id", F.col("length").cast("int").alias("length")).agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("total"))
+
+
+def _kept_up(spark, d):
+    m, n = views.memories(spark, d), F.col("id").cast("bigint")
+    changed = m.where((n % 4 == 0) & (n % 3 != 0)).withColumn("content", F.concat(F.lit("renewed "), F.coalesce("content", F.lit(""))))
+    return bm25.upsert_index(bm25.build_index(m), changed, m.where(n % 3 == 0))
+
+
+@REGISTER(f"WITH {_RENEWED}, {S.POSTINGS}, {S.ASKED}, {S.bm25(PAGE)} {_OUT} bm25")
+def bm25_after_upkeep(spark, d):
+    """Search after the same changes: frequencies and lengths are those of the facts that are left, none counted anew."""
+    return _out(bm25.search(text_queries(spark, d), _kept_up(spark, d), PAGE))
 
 
 @REGISTER(f"WITH {_BASE}, {_KEY(PAGE, 'kw')} {_OUT} kw")
@@ -140,19 +145,23 @@ def retrieve_keyword(spark, d):
 
 
 def _hybrid(spark, d, most=PAGE):
+    """Queries, the index, fused hits, and the first semantic hits up to the fan-out; vectors are searched once."""
     m = views.memories(spark, d)
     q, index = text_queries(spark, d), index_of(spark, d)
-    return q, m, index, retrieval.hybrid(q, views.vectors(spark, d), index, m, views.now(), most)
+    near = materialise(knn.knn(q, views.vectors(spark, d), retrieval.TOP_EACH), "near")
+    whole = retrieval.semantic_of(near, m, views.now(), retrieval.TOP_EACH)
+    fused = retrieval.fuse(whole, retrieval.keyword(q, index, m, views.now(), retrieval.TOP_EACH), most)
+    return q, index, fused, retrieval.semantic_of(near, m, views.now(), retrieval.FANOUT)
 
 
 @REGISTER(f"WITH {_BASE}, {_FUSED} {_OUT} fused")
 def retrieve_hybrid(spark, d):
-    return _out(_hybrid(spark, d)[3])
+    return _out(_hybrid(spark, d)[2])
 
 
 @REGISTER(f"WITH {_BASE}, {_FUSED} {_OUT} fused WHERE query_id IN (SELECT query_id FROM kw_b_all WHERE score >= 12)")
 def retrieve_abstaining(spark, d):
-    q, _, index, rows = _hybrid(spark, d)
+    q, index, rows, _ = _hybrid(spark, d)
     return _out(retrieval.abstaining(rows, q, index, 12.0))
 
 
@@ -168,8 +177,7 @@ _POOL = _POOLED(_FUSE(retrieval.FANOUT))
 
 def _pooled(spark, d):
     """Queries, semantic hits and the pool of all three channels; the graph channel has two facts a query."""
-    q, m, _, base = _hybrid(spark, d, retrieval.FANOUT)
-    hits = retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT)
+    q, _, base, hits = _hybrid(spark, d, retrieval.FANOUT)
     n = F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")
     linked = q.select("query_id", n).withColumn("n", F.col("query_id") * 13 % 200 + F.col("rank") * 3).select("query_id", views.key("n").alias("id"), F.lit(0.5).alias("score"), "rank")
     return q, hits, retrieval.pool(base, hits, linked)
@@ -201,8 +209,7 @@ SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p, i
 )
 def read_candidates(spark, d):
     """Hybrid hits, then the semantic hits that are missing there."""
-    q, m, _, base = _hybrid(spark, d)
-    hits = retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT)
+    _, _, base, hits = _hybrid(spark, d)
     return retrieval.read_pool(base, hits).select("query_id", "id", "position")
 
 
@@ -218,8 +225,8 @@ def search_hints(spark, d):
 
 @REGISTER(f"WITH {_BASE}, {_PAGED} {_OUT} fused WHERE query_id IN (SELECT query_id FROM sem20 WHERE rank = 1 AND score >= {FLOOR})")
 def relevance_gate(spark, d):
-    q, m, _, rows = _hybrid(spark, d)
-    return _out(retrieval.relevance_gate(rows, retrieval.semantic(q, views.vectors(spark, d), m, views.now(), retrieval.FANOUT), FLOOR))
+    _, _, rows, hits = _hybrid(spark, d)
+    return _out(retrieval.relevance_gate(rows, hits, FLOOR))
 
 
 @REGISTER(

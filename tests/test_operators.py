@@ -309,5 +309,5 @@ def test_every_fact_of_a_large_table_is_judged(spark):
 
 def test_deep_hybrid_hits_reach_the_reranker(spark, tiny):
     rows = lambda n: {(r.query_id, r.id) for r in n.select("query_id", "id").collect()}
-    deep = rows(search._hybrid(spark, tiny, retrieval.FANOUT)[3].where(F.col("rank") > search.PAGE))
+    deep = rows(search._hybrid(spark, tiny, retrieval.FANOUT)[2].where(F.col("rank") > search.PAGE))
     assert rows(search.retrieve_reranked(spark, tiny)) & deep
