@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engram.operators import bm25, cells, evaluate, knn, retrieval
+from engram.operators import bm25, cells, evaluate, knn, retrieval, vector_graph
 from engram.plans import sql as S
 from engram.plans.register import Register
 from engram.sources import views
@@ -65,6 +65,13 @@ def knn_search_probed(spark, d):
     return _out(cells.search(vector_queries(spark, d), cells.build(views.vectors(spark, d)), PAGE))
 
 
+@REGISTER()
+def knn_search_graph(spark, d):
+    """Walks through graphs over 8-bit codes, candidates scored exactly; tests measure the recall."""
+    v = views.vectors(spark, d)
+    return _out(vector_graph.search(vector_queries(spark, d), vector_graph.build(v), v, PAGE))
+
+
 @REGISTER(
     f"""WITH {S.VECTORS} SELECT id, boundary, round(CASE WHEN n % 4 = 0 THEN -e[1] ELSE e[1] END, 5) AS first FROM vectors WHERE n % 3 <> 0"""
 )

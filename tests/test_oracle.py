@@ -13,7 +13,7 @@ def con(tiny):
 
 
 #: Approximate results, and queries that they are held against.
-BY_RECALL = {"knn_search_probed": "knn_search", "knn_self_join_cells": "knn_self_join"}
+BY_RECALL = {"knn_search_probed": "knn_search", "knn_search_graph": "knn_search", "knn_self_join_cells": "knn_self_join"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
