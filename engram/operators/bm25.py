@@ -206,6 +206,19 @@ def _decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(numbers[0::2]), numbers[1::2]
 
 
+def _all_decoded(block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lists of a block in one: how many facts each has, their places, the frequencies."""
+    raws = [raw for _, _, raw in block.lists.values()]
+    joined = b"".join(raws)
+    numbers = from_varints(joined)
+    last = np.cumsum([len(raw) for raw in raws]) - 1
+    # A number ends where the top bit is not set; a fact is two numbers.
+    sizes = np.diff(np.cumsum(np.frombuffer(joined, dtype=np.uint8) < 128)[last], prepend=0) // 2 if raws else np.zeros(0, dtype=np.int64)
+    gaps = numbers[0::2]
+    ends, starts = np.cumsum(gaps), np.cumsum(sizes) - sizes
+    return sizes, ends - np.repeat(ends[starts] - gaps[starts], sizes), numbers[1::2]
+
+
 def upsert_index(old: KeywordIndex, changed: DataFrame, deleted: DataFrame) -> KeywordIndex:
     """The index after ``changed`` facts were written again and ``deleted`` ids removed.
 
@@ -221,10 +234,11 @@ def upsert_index(old: KeywordIndex, changed: DataFrame, deleted: DataFrame) -> K
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _each_block(batches):
-            out = ~block.live()
-            less = {t: int(out[_decoded(raw)[0]].sum()) for t, (_, _, raw) in block.lists.items()}
-            less = {t: -n for t, n in less.items() if n}
-            yield pa.RecordBatch.from_arrays([pa.array(list(less), pa.string()), pa.array(list(less.values()), pa.int64())], names=["term", "df"])
+            if block.lists:
+                sizes, doc, _ = _all_decoded(block)
+                less = np.add.reduceat((~block.live())[doc].astype(np.int64), np.cumsum(sizes) - sizes)
+                some = np.flatnonzero(less)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(block.lists), dtype=object)[some].tolist(), pa.string()), pa.array(-less[some])], names=["term", "df"])
 
     touched = old.blocks.where(F.col("kind") != GONE).join(stones.select("block"), "block", "left_semi").select(*BLOCK_SCHEMA.names)
     fewer = materialise(_by_block(touched.unionByName(stones), old.n_blocks).mapInArrow(taken, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "keyword-frequencies")
@@ -249,10 +263,8 @@ def compacted(index: KeywordIndex) -> KeywordIndex:
             if not live.any():
                 continue
             places, terms = np.cumsum(live) - 1, np.array(list(block.lists), dtype=object)
-            docs, tfs = zip(*[_decoded(raw) for _, _, raw in block.lists.values()]) if len(terms) else ((np.zeros(0, dtype=np.int64),), (np.zeros(0, dtype=np.int64),))
-            term = np.repeat(np.arange(len(terms)), [len(d) for d in docs]) if len(terms) else np.zeros(0, dtype=np.int64)
-            doc, tf = np.concatenate(docs), np.concatenate(tfs)
-            some = live[doc] if len(doc) else np.zeros(0, dtype=bool)
+            sizes, doc, tf = _all_decoded(block)
+            term, some = np.repeat(np.arange(len(terms)), sizes), live[doc]
             yield from _slices(_rows(block.name, [i for i, x in zip(block.ids, live) if x], block.lengths[live], terms, term[some], places[doc[some]], tf[some]))
 
     blocks = materialise(_by_block(index.blocks, index.n_blocks).mapInArrow(run, BLOCK_SCHEMA), "keyword-segment")
@@ -266,10 +278,12 @@ def postings(index: KeywordIndex) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _each_block(batches):
             live, ids = block.live(), np.array(block.ids, dtype=object)
-            for term, (_, _, raw) in block.lists.items():
-                doc, tf = _decoded(raw)
-                doc, tf = doc[live[doc]], tf[live[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array([term] * len(doc), pa.string()), pa.array(ids[doc].tolist(), pa.string()), pa.array(tf), pa.array(block.lengths[doc])], names=["term", "id", "tf", "length"])
+            sizes, doc, tf = _all_decoded(block)
+            term = np.repeat(np.array(list(block.lists), dtype=object), sizes)
+            some = np.flatnonzero(live[doc])
+            for lo in range(0, len(some), 100_000):
+                at = some[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(term[at].tolist(), pa.string()), pa.array(ids[doc[at]].tolist(), pa.string()), pa.array(tf[at]), pa.array(block.lengths[doc[at]])], names=["term", "id", "tf", "length"])
 
     return _by_block(index.blocks, index.n_blocks).mapInArrow(run, "term string, id string, tf bigint, length bigint")
 
