@@ -63,6 +63,8 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     left out; a node whose only edge is to itself is its own component.
     """
     sound = edges.where("a is not null and b is not null").select("a", "b")
+    # Written at once, as the caller may remove its edges when it has the labels.
+    alone = materialise(sound.where("a = b").select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label")), f"{name}-alone")
     left = materialise(sound.where("a <> b").union(sound.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     rounds = []
     while not left.isEmpty():
@@ -81,7 +83,6 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         for done in [parents] + [known] * (known is not None):
             drop(done)
         known = found
-    alone = sound.where("a = b").select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"))
     if known is None:
-        return materialise(alone, f"{name}-labels")
+        return alone
     return known.unionByName(alone.join(known.select("node"), "node", "left_anti"))
