@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from engram.functions.varints import from_varints, varints
 from engram.llm.memory import tidied
 from engram.sources.shared import materialise
 
 #: Text of one shard; its terms are held as 8 bytes an occurrence while it is built.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: Terms of queries (each query's distinct ones) that one pass over the index answers; a query stays whole.
 BLOCK_TERMS = 100_000
 #: Most tasks that shards are dealt to in a search.
@@ -72,32 +73,6 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative numbers as bytes of seven bits, low ones first, the top bit set on all but a number's last; and each one's size."""
-    values = values.astype(np.uint64)
-    sizes = np.ones(len(values), dtype=np.int64)
-    for bits in range(7, 64, 7):
-        sizes += values >= np.uint64(1 << bits)
-    starts = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), dtype=np.uint8)
-    for i in range(int(sizes.max(initial=0))):
-        at = np.flatnonzero(sizes > i)
-        part = (values[at] >> np.uint64(7 * i)) & np.uint64(127)
-        out[starts[at] + i] = part | np.where(sizes[at] > i + 1, 128, 0).astype(np.uint64)
-    return out, sizes
-
-
-def from_varints(raw: bytes) -> np.ndarray:
-    """The numbers that ``varints`` made bytes of."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    ends = np.flatnonzero(data < 128)
-    if not len(ends):
-        return np.zeros(0, dtype=np.int64)
-    starts = np.r_[0, ends[:-1] + 1]
-    shift = 7 * (np.arange(len(data)) - np.repeat(starts, ends - starts + 1))
-    return np.add.reduceat((data & 127).astype(np.uint64) << shift.astype(np.uint64), starts).astype(np.int64)
-
-
 class _Terms(dict):
     """Numbers of terms in order of their first coming."""
 
