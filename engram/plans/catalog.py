@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.plans import consolidation, graphs, listings, operations, queues, search, texts
+from engram.plans import consolidation, enrichment, graphs, listings, operations, queues, search, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (listings, texts, search, consolidation, graphs, queues, operations):
+for _part in (listings, texts, search, consolidation, enrichment, graphs, queues, operations):
     QUERIES |= _part.REGISTER.queries
     ORACLE_SQL |= _part.REGISTER.sql
