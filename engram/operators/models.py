@@ -42,7 +42,7 @@ def embed(text: Column, make: Callable[[], Embedder]) -> Column:
     def run(series: pd.Series) -> pd.Series:
         return pd.Series(model().embed(series.fillna("").tolist()), dtype=object)
 
-    return F.pandas_udf(run, "array<float>")(text)
+    return F.pandas_udf(run, "array<float>").asNondeterministic()(text)
 
 
 def score(query: Column, document: Column, make: Callable[[], Scorer]) -> Column:
@@ -61,7 +61,8 @@ def judge(prompt: Column, make: Callable[[], Judge]) -> Column:
     def run(p: pd.Series) -> pd.Series:
         return pd.Series(model().complete_json(p.tolist()), dtype=object)
 
-    return F.pandas_udf(run, "string")(prompt)
+    # A filter on the answer would otherwise ask a second time.
+    return F.pandas_udf(run, "string").asNondeterministic()(prompt)
 
 
 class HashEmbedder:
