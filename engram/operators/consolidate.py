@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from engram.functions.clock import as_rfc3339, expired, idle_for, rfc3339
 from engram.functions.jsons import metadata, with_key
-from engram.functions.text import containment, is_reordering, words
+from engram.functions.text import containment, words
 from engram.functions.vector import changes, decayed, dot
 from engram.operators.components import connected_components
 from engram.operators.knn import edges, neighbours
 from engram.operators.scope import consolidation_active, listed
+from engram.sources.shared import materialise
 
 TOP_K = 5
 MERGE_COSINE = 0.84
@@ -24,6 +25,10 @@ SAME_WORDS = 0.80
 CONTRADICTION_K = 3
 CONTRADICTION_COSINE = 0.70
 PAIRWISE_MEMBERS = 20
+#: Texts of a cluster that one task compares with as many others; both blocks are in its memory.
+TEXTS_IN_BLOCK = 1_000
+#: How far from 1 a squared norm may be that counts as 1; the bound on angles gives way by as much.
+UNIT_SLACK = 1e-4
 DECAY_DAYS = 180
 ARCHIVE_DAYS = 365
 
@@ -44,20 +49,66 @@ def clusters(memories: DataFrame, vectors: DataFrame, since: Column | None = Non
     return labels.select(F.col("node").alias("id"), F.col("label").alias("cluster_id")).join(active.select("id", "boundary"), "id").select("boundary", "cluster_id", "id")
 
 
+def _holds(good: Column) -> Column:
+    """The aggregate of a test over pairs; a pair that cannot be judged says nothing."""
+    return F.coalesce(F.bool_and(good), F.lit(True))
+
+
+def all_same(facts: DataFrame, cosine: float, lexical: float) -> DataFrame:
+    """``cluster_id`` of the clusters (``cluster_id, id, said, embedding``) of two or more facts in which every pair is the same fact.
+
+    Copies of one text with one vector are one row with a count: a pair of copies is judged
+    once. Texts that are reorderings of each other meet under their sorted words. Then every
+    distinct text is held against one centre of its cluster, which ends most clusters that
+    fail. Two texts near enough to the centre need no look at each other: with unit vectors
+    their angle is at most the sum of their angles to it, and they share at least the centre's
+    words less those that either lacks. Only other texts of clusters that passed so far are
+    compared pair by pair, a block of texts with a block, so no key gathers a cluster.
+    """
+    copies = facts.groupBy("cluster_id", "said", "embedding").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    copies = materialise(copies.withColumn("norm", dot(F.col("embedding"), F.col("embedding"))), "cluster-texts")
+    # Two copies share all their words unless there are none.
+    own = (F.col("n") == 1) | ((F.col("norm") >= cosine) & ((F.size("said") > 0) | F.lit(lexical <= 0)))
+    mixed = copies.groupBy("cluster_id", F.array_sort("said").alias("bag")).agg(F.min("said").alias("low"), F.max("said").alias("high"), F.sum("n").alias("n"), _holds(own).alias("own"), F.min("id").alias("id"))
+    alone = mixed.groupBy("cluster_id").agg(F.sum("n").alias("facts"), F.bool_and(F.col("own") & (F.col("low") == F.col("high"))).alias("ok"), F.min("id").alias("centre"))
+    begun = alone.where(F.col("ok") & (F.col("facts") > 1)).select("cluster_id", "centre")
+
+    centre = begun.join(copies.select(F.col("id").alias("centre"), F.col("said").alias("c_said"), F.col("embedding").alias("c_embedding"), F.col("norm").alias("c_norm")), "centre")
+    star = copies.join(centre, "cluster_id")
+    cosine_to, share = dot(F.col("embedding"), F.col("c_embedding")), containment(F.col("said"), F.col("c_said"))
+    fits = (F.col("id") == F.col("centre")) | ((cosine_to >= cosine) & (share >= lexical))
+    # Both bounds hold for any two texts whose own figures allow half of what is left to lose.
+    unit = (F.abs(F.col("norm") - 1) < UNIT_SLACK) & (F.abs(F.col("c_norm") - 1) < UNIT_SLACK)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_to - UNIT_SLACK)))
+    distinct = lambda c: F.size(F.array_distinct(c))
+    lacks = distinct(F.col("c_said")) - F.size(F.array_intersect("said", "c_said"))
+    close = unit & (2 * angle <= F.acos(F.lit(min(1.0, max(-1.0, cosine + 2 * UNIT_SLACK))))) & (distinct(F.col("c_said")) - 2 * lacks >= lexical * distinct(F.col("said")) + 1e-9) & (F.size("said") > 0)
+    judged = materialise(star.select("cluster_id", "id", "said", "embedding", fits.alias("fits"), F.coalesce(close, F.lit(False)).alias("close")), "cluster-star")
+    passed = judged.groupBy("cluster_id").agg(_holds(F.col("fits")).alias("ok"), F.count_if(~F.col("close")).alias("far"), F.count(F.lit(1)).alias("texts")).where("ok")
+
+    # Each text that is far is held against every text of its cluster, in blocks.
+    open_ = passed.where(F.col("far") > 0).withColumn("blocks", F.ceil(F.col("texts") / TEXTS_IN_BLOCK))
+    dealt = judged.join(open_.select("cluster_id", "blocks"), "cluster_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    left = dealt.where(~F.col("close")).select("cluster_id", "block", F.explode(every).alias("other"), F.col("id").alias("a_id"), F.col("said").alias("a_said"), F.col("embedding").alias("a_embedding"))
+    right = dealt.select("cluster_id", F.col("block").alias("other"), F.explode(every).alias("block"), F.col("id").alias("b_id"), F.col("close").alias("b_close"), F.col("said").alias("b_said"), F.col("embedding").alias("b_embedding"))
+    # Two far texts meet twice, once from either side.
+    met = left.join(right, ["cluster_id", "block", "other"]).where((F.col("a_id") < F.col("b_id")) | (F.col("b_close") & (F.col("a_id") != F.col("b_id"))))
+    differ = ~((dot(F.col("a_embedding"), F.col("b_embedding")) >= cosine) & (containment(F.col("a_said"), F.col("b_said")) >= lexical))
+    failed = met.where(differ).select("cluster_id").distinct()
+    return passed.select("cluster_id").join(failed, "cluster_id", "left_anti")
+
+
 def dedup_plan(members: DataFrame, memories: DataFrame, vectors: DataFrame, cosine: float = SAME_COSINE, lexical: float = SAME_WORDS) -> DataFrame:
     """``cluster_id, survivor, id, access_count, confidence``: clusters in which every pair is the same fact.
 
     A pair is the same if its dot product and its word containment reach their floors and
-    it is no mere reordering. One failing pair leaves the whole cluster out. The survivor is
+    it is no mere reordering (see ``all_same``). One failing pair leaves the whole cluster out. The survivor is
     the latest by validity, then creation, then the longest in bytes, the most confident,
     the most used, and the least id.
     """
     facts = members.join(memories.drop("boundary"), "id").join(vectors.select("id", "embedding"), "id").withColumn("said", words(F.col("content")))
-    a, b = facts.alias("a"), facts.alias("b")
-    pair = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.id") < F.col("b.id")))
-    x, y = F.col("a.said"), F.col("b.said")
-    same = (dot(F.col("a.embedding"), F.col("b.embedding")) >= cosine) & (containment(x, y) >= lexical) & ~is_reordering(x, y)
-    good = pair.groupBy(F.col("a.cluster_id").alias("cluster_id")).agg(F.bool_and(same).alias("all_same")).where("all_same").select("cluster_id")
+    good = all_same(facts.select("cluster_id", "id", "said", "embedding"), cosine, lexical)
     order = [F.col("valid_from").desc(), F.col("created_at").desc(), F.octet_length("content").desc(), F.col("confidence").desc(), F.col("access_count").desc(), F.col("id")]
     w = Window.partitionBy("cluster_id").orderBy(*order)
     whole = Window.partitionBy("cluster_id")

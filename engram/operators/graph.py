@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions.text import is_hub, mentions, words
+from engram.functions.text import is_hub, words
 from engram.operators.scope import graph_current, in_scope
 from engram.sources.tables import ALIAS_RELATIONS
 
@@ -84,15 +84,30 @@ def path_edges(paths: DataFrame, relationships: DataFrame) -> DataFrame:
     return steps.join(relationships.withColumnRenamed("id", "edge"), "edge")
 
 
+def _runs(said: Column, lengths: list[int]) -> Column:
+    """All runs of consecutive words of the given lengths, each once."""
+    run = lambda n: F.when(F.size(said) >= n, F.transform(F.sequence(F.lit(0), F.size(said) - n), lambda i: F.array_join(F.slice(said, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[run(n) for n in lengths]))
+
+
 def mentioned_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """``query_id, id``: up to ``MAX_ENTITIES`` entities (by id) in scope that each query names.
 
-    Entities are found by their first word, an equi-join; the whole name is compared after.
+    An equi-join on whole names: a query's text is read as its runs of words of every length
+    that a name has (the lengths are read first; a name of 256 bytes has at most 128 words).
+    So names that begin alike do not meet, and a query makes rows by its own length only. Of
+    entities with one name and scope the first ``MAX_ENTITIES`` by id can be in a result; the
+    others are left out before the join, so a name that very many bear costs no more.
     """
+    named = entities.where(~is_hub(F.col("name"))).select("id", "boundary", words(F.col("name")).alias("named")).where(F.size("named") > 0)
+    lengths = sorted(r.n for r in named.select(F.size("named").alias("n")).distinct().collect())
     asked = queries.select("query_id", "scopes", words(F.col("text")).alias("asked"))
-    first = asked.select("query_id", "scopes", "asked", F.explode(F.array_distinct("asked")).alias("first"))
-    named = entities.where(~is_hub(F.col("name"))).select("id", "boundary", words(F.col("name")).alias("named")).where(F.size("named") > 0).withColumn("first", F.element_at("named", 1))
-    hits = first.join(named, "first").where(F.array_contains("scopes", F.col("boundary")) & mentions(F.col("asked"), F.col("named"))).select("query_id", "id", "scopes")
+    if not lengths:
+        return asked.limit(0).select("query_id", F.lit("").alias("id"), "scopes", F.lit(0).alias("entity_turn"))
+    w = Window.partitionBy("said", "boundary").orderBy("id")
+    first = named.select("id", "boundary", F.array_join("named", " ").alias("said")).withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= MAX_ENTITIES).drop("_turn")
+    runs = asked.select("query_id", "scopes", F.explode(_runs(F.col("asked"), lengths)).alias("said"))
+    hits = runs.join(first, "said").where(F.array_contains("scopes", F.col("boundary"))).select("query_id", "id", "scopes")
     w = Window.partitionBy("query_id").orderBy("id")
     return hits.withColumn("entity_turn", F.row_number().over(w)).where(F.col("entity_turn") <= MAX_ENTITIES)
 
