@@ -118,16 +118,21 @@ def mass_invalidate_guard(spark, d):
 
 
 def _judge_groups(spark, d):
-    return views.memories(spark, d).select((F.col("id").cast("bigint") % 60).alias("group_id"), "id")
+    """Groups of ten neighbours, and two groups (-1 and -2) that hold a third of all facts; so both kinds exist at every size."""
+    n = F.col("id").cast("bigint")
+    return views.memories(spark, d).select(F.when(n % 3 == 0, -1 - n % 2).otherwise(F.floor(n / 15)).alias("group_id"), "id")
+
+
+_GROUPS = f"{S.MEMORIES}, g AS (SELECT CASE WHEN n % 3 = 0 THEN -1 - n % 2 ELSE n // 15 END AS group_id, id FROM memories), z AS (SELECT group_id, count(*) AS c FROM g GROUP BY group_id)"
 
 
-@REGISTER(f"WITH {S.MEMORIES}, g AS (SELECT n % 60 AS group_id, id FROM memories), z AS (SELECT group_id, count(*) AS c FROM g GROUP BY group_id) SELECT x.group_id, x.id AS a, y.id AS b FROM g x JOIN g y ON x.group_id = y.group_id AND x.id < y.id JOIN z ON z.group_id = x.group_id WHERE c <= 20")
+@REGISTER(f"WITH {_GROUPS} SELECT x.group_id, x.id AS a, y.id AS b FROM g x JOIN g y ON x.group_id = y.group_id AND x.id < y.id JOIN z ON z.group_id = x.group_id WHERE c <= 20")
 def pairwise_judge_pairs(spark, d):
     """Pairs of the groups that are judged pair by pair; ``nary_judge_groups`` has the other groups."""
     return consolidate.group_pairs(_judge_groups(spark, d))[0]
 
 
-@REGISTER(f"WITH {S.MEMORIES}, g AS (SELECT n % 60 AS group_id, id FROM memories), z AS (SELECT group_id, count(*) AS c FROM g GROUP BY group_id) SELECT group_id, id, 'nary' AS mode FROM g JOIN z USING (group_id) WHERE c > 20")
+@REGISTER(f"WITH {_GROUPS} SELECT group_id, id, 'nary' AS mode FROM g JOIN z USING (group_id) WHERE c > 20")
 def nary_judge_groups(spark, d):
     """Members of the groups too large for pairs, which go to one judgement of the whole group."""
     return consolidate.group_pairs(_judge_groups(spark, d))[1].withColumn("mode", F.lit("nary"))
