@@ -28,7 +28,7 @@ WINNER = "clear_winner"
 
 
 def ask(prompts: DataFrame, make: Callable[[], models.Judge], folder: str | None = None, blocks: int = 1) -> DataFrame:
-    """``prompts`` (with a column ``prompt``) and the model's ``json``; null where it gave none or there is no prompt.
+    """``prompts`` with the model's ``json`` in place of their ``prompt``; null where it gave none or there is no prompt.
 
     ``folder`` keeps the answers of all runs (a fresh one without it). New prompts are asked
     in ``blocks`` jobs, each of which keeps its answers before the next begins. What the model
@@ -46,7 +46,7 @@ def ask(prompts: DataFrame, make: Callable[[], models.Judge], folder: str | None
     drop(fresh)
     # Two runs at once may both have asked; one answer of a prompt counts, the same for all readers.
     one = kept(spark, folder).groupBy("asked").agg(F.min("json").alias("json"))
-    return keyed.join(one.withColumnRenamed("asked", "_asked"), "_asked", "left").drop("_asked")
+    return keyed.drop("prompt").join(one.withColumnRenamed("asked", "_asked"), "_asked", "left").drop("_asked")
 
 
 def kept(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,19 +102,18 @@ def enriched_rows(due: DataFrame, make_model: Callable[[], models.Judge], make_e
     Facts of equal content are asked and embedded once. Aliases are what counts: an answer
     without a usable one is a fault, one without entities is none.
     """
-    asked = due.select("id", "boundary", "content", "content_fp")
-    told = A.ask(asked.withColumn("prompt", F.concat(F.lit(PROMPT), "content")), make_model, folder, blocks).drop("prompt")
-    read = told.withColumn("_v", A.parsed(F.col("json")))
+    keyed = due.select("id", "boundary", "content_fp", F.sha2("content", 256).alias("_key"))
+    contents = materialise(due.groupBy(F.sha2("content", 256).alias("_key")).agg(F.first("content").alias("content")), "contents")
+    told = A.ask(contents.select("_key", F.concat(F.lit(PROMPT), "content").alias("prompt")), make_model, folder, blocks).withColumn("_v", A.parsed(F.col("json")))
     names = F.filter(F.transform(A.items(F.col("_v"), "$.aliases"), lambda a: A.text(a)), lambda a: a.isNotNull())
-    read = read.withColumn("aliases", clean_aliases(names)).withColumn("fault", F.coalesce(A.object_fault(F.col("json"), F.col("_v")), F.when(F.col("aliases") == "", NO_ALIASES)))
-    sound = read.where(F.col("fault").isNull())
-    texts = sound.select(embed_text(F.col("content"), F.col("aliases")).alias("_text")).distinct()
-    made = texts.select(F.sha2("_text", 256).alias("_key"), models.embed(F.col("_text"), make_embedder).alias("embedding"))
-    joined = sound.withColumn("_key", F.sha2(embed_text(F.col("content"), F.col("aliases")), 256)).join(made, "_key", "left").drop("_key")
-    joined = joined.withColumn("fault", F.when(F.col("embedding").isNull(), NO_VECTOR))
-    rest = read.where(F.col("fault").isNotNull()).withColumn("embedding", F.lit(None).cast("array<float>"))
-    keep = ["id", "boundary", "content_fp", "json", "aliases", "embedding", "fault"]
-    return joined.select(*keep).unionByName(rest.select(*keep))
+    read = told.withColumn("aliases", clean_aliases(names)).withColumn("early", F.coalesce(A.object_fault(F.col("json"), F.col("_v")), F.when(F.col("aliases") == "", NO_ALIASES)))
+    read = materialise(read.select("_key", "json", "aliases", "early"), "answers-read")
+    sound = contents.join(read.where(F.col("early").isNull()).select("_key", "aliases"), "_key")
+    made = sound.select("_key", models.embed(embed_text(F.col("content"), F.col("aliases")), make_embedder).alias("embedding"))
+    # From here on no row carries its text.
+    joined = keyed.join(read, "_key", "left").join(made, "_key", "left")
+    fault = F.coalesce("early", F.when(F.col("json").isNull(), A.NO_ANSWER), F.when(F.col("embedding").isNull(), NO_VECTOR))
+    return joined.select("id", "boundary", "content_fp", "json", "aliases", "embedding", fault.alias("fault"))
 
 
 def _named_id(mark: str, *parts: Column | str) -> Column:
