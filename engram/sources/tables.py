@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.sources.shared import exists
+
 CHECKPOINTS_KEPT = 7
 ALIAS_RELATIONS = ("same_as", "alias_for")
 
@@ -134,7 +136,10 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def read_reports(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """The reports under ``path``; a missing folder has none, and a malformed report is left out."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
