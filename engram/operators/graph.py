@@ -112,6 +112,18 @@ def mentioned_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return hits.withColumn("entity_turn", F.row_number().over(w)).where(F.col("entity_turn") <= MAX_ENTITIES)
 
 
+def _first_links(links: DataFrame) -> DataFrame:
+    """Of each entity (``start, scopes``) the first link to each of its first ``MAX_CANDIDATES`` facts.
+
+    Whatever a query reads before, reading ends at the latest where one entity has connected that
+    many facts, so later links can be in no result: a hub costs its edges once and
+    ``MAX_CANDIDATES`` rows for every query that names it. Links of one place stay together.
+    """
+    firsts = links.groupBy("start", "scopes", "id").agg(F.min("place").alias("place"))
+    w = Window.partitionBy("start", "scopes").orderBy("place")
+    return firsts.withColumn("_turn", F.rank().over(w)).where(F.col("_turn") <= MAX_CANDIDATES).drop("_turn")
+
+
 def retrieve_graph(queries: DataFrame, memories: DataFrame, entities: DataFrame, relationships: DataFrame, max_results: int | None = None) -> DataFrame:
     """``query_id, id, score, created_at, rank, explanation``: current facts on edges around the mentioned entities.
 
@@ -127,7 +139,7 @@ def retrieve_graph(queries: DataFrame, memories: DataFrame, entities: DataFrame,
     walked = traverse(relationships, entities, starts).select("start", "scopes", "depth", "path", F.posexplode("path").alias("position", "edge"))
     source = relationships.select(F.col("id").alias("edge"), F.col("source_memory_id").alias("id"))
     far = walked.join(source, "edge").select("start", "scopes", "id", F.struct("depth", "path", "position").alias("place"))
-    links = near.unionByName(far).where(F.col("id").isNotNull())
+    links = _first_links(near.unionByName(far).where(F.col("id").isNotNull()))
     name = entities.select(F.col("id").alias("start"), "name")
     read = named.select("query_id", "entity_turn", "scopes", F.col("id").alias("start")).join(links, ["start", "scopes"]).join(name, "start")
     # The first time each entity connects each fact, in reading order.

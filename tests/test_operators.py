@@ -207,6 +207,15 @@ def test_reading_stops_at_the_candidate_limit(spark):
     assert {x.explanation for x in got} == {"graph: connected via Alpha"}
 
 
+def test_a_hub_hands_each_query_its_first_links_only(spark):
+    place = lambda edge, depth=0: (depth, [edge], 0)
+    rows = [("hub", ["x"], f"m{i:03d}", place(f"r{i:03d}")) for i in range(100)] + [("hub", ["x"], "m000", place("r000", 1)), ("hub", ["x"], "twin", place("r031")), ("hub", ["y"], "m099", place("r099"))]
+    links = spark.createDataFrame(rows, "start string, scopes array<string>, id string, place struct<depth:int,path:array<string>,position:int>")
+    got = graph._first_links(links).collect()
+    assert sorted((r.scopes[0], r.id) for r in got) == [("x", f"m{i:03d}") for i in range(graph.MAX_CANDIDATES)] + [("x", "twin"), ("y", "m099")]
+    assert all(r.place.depth == 0 for r in got)
+
+
 def test_checkpoints_are_undone_once(spark, tiny):
     before = views.memories(spark, tiny)
     after = before.withColumn("confidence", F.when(F.col("id") < "000000000010", F.lit(0.1).cast("float")).otherwise(F.col("confidence")))
