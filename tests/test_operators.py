@@ -1,4 +1,6 @@
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -125,6 +127,22 @@ def test_audit_chain_finds_every_tampering(spark, tiny):
     assert audit.verify(log.where(F.col("seq") != first + 5)).count() == 1
 
 
+def test_a_chain_is_sealed_in_ranges(spark, tiny, monkeypatch):
+    monkeypatch.setattr(audit, "SEAL_EVENTS", 40)
+    events = queues._log(spark, tiny).where("seq < 500").repartition(7)
+    log = audit.seal(events, "start")
+    rows = log.select("seq", "prev_event_hash", "event_hash", audit.audit_body().alias("body")).orderBy("seq").collect()
+    assert len(rows) == events.count() and log.columns == [*events.columns, "prev_event_hash", "event_hash"]
+    last = "start"
+    for r in rows:
+        assert (r.prev_event_hash, r.event_hash) == (last, hashlib.sha256((last + r.body).encode()).hexdigest())
+        last = r.event_hash
+    assert audit.verify(log, "start").count() == 0
+    # No task has seen more than a few ranges.
+    assert log.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 200
+    assert audit.seal(events.limit(0)).count() == 0
+
+
 def test_checkpoint_and_rollback(spark, tiny):
     before = views.memories(spark, tiny)
     new = before.limit(1).withColumn("id", F.lit("new"))
