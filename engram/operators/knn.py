@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BLOCK = 2048
 JOIN_BLOCK = 4096
+#: Vectors scored at once, so that the scores of a block of queries take some 16 MB.
+SCORED = 1024
 LEAST_NORM = 1e-12
 
 
@@ -79,7 +81,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q, scopes = shared.value
             kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=object), np.zeros(0))] * len(names)
-            for batch in batches:
+            for batch in (whole.slice(lo, SCORED) for whole in batches for lo in range(0, whole.num_rows, SCORED)):
                 v = _matrix(batch.column("embedding"))
                 v = _unit(v) if v.shape[1] == q.shape[1] else np.zeros((len(v), q.shape[1]))
                 ids = np.array(batch.column("id").to_pylist(), dtype=object)

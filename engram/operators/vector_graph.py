@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from engram.operators.knn import QUERY_BLOCK, _matrix, _unit
+from engram.operators.knn import QUERY_BLOCK, SCORED, _matrix, _unit
 from engram.sources.shared import materialise
 
 SHARD_VECTORS = 16_384
@@ -28,6 +28,8 @@ ENTRIES = 16
 EF = 96
 #: Queries that walk together, so that codes they gather stay within some 100 MB.
 TOGETHER = 256
+#: Vectors whose links are looked for at once, so that their scores against a shard and the order of these take some 80 MB.
+LINKED = 128
 SHARD_SCHEMA = "boundary string, dim int, ids array<string>, low binary, step binary, codes binary, links binary"
 
 
@@ -57,9 +59,9 @@ def links_of(x: np.ndarray, most: int = LINKS) -> np.ndarray:
     out = np.full((n, most), -1, dtype=np.int32)
     if n == 1:
         return out
-    for lo in range(0, n, 1024):
-        scores = x[lo : lo + 1024] @ x.T
-        own = np.arange(lo, min(lo + 1024, n))
+    for lo in range(0, n, LINKED):
+        scores = x[lo : lo + LINKED] @ x.T
+        own = np.arange(lo, min(lo + LINKED, n))
         scores -= 1e-9 * ((np.arange(n)[None, :] - own[:, None]) % n)
         scores[np.arange(len(own)), own] = -np.inf
         near = np.argpartition(-scores, half - 1, axis=1)[:, :half] if half < n - 1 else np.argsort(-scores, axis=1)[:, :half]
@@ -199,7 +201,7 @@ def search(queries: DataFrame, index: GraphIndex, vectors: DataFrame, k: int, ef
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, SCORED) for whole in batches for lo in range(0, whole.num_rows, SCORED)):
             v, q = _unit(_matrix(batch.column("embedding"))), _unit(_matrix(batch.column("asked")))
             scores = (v * q).sum(axis=1) if v.shape == q.shape else np.zeros(len(v))
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(scores)], names=["query_id", "id", "score"])

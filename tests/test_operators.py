@@ -99,6 +99,24 @@ def test_neighbours_in_small_blocks(spark, tiny, monkeypatch):
     assert knn.knn(q, v, 5).count() == q.count() * 5
 
 
+def test_a_search_scores_few_vectors_at_once(spark, monkeypatch):
+    v = spark.createDataFrame([(f"v{i:05d}", RNG.standard_normal(8).tolist(), "x") for i in range(5_000)], "id string, embedding array<float>, boundary string").coalesce(1)
+    q = v.where("id like '%00'").select(F.col("id").alias("query_id"), "embedding", F.array(F.lit("x")).alias("scopes"))
+    want = sorted(map(tuple, knn.knn(q, v, 3).select("query_id", "id", "rank").collect()))
+    real = knn._matrix
+
+    def small(column):
+        assert len(column) <= 1024
+        return real(column)
+
+    monkeypatch.setattr(knn, "_matrix", small)
+    assert sorted(map(tuple, knn.knn(q, v, 3).select("query_id", "id", "rank").collect())) == want
+    rows = {r.id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in v.collect()}
+    for me in ("v00000", "v04900"):
+        best = sorted(rows, key=lambda i: (-round(float(rows[i] @ rows[me]), 12), i))[:3]
+        assert [i for a, i, _ in sorted(want, key=lambda t: (t[0], t[2])) if a == me] == best
+
+
 def test_query_checks():
     for text, n in (("", 5), ("a\x07", 5), ("a", 0), ("a", 201), ("é" * 1025, 5)):
         with pytest.raises(ValueError):
