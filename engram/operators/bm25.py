@@ -166,8 +166,14 @@ def build_index(memories: DataFrame) -> KeywordIndex:
 
 
 def _by_block(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows dealt to tasks by block, a block's facts first, then its tombstones, then its lists."""
-    return rows.repartition(min(max(n_blocks, 1), MOST_TASKS), "block").sortWithinPartitions("block", "kind", "term")
+    """Rows dealt to tasks by block, a block's facts first, then its tombstones, then its lists.
+
+    Lists have empty arrays of facts in place of null ones: with every row that goes to Python,
+    Spark 4.1 fills an Arrow list column anew from its last array on, for the size of the batch,
+    so that rows of null arrays take a time that grows with their square.
+    """
+    dealt = rows.repartition(min(max(n_blocks, 1), MOST_TASKS), "block").sortWithinPartitions("block", "kind", "term")
+    return dealt.withColumns({c: F.coalesce(c, F.array().cast(BLOCK_SCHEMA[c].dataType)) for c in ("ids", "lengths")})
 
 
 class _Block:
@@ -277,13 +283,14 @@ def postings(index: KeywordIndex) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _each_block(batches):
-            live, ids = block.live(), np.array(block.ids, dtype=object)
+            # Terms and ids are taken in Arrow: a row a posting makes no Python object.
+            live, ids, terms = block.live(), pa.array(block.ids, pa.string()), pa.array(list(block.lists), pa.string())
             sizes, doc, tf = _all_decoded(block)
-            term = np.repeat(np.array(list(block.lists), dtype=object), sizes)
+            term = np.repeat(np.arange(len(terms)), sizes)
             some = np.flatnonzero(live[doc])
             for lo in range(0, len(some), 100_000):
                 at = some[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(term[at].tolist(), pa.string()), pa.array(ids[doc[at]].tolist(), pa.string()), pa.array(tf[at]), pa.array(block.lengths[doc[at]])], names=["term", "id", "tf", "length"])
+                yield pa.RecordBatch.from_arrays([terms.take(pa.array(term[at])), ids.take(pa.array(doc[at])), pa.array(tf[at]), pa.array(block.lengths[doc[at]])], names=["term", "id", "tf", "length"])
 
     return _by_block(index.blocks, index.n_blocks).mapInArrow(run, "term string, id string, tf bigint, length bigint")
 

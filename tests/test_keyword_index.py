@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import bm25
+from engram.sources import views
 from engram.sources.schema import schema
 
 RNG = random.Random(4)
@@ -92,3 +93,12 @@ def test_empty(spark):
     assert found(q, index, 3)[0][:2] == (1, "a")
     assert bm25.search(q.limit(0), index, 3).count() == 0
     assert bm25.search(q, bm25.upsert_index(index, none, facts(spark, {"a": ""}).select("id")), 3).count() == 0
+
+
+def test_no_null_arrays_go_to_python(spark, tiny):
+    """Null arrays cost Spark's Arrow writer time that grows with their square."""
+    index = bm25.build_index(views.memories(spark, tiny))
+    sent = bm25._by_block(index.blocks, index.n_blocks)
+    assert sent.schema["ids"].dataType == bm25.BLOCK_SCHEMA["ids"].dataType and sent.columns == bm25.BLOCK_SCHEMA.names
+    assert sent.where("ids is null or lengths is null").count() == 0
+    assert sent.where(F.size("ids") > 0).count() == index.n_blocks
