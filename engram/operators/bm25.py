@@ -40,6 +40,11 @@ BLOCK_FACTS = 8192
 BLOCK_TERMS = 2_000_000
 #: Rows of ``query_id, term`` that one pass answers; a term is shorter than ``LONGEST_TOKEN_BYTES``, so 200,000 rows take some 20 MB.
 PASS_TERMS = 200_000
+#: Hits that a task keeps for the queries of one pass, some 100 MB when they are handed on.
+PASS_HITS = 1_000_000
+#: Term occurrences that are counted at once, and postings that bytes are made of at once.
+SLICE_TERMS = 250_000
+SLICE_POSTINGS = 20_000
 MOST_TASKS = 20_000
 FACTS, GONE, LIST = 0, 1, 2
 
@@ -75,8 +80,8 @@ class KeywordIndex:
         return self.total / self.documents if self.documents else 0.0
 
 
-def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
-    """A block's rows; postings are in order of term and fact, ``term`` has places in ``terms``."""
+def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, with_facts: bool = True) -> pa.RecordBatch:
+    """A block's rows, without that of its facts on demand; postings are in order of term and fact, ``term`` has places in ``terms``."""
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=np.int64)
     n = len(first)
     gap = np.diff(doc, prepend=0)
@@ -88,7 +93,7 @@ def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, te
     lists = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
     most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(lengths[doc], first)) if n else (first, first)
     none = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays(
+    made = pa.RecordBatch.from_arrays(
         [
             pa.array([block] * (n + 1)),
             pa.array(np.r_[FACTS, np.full(n, LIST)], pa.int32()),
@@ -102,50 +107,82 @@ def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, te
         ],
         names=BLOCK_SCHEMA.names,
     )
-
-
-def _slices(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, made.num_rows, 20_000):
-        yield made.slice(lo, 20_000)
-
-
-def _segment(facts: DataFrame) -> DataFrame:
-    """Blocks of facts, written; each text is split once and nothing is shuffled."""
-    name = uuid.uuid4().hex[:12]
+    return made if with_facts else made.slice(1)
+
+
+def _slices(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``_rows`` in parts of about ``SLICE_POSTINGS`` postings; a term stays whole."""
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    starts = first[np.flatnonzero(np.diff(first // SLICE_POSTINGS, prepend=-1))].tolist() or [0]
+    for lo, hi in zip(starts, [*starts[1:], len(term)]):
+        yield _rows(block, [] if lo else ids, lengths, terms, term[lo:hi], doc[lo:hi], tf[lo:hi], lo == 0)
+
+
+class _Counted:
+    """Postings of a block's facts as numbers; of the texts a slice's distinct terms are held on to."""
+
+    def __init__(self):
+        self.ids: list[str] = []
+        self.lengths: list[np.ndarray] = []
+        self.words: list[pa.StringArray] = []
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.terms = 0
+
+    def add(self, ids: list[str], lists: pa.ListArray) -> None:
+        lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        posting, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + doc, return_counts=True)
+        term, doc = np.divmod(posting, len(ids))
+        self.words.append(words.dictionary)
+        self.postings.append((term.astype(np.int32), (doc + len(self.ids)).astype(np.int32), tf.astype(np.int32)))
+        self.ids += ids
+        self.lengths.append(lengths)
+        self.terms += int(lengths.sum())
+
+    def rows(self, block: str) -> Iterator[pa.RecordBatch]:
+        words = pa.concat_arrays(self.words).dictionary_encode()
+        places = np.split(words.indices.to_numpy(), np.cumsum([len(w) for w in self.words])[:-1])
+        term = np.concatenate([at[p[0]] for at, p in zip(places, self.postings)])
+        doc, tf = (np.concatenate([p[i] for p in self.postings]) for i in (1, 2))
+        self.words.clear()
+        self.postings.clear()
+        # Facts were added in order, so a stable sort leaves a term's facts in order.
+        order = np.argsort(term, kind="stable")
+        yield from _slices(block, self.ids, np.concatenate(self.lengths), np.array(words.dictionary.to_pylist(), dtype=object), term[order], doc[order], tf[order])
+
+
+def _indexer(name: str, most_facts: int, most_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of at most so many facts and term occurrences from rows of ``id, terms``; a single fact may have more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, turn = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-        facts_held = terms_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal turn, facts_held, terms_held
-            rows = pa.Table.from_batches(held).combine_chunks()
-            lists = rows.column("terms").combine_chunks()
-            lengths = np.diff(lists.offsets.to_numpy())
-            words = lists.flatten().dictionary_encode()
-            place = np.repeat(np.arange(len(lengths)), lengths)
-            posting, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(lengths) + place, return_counts=True)
-            term, doc = np.divmod(posting, max(len(lengths), 1))
-            yield from _slices(_rows(f"{name}-{part}-{turn}", rows.column("id").to_pylist(), lengths.astype(np.int64), np.array(words.dictionary.to_pylist(), dtype=object), term, doc, tf))
-            turn, facts_held, terms_held = turn + 1, 0, 0
-            held.clear()
-
+        held = _Counted()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part_rows = batch.slice(lo, 256)
-                n = int(np.diff(part_rows.column("terms").offsets.to_numpy()).sum())
-                if held and (facts_held + part_rows.num_rows > BLOCK_FACTS or terms_held + n > BLOCK_TERMS):
-                    yield from flush()
-                held.append(part_rows)
-                facts_held, terms_held = facts_held + part_rows.num_rows, terms_held + n
-        if held:
-            yield from flush()
+            ids, lists = batch.column("id"), batch.column("terms")
+            sizes, lo = np.diff(lists.offsets.to_numpy()), 0
+            while lo < len(sizes):
+                ends = np.cumsum(sizes[lo : lo + most_facts - len(held.ids)])
+                fit = int(np.searchsorted(ends, most_terms - held.terms, side="right"))
+                if not fit and held.ids:
+                    yield from held.rows(f"{name}-{part}-{turn}")
+                    held, turn = _Counted(), turn + 1
+                    continue
+                n = max(1, min(fit, int(np.searchsorted(ends, SLICE_TERMS, side="right"))))
+                held.add(ids.slice(lo, n).to_pylist(), lists.slice(lo, n))
+                lo += n
+        if held.ids:
+            yield from held.rows(f"{name}-{part}-{turn}")
+
+    return run
 
+
+def _segment(facts: DataFrame) -> DataFrame:
+    """Blocks of facts, written; each text is split once and nothing is shuffled."""
     split = facts.select("id", F.coalesce(index_terms(F.col("content")), F.array().cast("array<string>")).alias("terms"))
-    return materialise(split.mapInArrow(run, BLOCK_SCHEMA), "keyword-segment")
+    return materialise(split.mapInArrow(_indexer(uuid.uuid4().hex[:12], BLOCK_FACTS, BLOCK_TERMS), BLOCK_SCHEMA), "keyword-segment")
 
 
 def _frequencies(blocks: DataFrame) -> DataFrame:
@@ -271,7 +308,7 @@ def compacted(index: KeywordIndex) -> KeywordIndex:
             places, terms = np.cumsum(live) - 1, np.array(list(block.lists), dtype=object)
             sizes, doc, tf = _all_decoded(block)
             term, some = np.repeat(np.arange(len(terms)), sizes), live[doc]
-            yield from _slices(_rows(block.name, [i for i, x in zip(block.ids, live) if x], block.lengths[live], terms, term[some], places[doc[some]], tf[some]))
+            yield from _slices(block.name, [i for i, x in zip(block.ids, live) if x], block.lengths[live], terms, term[some], places[doc[some]], tf[some])
 
     blocks = materialise(_by_block(index.blocks, index.n_blocks).mapInArrow(run, BLOCK_SCHEMA), "keyword-segment")
     documents, total, n = _sizes(blocks)
@@ -305,12 +342,14 @@ def search(queries: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
 
     A query without terms finds nothing. Scores are rounded to nine places, so that the order in
     which a sum was added up cannot change a rank. One pass over the lists answers queries of
-    about ``PASS_TERMS`` terms together, which go to every executor; a query stays whole.
+    about ``PASS_TERMS`` terms together, which go to every executor, and of at most about
+    ``PASS_HITS`` hits; a query stays whole.
     """
     spark = index.blocks.sparkSession
     wanted = materialise(query_terms(queries), "keyword-terms")
     kind = queries.schema["query_id"].dataType
-    passes = max(1, math.ceil(wanted.count() / PASS_TERMS))
+    terms, asking = wanted.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    passes = max(1, math.ceil(terms / PASS_TERMS), math.ceil(asking * k / PASS_HITS))
     found = None
     for turn in range(passes):
         part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == turn)
@@ -320,7 +359,8 @@ def search(queries: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
         for r in part.toLocalIterator():
             if r.term in idf:
                 asked[r.query_id].append(r.term)
-        known = spark.createDataFrame([(t,) for t in idf], "term string")
+        # From Arrow, as rows from Python objects would start Python workers of another kind beside those that score.
+        known = spark.createDataFrame(pa.table({"term": pa.array(list(idf), pa.string())}))
         lists = index.blocks.where(F.col("kind") == LIST).join(F.broadcast(known), "term", "left_semi").select(*BLOCK_SCHEMA.names)
         rows = index.blocks.where(F.col("kind") != LIST).unionByName(lists)
         shared = spark.sparkContext.broadcast((idf, dict(asked)))

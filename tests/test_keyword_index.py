@@ -1,9 +1,11 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,44 @@ def test_no_null_arrays_go_to_python(spark, tiny):
     assert sent.schema["ids"].dataType == bm25.BLOCK_SCHEMA["ids"].dataType and sent.columns == bm25.BLOCK_SCHEMA.names
     assert sent.where("ids is null or lengths is null").count() == 0
     assert sent.where(F.size("ids") > 0).count() == index.n_blocks
+
+
+def test_blocks_take_no_more_terms_than_set(spark, monkeypatch):
+    """Long facts come in one batch; a block ends before the fact that is too much for it, and a larger fact has its own."""
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 1000)
+    texts = {f"f{i:02}": " ".join(RNG.choice(WORDS) for _ in range(1500 if i == 9 else 300)) for i in range(20)}
+    index = bm25.build_index(facts(spark, texts).coalesce(1).sortWithinPartitions("id"))
+    sizes = [(r.df, r.most_tf) for r in index.blocks.where(F.col("kind") == bm25.FACTS).orderBy("block").collect()]
+    assert sorted(sizes) == [(1, 300), (1, 1500), (3, 900), (3, 900), (3, 900), (3, 900), (3, 900), (3, 900)]
+    q = spark.createDataFrame([(1, "tea coffee w3"), (2, "stone")], "query_id long, text string")
+    assert found(q, index, 5) == brute(texts, [(1, "tea coffee w3"), (2, "stone")], 5)
+
+
+def test_texts_are_let_go_of_while_a_block_is_counted(spark, monkeypatch):
+    """A block is far from full after ten batches, yet the Arrow memory held is that of the batch read and the one before."""
+    caught = SimpleNamespace(select=lambda *_: caught, mapInArrow=lambda run, _: setattr(caught, "run", run))
+    monkeypatch.setattr(bm25, "materialise", lambda rows, _: rows)
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    bm25._segment(caught)
+    held, start, lists = [], pa.total_allocated_bytes(), [[f"word{i % 17}{j}" for j in range(100)] for i in range(500)]
+    one = 500 * 100 * 10
+
+    def batches():
+        for n in range(10):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{n}-{i}" for i in range(500)]), pa.array(lists, pa.list_(pa.string()))], names=["id", "terms"])
+            held.append(pa.total_allocated_bytes() - start)
+
+    made = list(caught.run(batches()))
+    assert max(held) < 4 * one
+    assert sum(len(i) for b in made for i in b.column("ids").to_pylist() if i) == 5000
+
+
+def test_passes_are_cut_by_hits_too(spark, monkeypatch):
+    """Short queries have few terms, but a task keeps ``k`` hits of each."""
+    passes = []
+    monkeypatch.setattr(bm25, "_scorer", lambda shared, *rest, f=bm25._scorer: passes.append(len(shared.value[1])) or f(shared, *rest))
+    monkeypatch.setattr(bm25, "PASS_HITS", 60, raising=False)
+    texts, asked = {f"f{i:02}": text() for i in range(50)}, [(i, "tea") for i in range(40)]
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    assert found(q, bm25.build_index(facts(spark, texts)), 5) == brute(texts, asked, 5)
+    assert len(passes) == 4 and sum(passes) == 40
