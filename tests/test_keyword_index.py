@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import bm25
+from engram.plans import search
 from engram.sources import views
 from engram.sources.schema import schema
 
@@ -145,3 +146,9 @@ def test_passes_are_cut_by_hits_too(spark, monkeypatch):
     q = spark.createDataFrame(asked, "query_id long, text string")
     assert found(q, bm25.build_index(facts(spark, texts)), 5) == brute(texts, asked, 5)
     assert len(passes) == 4 and sum(passes) == 40
+
+
+def test_terms_of_a_search_start_no_other_python_workers(spark, tiny, monkeypatch):
+    """Rows from Python objects run in workers of another kind, which stay beside those that score."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows from Python objects"))
+    assert search.retrieve_reranked(spark, tiny).count() > 0
