@@ -80,7 +80,7 @@ class KeywordIndex:
         return self.total / self.documents if self.documents else 0.0
 
 
-def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, with_facts: bool = True) -> pa.RecordBatch:
+def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: pa.StringArray | np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, with_facts: bool = True) -> pa.RecordBatch:
     """A block's rows, without that of its facts on demand; postings are in order of term and fact, ``term`` has places in ``terms``."""
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=np.int64)
     n = len(first)
@@ -97,7 +97,7 @@ def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, te
         [
             pa.array([block] * (n + 1)),
             pa.array(np.r_[FACTS, np.full(n, LIST)], pa.int32()),
-            pa.concat_arrays([pa.array([None], pa.string()), pa.array(terms[term[first]].tolist(), pa.string())]),
+            pa.concat_arrays([pa.array([None], pa.string()), pa.array(terms, pa.string()).take(pa.array(term[first]))]),
             pa.array(np.r_[len(ids), np.diff(np.r_[first, len(doc)])].astype(np.int64)),
             pa.array(np.r_[int(lengths.sum()), most].astype(np.int64)),
             pa.array(np.r_[0, least].astype(np.int64)),
@@ -110,12 +110,15 @@ def _rows(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, te
     return made if with_facts else made.slice(1)
 
 
-def _slices(block: str, ids: list[str], lengths: np.ndarray, terms: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _slices(block: str, ids: list[str], lengths: np.ndarray, terms: pa.StringArray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
     """``_rows`` in parts of about ``SLICE_POSTINGS`` postings; a term stays whole."""
-    first = np.flatnonzero(np.diff(term, prepend=-1))
-    starts = first[np.flatnonzero(np.diff(first // SLICE_POSTINGS, prepend=-1))].tolist() or [0]
-    for lo, hi in zip(starts, [*starts[1:], len(term)]):
+    lo, n = 0, len(term)
+    while True:
+        hi = int(np.searchsorted(term, term[min(lo + SLICE_POSTINGS, n) - 1], side="right")) if n else 0
         yield _rows(block, [] if lo else ids, lengths, terms, term[lo:hi], doc[lo:hi], tf[lo:hi], lo == 0)
+        lo = hi
+        if lo == n:
+            return
 
 
 class _Counted:
@@ -149,7 +152,10 @@ class _Counted:
         self.postings.clear()
         # Facts were added in order, so a stable sort leaves a term's facts in order.
         order = np.argsort(term, kind="stable")
-        yield from _slices(block, self.ids, np.concatenate(self.lengths), np.array(words.dictionary.to_pylist(), dtype=object), term[order], doc[order], tf[order])
+        term, doc, tf = term[order], doc[order], tf[order]
+        del order, places
+        # Words stay in Arrow, as a block may have as many different ones as it has terms.
+        yield from _slices(block, self.ids, np.concatenate(self.lengths), words.dictionary, term, doc, tf)
 
 
 def _indexer(name: str, most_facts: int, most_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -305,7 +311,7 @@ def compacted(index: KeywordIndex) -> KeywordIndex:
             live = block.live()
             if not live.any():
                 continue
-            places, terms = np.cumsum(live) - 1, np.array(list(block.lists), dtype=object)
+            places, terms = np.cumsum(live) - 1, pa.array(list(block.lists), pa.string())
             sizes, doc, tf = _all_decoded(block)
             term, some = np.repeat(np.arange(len(terms)), sizes), live[doc]
             yield from _slices(block.name, [i for i, x in zip(block.ids, live) if x], block.lengths[live], terms, term[some], places[doc[some]], tf[some])

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -152,3 +153,18 @@ def test_terms_of_a_search_start_no_other_python_workers(spark, tiny, monkeypatc
     """Rows from Python objects run in workers of another kind, which stay beside those that score."""
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows from Python objects"))
     assert search.retrieve_reranked(spark, tiny).count() > 0
+
+
+def test_words_of_a_block_make_no_python_strings():
+    """Where no word comes twice a block has as many words as terms; as Python strings they take more than all its numbers."""
+    n, held = 200_000, bm25._Counted()
+    for lo in range(0, n, 50_000):
+        words = pa.array([f"word{i:09}" for i in range(lo, lo + 50_000)])
+        held.add([f"f{lo + i}" for i in range(0, 50_000, 500)], pa.ListArray.from_arrays(pa.array(np.arange(0, 50_001, 500, dtype=np.int32)), words))
+    tracemalloc.start()
+    made = {t for b in held.rows("x") for t in b.column("term").slice(0, 1).to_pylist() + b.column("term").slice(b.num_rows - 1).to_pylist()}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {None, f"word{n - 1:09}"} <= made
+    # 12 bytes a posting, once as counted and once in order, and the order; a string takes 60 more.
+    assert most < 50 * n
